@@ -87,6 +87,11 @@ def crc_fold(doc_id: Column, of: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % of, F.lit(0))
 
 
+def third(doc_id: Column) -> Column:
+    """0, 1 or 2 by another hash than the one that chooses samples."""
+    return F.pmod(F.hash(doc_id, F.lit("third")), F.lit(3))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, most: int) -> DataFrame:
     """Rows (doc_id, text, label) of at most `most` labelled documents for each value of the label.
 
@@ -101,11 +106,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
     return docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(ids, "doc_id")
 
 
-def spread(texts: list[bytes], size: int, each: int) -> list[bytes]:
-    """Up to `each` pieces of `size` bytes from every text, evenly over its length."""
-    out = []
-    for t in texts:
-        n = max(1, -(-len(t) // size))
-        step = max(1, n // each)
-        out += [t[i * size : (i + 1) * size] for i in range(0, n, step)][:each]
-    return out
+def spread(text: bytes, size: int, each: int) -> list[bytes]:
+    """Up to `each` pieces of `size` bytes, evenly over the text's whole length."""
+    n = -(-len(text) // size)
+    at = range(n) if n <= each else (i * (n - 1) // (each - 1) for i in range(each))
+    return [text[i * size : (i + 1) * size] for i in at]

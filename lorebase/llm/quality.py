@@ -14,7 +14,7 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .common import crc_fold, labelled_sample, map_rows, ship, spread
+from .common import crc_fold, discard, labelled_sample, map_rows, settle, ship, spread, third
 
 SCHEMA = "doc_id bigint, held_out boolean, score double, predicted int"
 BLOCK, LEVEL = 1024, 3
@@ -70,38 +70,46 @@ class QualityModel:
         return lambda text: float(1 / (1 + np.exp(-np.clip(np.dot(w[:-1], features((text or "").encode())) + w[-1], -30, 30))))
 
 
-def _dictionary(texts: list[bytes], size: int) -> bytes:
-    pieces = [p for p in spread(texts, BLOCK, 8) if len(p) >= 8]
+def _dictionary(pieces: list[bytes], size: int) -> bytes:
+    pieces = [p for p in pieces if len(p) >= 8]
     try:
         return zstandard.train_dictionary(size, pieces, level=LEVEL).as_bytes()
     except zstandard.ZstdError:  # too little text to train on: the text itself is the dictionary
         return b"".join(pieces)[-size:].ljust(8, b" ")
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 2500, size: int = 65_536) -> QualityModel:
+def fit(docs: DataFrame, labels: DataFrame, most: int = 2500, size: int = 65_536, each: int = 8) -> QualityModel:
     """Fit on labelled rows outside the held-out fold: at most `most` documents of each label.
 
-    Two thirds of these make the dictionaries, the rest the curve, weighted so that the sample's two labels
-    count as in the whole labelled table. From each text up to eight blocks spread over it go to a dictionary.
-    Without both labels the score is the share of label 1, or 0.5 without labels.
+    Two thirds of these make the dictionaries, of which each gives up to `each` blocks spread over its whole
+    length; the rest, with their whole texts, make the curve, weighted so that the sample's two labels count as
+    in the labelled table. Blocks and features are made by tasks; the driver gets no more than `each` blocks or
+    four numbers for each row of the bounded sample. Without both labels the score is the share of label 1, or
+    0.5 without labels.
     """
     train = crc_fold(F.col("doc_id"), 5) != 0
     n = {r[0]: r[1] for r in labels.filter(train & F.col("quality").isin(0, 1)).groupBy("quality").count().collect()}
-    prior = (n.get(1, 0) + 1) / (sum(n.values()) + 2)
-    rows = sorted(labelled_sample(docs, labels, "quality", train, most).select("doc_id", "label", F.substring("text", 1, 65_536).alias("text")).collect())
-    texts: dict[int, list[bytes]] = {0: [], 1: []}
-    for r in rows:
-        texts[r.label].append(r.text.encode())
-    if min(len(t) for t in texts.values()) < 3:
-        return QualityModel(None, None, [0.0, float(np.log(prior / (1 - prior)))])
-    parts = {k: ([t for i, t in enumerate(v) if i % 3], v[::3]) for k, v in texts.items()}
-    model = QualityModel(_dictionary(parts[1][0], size), _dictionary(parts[0][0], size), [])
-    features = model.measure()
-    x = np.array([features(t) for k in (0, 1) for t in parts[k][1]])
-    y = np.repeat([0.0, 1.0], [len(parts[0][1]), len(parts[1][1])])
-    w = logistic(x, y)
-    share = y.mean()
-    w[-1] += np.log(prior / (1 - prior)) - np.log(share / (1 - share))
+    base = float(np.log((n.get(1, 0) + 1) / (n.get(0, 0) + 1)))
+    sample = settle(labelled_sample(docs, labels, "quality", train, most).withColumn("third", third(F.col("doc_id"))), "quality-sample")
+    there = {(r.label, r.curve): r["count"] for r in sample.groupBy("label", (F.col("third") == 0).alias("curve")).count().collect()}
+    if min(there.get((k, c), 0) for k in (0, 1) for c in (True, False)) < 2:
+        return QualityModel(None, None, [0.0, base])
+    learn, rest = (sample.filter(x).select("doc_id", "label", "text") for x in ("third <> 0", "third = 0"))
+    blocks = map_rows(learn, "doc_id bigint, label int, blocks array<binary>", lambda: lambda i, k, t: (i, k, [spread(x.encode(), BLOCK, each) for x in t]))
+    pieces: dict[int, list[bytes]] = {0: [], 1: []}
+    for r in sorted(blocks.collect(), key=lambda r: (r.doc_id, r.blocks)):
+        pieces[r.label] += [bytes(x) for x in r.blocks]
+    model = QualityModel(_dictionary(pieces[1], size), _dictionary(pieces[0], size), [])
+
+    def start():
+        features = model.measure()
+        return lambda _, k, t: (k, [features(x.encode()) for x in t])
+
+    curve = sorted((r.label, r.x) for r in map_rows(rest, "label int, x array<double>", start).collect())
+    y = np.array([float(k) for k, _ in curve])
+    w = logistic(np.array([x for _, x in curve]), y)
+    w[-1] += base - np.log(y.mean() / (1 - y.mean()))
+    discard(sample)
     return QualityModel(model.good, model.bad, w.tolist())
 
 

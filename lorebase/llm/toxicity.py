@@ -9,14 +9,16 @@ abuse; a logistic curve over the sums gives a calibrated score.
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
-from dataclasses import dataclass, field
+from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass, field, replace
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .common import crc_fold, labelled_sample, map_rows
+from .common import crc_fold, discard, labelled_sample, map_rows, settle, ship, third
 from .quality import logistic
 
 SCHEMA = "doc_id bigint, held_out boolean, score double, predicted int"
@@ -34,16 +36,17 @@ def word_of(token: str) -> str:
 
 @dataclass(frozen=True)
 class Term:
-    """A word, or with `stem` the beginning of a word; weight: its log odds of a toxic text."""
+    """A word, or with `stem` the beginning of longer words; weight: its log odds of a toxic text; edits allowed."""
 
     text: str
     weight: float
     stem: bool = False
+    edits: int = 0
 
-    @property
-    def edits(self) -> int:
-        n = len(self.text)
-        return 0 if n < 5 else 1 if n < 9 or self.stem else 2
+
+def edits_of(text: str) -> int:
+    """The most edits that a word of this length may have and still be told apart."""
+    return 0 if len(text) < 5 else 1 if len(text) < 9 else 2
 
 
 class Matcher:
@@ -99,18 +102,18 @@ class Matcher:
         """The term of fewest edits, and of these the heaviest, that ends in the state."""
         cache = self.stems if stem else self.found
         if state not in cache:
-            hits = [(e, -self.terms[i].weight, i) for node, e in state for i in self.ends[node] if e <= self.terms[i].edits and (self.terms[i].stem or not stem) and (not stem or not e)]
+            hits = [(e, -self.terms[i].weight, i) for node, e in state for i in self.ends[node] if self.terms[i].stem == stem and e <= self.terms[i].edits]
             cache[state] = (min(hits)[2], min(hits)[0]) if hits else None
         return cache[state]
 
     def match(self, word: str) -> tuple[int, int] | None:
-        """(term, edits) of the best match, or None. A stem must begin the word without edits."""
+        """(term, edits) of the best match, or None. A stem has no edits and at least one more letter after it."""
         state, stem = self.begin, None
         for c in word:
+            stem = stem or self._ended(state, True)
             state = self._move(state, c)
             if not state:
                 return stem
-            stem = stem or self._ended(state, True)
         whole = self._ended(state, False)
         return whole if whole and (stem is None or not whole[1]) else stem
 
@@ -122,30 +125,39 @@ class ToxicModel:
     weights: list[float] = field(default_factory=lambda: [0.0])
     remembered: int = 400_000
 
-    def features(self):
-        """A function from a text to its features: sums over exact, misspelled and quoted hits, and their density."""
-        matcher, known, terms = Matcher(self.terms), {}, self.terms
+    def hits(self):
+        """A function from a text's tokens to its hits (place, term, edits)."""
+        matcher, known = Matcher(self.terms), {}
+        missing = object()
 
-        def hit(token: str) -> tuple[int, int] | None:
+        def find(token: str) -> tuple[int, int] | None:
             if len(known) >= self.remembered:
                 known.clear()
             word = word_of(token)
             found = known[token] = matcher.match(word) if 3 <= len(word) <= 40 else None
             return found
 
-        missing = object()
-
-        def of(text: str) -> list[float]:
-            tokens = text.split()
-            hits = []
+        def of(tokens: list[str]) -> list[tuple[int, int, int]]:
+            out = []
             for i, token in enumerate(tokens):
                 found = known.get(token, missing)
                 if found is missing:
-                    found = hit(token)
+                    found = find(token)
                 if found is not None:
-                    hits.append((i, *found))
+                    out.append((i, *found))
+            return out
+
+        return of
+
+    def features(self):
+        """A function from a text to its features: exact, misspelled and quoted hits by their weight for each
+        hundred words, and the exact ones' sum. A few words by chance in a long text count little."""
+        hits, terms = self.hits(), self.terms
+
+        def of(text: str) -> list[float]:
+            tokens = text.split()
             exact = fuzzy = quoted = 0.0
-            for i, term, edits in hits:
+            for i, term, edits in hits(tokens):
                 q, c = self.context_score(tokens, i)
                 w = terms[term].weight * c
                 if q:
@@ -154,7 +166,8 @@ class ToxicModel:
                     fuzzy += w / (1 + edits)
                 else:
                     exact += w
-            return [min(3.0, math.log1p(exact)), min(3.0, math.log1p(fuzzy)), min(3.0, math.log1p(quoted)), min(1.0, 5 * len(hits) / max(1, len(tokens)))]
+            hundreds = (len(tokens) + 25) / 100
+            return [min(3.0, math.log1p(exact / hundreds)), min(3.0, math.log1p(fuzzy / hundreds)), min(3.0, math.log1p(quoted / hundreds)), min(3.0, math.log1p(exact))]
 
         return of
 
@@ -189,80 +202,193 @@ def _likelihood_ratio(tox: int, clean: int, n_tox: int, n_clean: int) -> float:
     return 2 * g
 
 
-def learn_terms(toxic: list[str], clean: list[str], least: float = 18.0, ratio: float = 8.0) -> list[Term]:
-    """Words, and beginnings of words in four to six letters, that mark toxic texts: a likelihood ratio over
-    `least` and `ratio` times as common there. A beginning counts if it covers half as many texts again as its commonest word."""
-    df: tuple[Counter, Counter] = (Counter(), Counter())
-    stems: tuple[Counter, Counter] = (Counter(), Counter())
-    for texts, words, begins in ((toxic, df[0], stems[0]), (clean, df[1], stems[1])):
-        for t in texts:
-            own = {w for w in map(word_of, set(t.split())) if 3 <= len(w) <= 40}
-            words.update(own)
-            begins.update({w[:k] for w in own for k in (4, 5, 6) if len(w) > k or k == len(w)})
-    n = (len(toxic), len(clean))
+def choose_terms(df: dict[tuple[str, bool], tuple[int, int, int]], n: tuple[int, int], least: float = 18.0, ratio: float = 6.0) -> list[Term]:
+    """The lexicon, from how many toxic and clean texts have each word, or a longer word with each beginning.
+
+    df: (word or beginning, whether it is a beginning) to (toxic texts, clean texts, different words in toxic
+    texts); n: toxic and clean texts. A term needs a likelihood ratio over `least` and `ratio` times the share of
+    toxic texts; a beginning needs three different words. The strongest come first, and no term begins another.
+    """
     odds = lambda a, b: math.log((a + 0.5) / (n[0] + 1)) - math.log((b + 0.5) / (n[1] + 1))
-    marks = lambda a, b: a >= 3 and _likelihood_ratio(a, b, *n) >= least and odds(a, b) >= math.log(ratio)
-    commonest: dict[str, int] = defaultdict(int)
-    for w, c in df[0].items():
-        for k in (4, 5, 6):
-            commonest[w[:k]] = max(commonest[w[:k]], c)
+    found = []
+    for (text, stem), (a, b, words) in df.items():
+        if a >= 3 and (not stem or words >= 3) and odds(a, b) >= math.log(ratio) and (g := _likelihood_ratio(a, b, *n)) >= least:
+            found.append((-g, stem, -len(text), text, odds(a, b)))
     chosen: list[Term] = []
-    for s in sorted((s for s, c in stems[0].items() if marks(c, stems[1][s]) and c >= 1.5 * commonest[s]), key=lambda s: (len(s), s)):
-        if not any(s.startswith(t.text) for t in chosen):
-            chosen.append(Term(s, odds(stems[0][s], stems[1][s]), True))
-    begun = tuple(t.text for t in chosen)
-    words = [Term(w, odds(c, df[1][w])) for w, c in df[0].items() if marks(c, df[1][w]) and not w.startswith(begun or ("\0",))]
-    return chosen + sorted(words, key=lambda t: t.text)
+    for _, stem, _, text, weight in sorted(found):
+        if not any(text.startswith(t.text) or t.text.startswith(text) for t in chosen):
+            chosen.append(Term(text, weight, stem, 0 if stem else edits_of(text)))
+    return sorted(chosen, key=lambda t: t.text)
+
+
+def limit_edits(terms: list[Term], shares: list[float], clean: dict[tuple[int, int], int], n_clean: int, ratio: float = 20.0) -> list[Term]:
+    """Terms with as many edits as leave their misspellings in clean texts `ratio` times rarer than the terms in toxic ones.
+
+    shares: of toxic texts that have each term; clean: clean texts that (term, edits) was found in.
+    """
+    out = []
+    for i, t in enumerate(terms):
+        allowed = t.edits
+        while allowed and ratio * sum(clean.get((i, e), 0) for e in range(1, allowed + 1)) > shares[i] * n_clean:
+            allowed -= 1
+        out.append(replace(t, edits=allowed))
+    return out
+
+
+def own_terms(text: str, shortest: int = 3, longest: int = 9) -> tuple[set[str], set[tuple[str, str]]]:
+    """Words of a text, and (beginning, word) for the beginnings of three to nine letters of longer words."""
+    words = {w for w in map(word_of, set(text.split())) if shortest <= len(w) <= 40}
+    return words, {(w[:k], w) for w in words for k in range(shortest, min(longest, len(w) - 1) + 1)}
+
+
+def term_counts(sample: DataFrame, distinct: int = 3) -> DataFrame:
+    """(term, stem, label, texts, words): texts of each label that have the term, and up to `distinct` words of it.
+
+    Tasks send partial counts, with at most `distinct` words for a term.
+    """
+    ship(sample.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: Counter = Counter()
+        words: dict[tuple[str, bool, int], set[str]] = {}
+
+        def out() -> pa.RecordBatch:
+            keys = list(texts)
+            columns = ([k[0] for k in keys], [k[1] for k in keys], [k[2] for k in keys], [texts[k] for k in keys], [sorted(words.get(k, ())) for k in keys])
+            kinds = (pa.string(), pa.bool_(), pa.int32(), pa.int64(), pa.list_(pa.string()))
+            return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], names=["term", "stem", "label", "texts", "words"])
+
+        for batch in batches:
+            for label, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own, begun = own_terms(text)
+                texts.update({(w, False, label) for w in own} | {(b, True, label) for b, _ in begun})
+                for b, w in begun:
+                    seen = words.setdefault((b, True, label), set())
+                    if len(seen) < distinct:
+                        seen.add(w)
+                if len(texts) > 200_000:
+                    yield out()
+                    texts.clear()
+                    words.clear()
+        yield out()
+
+    parts = sample.select("label", "text").mapInArrow(run, "term string, stem boolean, label int, texts bigint, words array<string>")
+    return parts.groupBy("term", "stem", "label").agg(F.sum("texts").alias("texts"), F.size(F.array_distinct(F.flatten(F.collect_list("words")))).alias("words"))
+
+
+def learn_terms(sample: DataFrame, n: tuple[int, int]) -> list[Term]:
+    """The lexicon of a sample (label, text) with n toxic and clean texts.
+
+    Only terms of three toxic texts and twice the clean share go to the driver: no more than the sample's vocabulary.
+    """
+    of = lambda label, c: F.coalesce(F.max(F.when(F.col("label") == label, F.col(c))), F.lit(0))
+    counted = term_counts(sample).groupBy("term", "stem").agg(of(1, "texts").alias("toxic"), of(0, "texts").alias("clean"), of(1, "words").alias("words"))
+    likely = counted.filter((F.col("toxic") >= 3) & (F.col("toxic") * n[1] > 2 * F.col("clean") * n[0]))
+    return choose_terms({(r.term, r.stem): (r.toxic, r.clean, r.words) for r in likely.collect()}, n)
+
+
+def _over(sample: DataFrame, schema: str, start) -> DataFrame:
+    """Rows that a function gives for each (label, text); start() makes it, once in each task."""
+    ship(sample.sparkSession)
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = start()
+        for batch in batches:
+            rows = [r for label, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) for r in work(label, text)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=names)
+
+    return sample.select("label", "text").mapInArrow(run, schema)
+
+
+def found_hits(sample: DataFrame, model: ToxicModel) -> dict[tuple[int, int, int], tuple[int, int]]:
+    """(term, edits, label) to (texts, hits) in the sample."""
+
+    def start():
+        hits = model.hits()
+
+        def work(label, text):
+            n = Counter((term, edits) for _, term, edits in hits(text.split()))
+            return [(term, edits, label, c) for (term, edits), c in n.items()]
+
+        return work
+
+    rows = _over(sample, "term bigint, edits bigint, label bigint, n bigint", start)
+    return {(r.term, r.edits, r.label): (r.texts, r.n) for r in rows.groupBy("term", "edits", "label").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n")).collect()}
+
+
+def learn_context(sample: DataFrame, model: ToxicModel, least: int = 20) -> dict[str, float]:
+    """Log odds of abuse for words near hits, beyond what the term that was hit tells by itself.
+
+    A word near hits is expected in toxic texts as often as hits of those terms are. Empty while fewer than `least`
+    hits are in clean texts.
+    """
+    n: dict[int, list[int]] = {}
+    for (term, _, label), (_, hits) in found_hits(sample, model).items():
+        n.setdefault(term, [0, 0])[label] += hits
+    if min(sum(x[k] for x in n.values()) for k in (0, 1)) < least if n else True:
+        return {}
+    share = {t: x[1] / sum(x) for t, x in n.items()}
+
+    def start():
+        hits = model.hits()
+
+        def work(label, text):
+            tokens = text.split()
+            near: dict[str, list[float]] = {}
+            for i, term, _ in hits(tokens):
+                for w in {word_of(t) for t in tokens[max(0, i - WINDOW) : i] + tokens[i + 1 : i + 1 + WINDOW]}:
+                    x = near.setdefault(w, [0, 0.0])
+                    x[0] += 1
+                    x[1] += share.get(term, 0.5)
+            return [(w, label * x[0], x[0], x[1]) for w, x in near.items() if w]
+
+        return work
+
+    rows = _over(sample, "word string, toxic bigint, n bigint, expected double", start)
+    words = rows.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n"), F.sum("expected").alias("expected")).filter("n >= 10").collect()
+    tell = lambda r: math.log((r.toxic + 2) / (r.expected + 2)) - math.log((r.n - r.toxic + 2) / (r.n - r.expected + 2))
+    return {r.word: max(-0.5, min(0.5, 0.5 * tell(r))) for r in words}
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = 4000) -> ToxicModel:
-    """Fit on labelled rows outside the held-out fold (crc32(doc_id) mod 4 = 2): at most `most` of each label.
+    """Fit on whole texts of labelled rows outside the held-out fold (crc32(doc_id) mod 4 = 2): at most `most` of each label.
 
     Lexicon and context weights come from two thirds of the sample, the curve from the rest, and its constant is
     moved from the sample's share of toxic texts to that of the labelled table. Without both labels the score is
-    the share of label 1, or 0.5 without labels. From each text at most 65,536 characters are used to fit.
+    the share of label 1, or 0.5 without labels. Counts and features are gathered by tasks; what goes to the
+    driver is no more than the bounded sample's vocabulary and four numbers for each of its rows.
     """
     train = crc_fold(F.col("doc_id"), 4) != 2
     n = {r[0]: r[1] for r in labels.filter(train & F.col("toxic").isin(0, 1)).groupBy("toxic").count().collect()}
-    prior = (n.get(1, 0) + 1) / (sum(n.values()) + 2)
-    rows = sorted(labelled_sample(docs, labels, "toxic", train, most).select("doc_id", "label", F.substring("text", 1, 65_536).alias("text")).collect())
-    texts: dict[int, list[str]] = {0: [], 1: []}
-    for r in rows:
-        texts[r.label].append(r.text)
-    base = math.log(prior / (1 - prior))
-    if min(map(len, texts.values())) < 3:
+    base = math.log((n.get(1, 0) + 1) / (n.get(0, 0) + 1))
+    sample = settle(labelled_sample(docs, labels, "toxic", train, most).withColumn("third", third(F.col("doc_id"))), "toxic-sample")
+    there = {(r.label, r.curve): r["count"] for r in sample.groupBy("label", (F.col("third") == 0).alias("curve")).count().collect()}
+    if min(there.get((k, c), 0) for k in (0, 1) for c in (True, False)) < 2:
         return ToxicModel(weights=[base])
-    learn = {k: [t for i, t in enumerate(v) if i % 3] for k, v in texts.items()}
-    model = ToxicModel(learn_terms(learn[1], learn[0]))
-    model.context = learn_context(model, learn[1], learn[0])
-    of = model.features()
-    curve = [(of(t), k) for k in (0, 1) for t in texts[k][::3]]
-    y = np.array([float(k) for _, k in curve])
-    w = logistic(np.array([x for x, _ in curve]), y, ridge=0.3)
+    learn, rest = sample.filter("third <> 0"), sample.filter("third = 0")
+    model = ToxicModel(learn_terms(learn, (there[1, False], there[0, False])))
+    found = found_hits(learn, model)
+    clean = {(t, e): texts for (t, e, label), (texts, _) in found.items() if e and not label}
+    shares = [found.get((i, 0, 1), (0, 0))[0] / there[1, False] for i in range(len(model.terms))]
+    model.terms = limit_edits(model.terms, shares, clean, there[0, False])
+    model.context = learn_context(learn, model)
+
+    def start():
+        of = model.features()
+        return lambda label, text: [(label, of(text))]
+
+    curve = sorted((r.label, r.x) for r in _over(rest, "label bigint, x array<double>", start).collect())
+    y = np.array([float(k) for k, _ in curve])
+    w = logistic(np.array([x for _, x in curve]), y, ridge=0.3)
     w[2] = min(w[2], 0.3 * w[0])  # quotation alone never tells as much as abuse
     w[-1] += base - math.log(y.mean() / (1 - y.mean()))
     model.weights = w.tolist()
+    discard(sample)
     return model
 
 
-def learn_context(model: ToxicModel, toxic: list[str], clean: list[str], least: int = 20) -> dict[str, float]:
-    """Log odds of abuse for words near hits, damped; empty while there are fewer than `least` hits in clean texts."""
-    matcher = Matcher(model.terms)
-    near: tuple[Counter, Counter] = (Counter(), Counter())
-    hits = [0, 0]
-    for k, texts in enumerate((toxic, clean)):
-        for t in texts:
-            words = [word_of(x) for x in t.split()]
-            for i, w in enumerate(words):
-                if 3 <= len(w) <= 40 and matcher.match(w):
-                    hits[k] += 1
-                    near[k].update(set(words[max(0, i - WINDOW) : i] + words[i + 1 : i + 1 + WINDOW]))
-    if min(hits) < least:
-        return {}
-    seen = near[0] + near[1]
-    return {w: 0.5 * (math.log((near[0][w] + 2) / (hits[0] + 4)) - math.log((near[1][w] + 2) / (hits[1] + 4))) for w, c in seen.items() if c >= 10 and w}
-
-
 def score(docs: DataFrame, model: ToxicModel, threshold: float = 0.3) -> DataFrame:
     """A row for each document: held_out, score (0 to 1, higher is more toxic), predicted.
 
