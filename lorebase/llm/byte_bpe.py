@@ -31,28 +31,43 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class PerfectHash:
-    """A minimal perfect hash of byte strings: hash and displace, one displacement for each bucket of about four keys."""
+    """A minimal perfect hash of byte strings: hash and displace, one displacement for each bucket of about three keys.
+
+    A bucket's keys go to the slots of the first displacement that finds them all free; a bucket of one key is put
+    last and holds its slot itself, as -1 - slot.
+    """
 
     def __init__(self, keys: list[bytes]):
-        self.n, self.m = len(keys), max(1, len(keys) // 4)
+        self.n, self.m = len(keys), max(1, len(keys) // 3)
         hashes = np.array([xxhash.xxh64_intdigest(k) for k in keys], dtype=np.uint64)
         bucket = (hashes % np.uint64(self.m)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         cut = np.searchsorted(bucket[order], np.arange(self.m + 1))
-        self.shift = [0] * self.m
-        self.slots: list[bytes | None] = [None] * self.n
-        self.place: list[int] = [-1] * self.n
-        for b in sorted(range(self.m), key=lambda b: cut[b] - cut[b + 1]):
-            group = [(int(i), int(hashes[i])) for i in order[cut[b] : cut[b + 1]]]
-            d = 0
-            while group:
-                at = [self.slot(h, d) for _, h in group]
-                if len(set(at)) == len(at) and all(self.place[s] < 0 for s in at):
+        sizes = np.diff(cut)
+        shift, place = np.zeros(self.m, dtype=np.int64), np.full(self.n, -1)
+        for b in np.argsort(-sizes, kind="stable")[: int((sizes > 1).sum())]:
+            own = order[cut[b] : cut[b + 1]]
+            d, step = 0, 64
+            while True:
+                at = np.sort(self._slots(hashes[own], np.arange(d, d + step)), axis=1)
+                good = np.flatnonzero((place[at] < 0).all(axis=1) & (at[:, 1:] != at[:, :-1]).all(axis=1))
+                if len(good):
                     break
-                d += 1
-            self.shift[b] = d
-            for (i, _), s in zip(group, at if group else [], strict=True):
-                self.place[s], self.slots[s] = i, keys[i]
+                d, step = d + step, min(8192, 2 * step)
+            shift[b] = d + good[0]
+            place[self._slots(hashes[own], shift[b : b + 1])[0]] = own
+        alone, free = np.flatnonzero(sizes == 1), np.flatnonzero(place < 0)
+        shift[alone] = -1 - free
+        place[free] = order[cut[alone]]
+        self.shift, self.place = shift.tolist(), place.tolist()
+        self.slots = [keys[i] for i in self.place]
+
+    def _slots(self, hashes: np.ndarray, shifts: np.ndarray) -> np.ndarray:
+        """slot() of each shift (rows) and hash (columns)."""
+        with np.errstate(over="ignore"):
+            x = (hashes >> np.uint64(17))[None, :] + shifts.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
+            x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+            return ((x ^ (x >> np.uint64(29))) % np.uint64(self.n)).astype(np.int64)
 
     def slot(self, h: int, d: int) -> int:
         x = ((h >> 17) + d * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
@@ -62,7 +77,8 @@ class PerfectHash:
     def find(self, key: bytes) -> int:
         """The key's place in the list that was hashed, or -1."""
         h = xxhash.xxh64_intdigest(key)
-        s = self.slot(h, self.shift[h % self.m])
+        d = self.shift[h % self.m]
+        s = -1 - d if d < 0 else self.slot(h, d)
         return self.place[s] if self.slots[s] == key else -1
 
 
