@@ -13,8 +13,9 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import accumulate
 
@@ -28,6 +29,9 @@ from .common import discard, map_rows, settle, shared_dir, ship
 MAGIC, HEAD = b"LTF1", struct.Struct("<4sIQQQ")
 BLOCK_SCHEMA = "part int, start bigint, n_docs bigint, n_ids bigint, block binary"
 OUT_SCHEMA = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
+#: ASCII signs, and what str.split() takes for white space although regular expressions don't.
+SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_SEPARATORS, _RUNS = regex.compile("[\x1c-\x1f]"), regex.compile(r"[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]++")
 LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], dtype=np.uint8)
 
 
@@ -75,10 +79,12 @@ def read_block(block: bytes) -> tuple[list[int | None], list[int], np.ndarray]:
 
 
 class ChunkTokenizer:
-    """The tokenizers library, asked once for each distinct run between spaces and line feeds.
+    """The tokenizers library, asked once for each distinct run between white space.
 
-    That gives the ids of whole texts for tokenizers that drop white space and never join across it, which is
-    checked on a probe; `remembered` runs are kept.
+    That gives the ids of whole texts for tokenizers that lower-case, drop white space, never join across it and
+    cut letters and digits from signs, which is checked on a probe. Signs at a run's end are asked for apart from
+    it, and a run of Latin-1 letters goes straight to the library's model, as nothing is left to normalise or cut.
+    Two generations of `remembered` runs each are kept.
     """
 
     def __init__(self, path: str, remembered: int = 300_000):
@@ -87,26 +93,58 @@ class ChunkTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.remembered, self.known = remembered, {"": b""}
-        self.cuts = regex.compile("[^ \n]++").findall
-        probe = "a b\n\nc  It's 42 x.y \n"
-        if [i for c in self.cuts(probe) for i in self._ask([c])[0]] != self.tokenizer.encode(probe, add_special_tokens=False).ids:
-            raise ValueError("this tokenizer joins across white space")
-
-    def _ask(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids as little-endian unsigned 32-bit integers."""
-        cuts = [self.cuts(t) for t in texts]
-        new = list({c for x in cuts for c in x if c not in self.known})
-        if len(self.known) + len(new) > self.remembered:
-            self.known.clear()
-            new = list({c for x in cuts for c in x})
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            self.known.update(zip(part, (np.array(i, dtype="<u4").tobytes() for i in self._ask(part)), strict=True))
-        return [b"".join(map(self.known.__getitem__, x)) for x in cuts]
+        self.model = self.tokenizer.model
+        self.kind = "H" if max(self.tokenizer.get_vocab(with_added_tokens=True).values()) < 1 << 16 else "I"
+        self.remembered, self.known, self.old = remembered, {}, {}
+        # how the library writes each Latin-1 letter for its model
+        self.written = {c: self.tokenizer.pre_tokenizer.pre_tokenize_str(chr(c))[0][0] for c in range(256) if chr(c).isalpha()}
+        probe = "a b\n\nc  It's x.y\tHÉÇ, \xb5\xaa\xdf42.!? \x1cdon't... re'l\x85(no)\n"
+        if self.encode([probe])[0].tolist() != self.tokenizer.encode(probe, add_special_tokens=False).ids:
+            raise ValueError("this tokenizer joins across white space or keeps capitals")
+
+    @staticmethod
+    def runs(text: str) -> list[str]:
+        """Runs between white space, A-Z lowered in texts within Latin-1, where that changes no normal form."""
+        try:
+            text = text.encode("latin-1").lower().decode("latin-1")
+        except UnicodeEncodeError:
+            pass
+        # str.split() also cuts at four control characters that are not white space
+        return text.split() if not _SEPARATORS.search(text) else _RUNS.findall(text)
+
+    def _ask(self, run: str) -> bytes:
+        if run.isalpha() and (run.isascii() or max(run) <= "\xff"):
+            run = run.lower()
+            ids = [t.id for t in self.model.tokenize(run if run.isascii() else run.translate(self.written))]
+        else:
+            ids = self.tokenizer.encode(run, add_special_tokens=False).ids
+        return array(self.kind, ids).tobytes()
+
+    def _learn(self, runs: Iterable[str]) -> None:
+        known, old = self.known, self.old
+        for run in runs:
+            if run in known:
+                continue
+            ids = old.get(run)
+            if ids is None:
+                core = run if run.isalpha() else run.rstrip(SIGNS)
+                if len(core) == len(run) or not core or not core[-1].isalnum():
+                    ids = self._ask(run)
+                else:
+                    self._learn((core, run[len(core) :]))
+                    ids = known[core] + known[run[len(core) :]]
+            known[run] = ids
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, as 16-bit integers if the whole vocabulary fits, else as 32-bit ones."""
+        out = []
+        for t in texts:
+            runs = self.runs(t)
+            self._learn(set(runs).difference(self.known))
+            out.append(np.frombuffer(b"".join(map(self.known.__getitem__, runs)), dtype=self.kind))
+            if len(self.known) > self.remembered:
+                self.known, self.old = {}, self.known
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -118,34 +156,27 @@ def chunk_tokenizer(path: str) -> ChunkTokenizer:
     return ChunkTokenizer(path)
 
 
-def _groups(texts: list[str], size: int) -> Iterator[list[str]]:
-    """Consecutive texts of about `size` characters together."""
-    part: list[str] = []
-    held = 0
-    for t in texts:
-        if part and held + len(t) > size:
-            yield part
-            part, held = [], 0
-        part.append(t)
-        held += len(t)
-    if part:
-        yield part
-
-
 def tokenize(docs: DataFrame, path: str, end: int | None) -> DataFrame:
-    """(doc_id, n, ids as bytes) of every document's whole text; null counts as empty. `end` is appended to each."""
-    close = b"" if end is None else np.array([end], dtype="<u4").tobytes()
+    """(doc_id, small, ids) of every document's whole text; null counts as empty. `end` is appended to each.
+
+    ids are bytes of 16-bit integers (small) if the whole vocabulary and `end` fit, else of 32-bit ones.
+    """
 
     def start():
         tokenizer = chunk_tokenizer(path)
+        close = np.array([] if end is None else [end], dtype=tokenizer.kind)
 
         def work(ids, texts):
-            coded = [c + close for part in _groups([t or "" for t in texts], 1_000_000) for c in tokenizer.encode(part)]
-            return ids, [len(c) // 4 for c in coded], coded
+            return ids, [tokenizer.kind == "H"] * len(ids), [np.append(x, close).tobytes() for x in tokenizer.encode([t or "" for t in texts])]
 
         return work
 
-    return map_rows(docs.select("doc_id", "text"), "doc_id bigint, n bigint, ids binary", start)
+    return map_rows(docs.select("doc_id", "text"), "doc_id bigint, small boolean, ids binary", start)
+
+
+def _arrays(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """The ids of each document, from the columns small and ids."""
+    return [np.frombuffer(x, dtype="<u2" if s else "<u4") for s, x in zip(batch.column("small").to_pylist(), batch.column("ids").to_pylist(), strict=True)]
 
 
 def frequencies(tokens: DataFrame) -> list[tuple[int, int]]:
@@ -154,15 +185,14 @@ def frequencies(tokens: DataFrame) -> list[tuple[int, int]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                own = np.bincount(np.frombuffer(x, dtype="<u4"))
-                if len(own) > len(held):
-                    held = np.pad(held, (0, len(own) - len(held)))
-                held[: len(own)] += own
+            arrays = _arrays(batch)
+            own = np.bincount(np.concatenate(arrays)) if arrays else held[:0]
+            held = np.pad(held, (0, max(0, len(own) - len(held))))
+            held[: len(own)] += own
         at = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(held[at], pa.int64())], names=["id", "n"])
 
-    counts = tokens.select("ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = tokens.select("small", "ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
     return sorted(((r.id, r.n) for r in counts.collect()), key=lambda x: (-x[1], x[0]))  # as long as the vocabulary
 
 
@@ -173,8 +203,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int | None = None,
     are the parts; a part is sorted by one task, which writes blocks of about `block_ids` ids.
     """
     spark = docs.sparkSession
-    tokens = settle(_narrow(tokenize(docs, tokenizer, end)), "tokens")
-    ids = [i for i, _ in frequencies(_wide(tokens))]
+    tokens = settle(tokenize(docs, tokenizer, end), "tokens")
+    ids = [i for i, _ in frequencies(tokens)]
     spark.createDataFrame([(r, int(i)) for r, i in enumerate(ids)], "rank bigint, id bigint").coalesce(1).write.parquet(f"{folder}/ranks")
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = tokens.filter("doc_id IS NOT NULL").agg(F.percentile_approx("doc_id", [i / width for i in range(1, width)] or [0.5], 20 * width)).first()[0]
@@ -184,10 +214,10 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int | None = None,
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc_ids, lists = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            parts = [0 if d is None else bisect_left(bounds, d) for d in doc_ids]
-            packed = [pack(rank_of[np.frombuffer(x, dtype="<u4")]) for x in lists]
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), batch.column(0), pa.array([len(x) // 4 for x in lists], pa.int64()), pa.array([c for c, _ in packed], pa.binary()), pa.array([d for _, d in packed], pa.binary())], names=["part", "doc_id", "n", "control", "data"])
+            lists = _arrays(batch)
+            parts = [0 if d is None else bisect_left(bounds, d) for d in batch.column(0).to_pylist()]
+            packed = [pack(rank_of[x]) for x in lists]
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), batch.column(0), pa.array([len(x) for x in lists], pa.int64()), pa.array([c for c, _ in packed], pa.binary()), pa.array([d for _, d in packed], pa.binary())], names=["part", "doc_id", "n", "control", "data"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc_ids: list[int | None] = []
@@ -211,35 +241,12 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int | None = None,
         if doc_ids:
             yield out()
 
-    packed = _wide(tokens).select("doc_id", "ids").mapInArrow(coded, "part int, doc_id bigint, n bigint, control binary, data binary")
+    packed = tokens.select("doc_id", "small", "ids").mapInArrow(coded, "part int, doc_id bigint, n bigint, control binary, data binary")
     parts = packed.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "doc_id", "data", "control")
     parts.mapInArrow(blocks, BLOCK_SCHEMA).write.parquet(f"{folder}/blocks")
     discard(tokens)
 
 
-def _narrow(tokens: DataFrame) -> DataFrame:
-    """Bytes of ids as 16-bit integers where they fit, to keep the intermediate table small."""
-
-    def run(batches):
-        for batch in batches:
-            ids = [np.frombuffer(x, dtype="<u4") for x in batch.column(2).to_pylist()]
-            small = [not len(x) or x.max() < 1 << 16 for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(small, pa.bool_()), pa.array([(x.astype("<u2") if s else x).tobytes() for x, s in zip(ids, small, strict=True)], pa.binary())], names=["doc_id", "small", "ids"])
-
-    return tokens.mapInArrow(run, "doc_id bigint, small boolean, ids binary")
-
-
-def _wide(tokens: DataFrame) -> DataFrame:
-    """(doc_id, ids) with 32-bit integers again."""
-
-    def run(batches):
-        for batch in batches:
-            ids = [np.frombuffer(x, dtype="<u2").astype("<u4").tobytes() if s else x for s, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
-
-    return tokens.select("doc_id", "small", "ids").mapInArrow(run, "doc_id bigint, ids binary")
-
-
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """From the files, for each document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
 
