@@ -77,7 +77,8 @@ def cluster(docs: DataFrame, size: int = 3) -> DataFrame:
     groups = reached.join(nodes, F.col("node") == F.col("fp")).select("node", "root", "low")
     least = groups.groupBy("root").agg(F.min("low").alias("component_id"))
     moved = groups.select("node", "root").join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    named = nodes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
+    # settled, so that the last join shuffles both sides itself and adaptive execution can split a hot fingerprint
+    named = settle(nodes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")), "named")
     return found.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
