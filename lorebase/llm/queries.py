@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import byte_bpe, embeddings, exact, html_text, mixing, piece_count, quality, simhash, token_files, toxicity
 from .common import table
@@ -14,9 +14,14 @@ from .common import table
 TARGETS = {"en": 0.50, "de": 0.18, "fr": 0.18, "es": 0.14}
 
 
-def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The labelled table of the mixture: documents that `labels` covers, with their language as domain."""
-    return docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text", docs["lang"].alias("domain"))
+def labelled_domains(docs: DataFrame, labels: DataFrame, most: int = 4000) -> DataFrame:
+    """The labelled table of the mixture: at most `most` documents that `labels` covers, with their language as domain.
+
+    They are the ones whose ids hash lowest. Only ids are joined and ranked, so that no text is shuffled.
+    """
+    ids = docs.filter("lang IS NOT NULL").select("doc_id").join(labels.select("doc_id").distinct(), "doc_id", "left_semi").distinct()
+    chosen = F.broadcast(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))  # at most `most` ids
+    return docs.join(chosen, "doc_id", "left_semi").select("doc_id", "text", docs["lang"].alias("domain"))
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
