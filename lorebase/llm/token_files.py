@@ -32,6 +32,7 @@ OUT_SCHEMA = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 #: ASCII signs, and what str.split() takes for white space although regular expressions don't.
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _SEPARATORS, _RUNS = regex.compile("[\x1c-\x1f]"), regex.compile(r"[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]++")
+_BLANK = regex.compile(r"[\s\x1c-\x1f]")
 LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], dtype=np.uint8)
 
 
@@ -84,6 +85,7 @@ class ChunkTokenizer:
     That gives the ids of whole texts for tokenizers that lower-case, drop white space, never join across it and
     cut letters and digits from signs, which is checked on a probe. Signs at a run's end are asked for apart from
     it, and a run of Latin-1 letters goes straight to the library's model, as nothing is left to normalise or cut.
+    A run that holds an added token's content, in whatever case, goes to the library whole and as it is written.
     Two generations of `remembered` runs each are kept.
     """
 
@@ -96,24 +98,34 @@ class ChunkTokenizer:
         self.model = self.tokenizer.model
         self.kind = "H" if max(self.tokenizer.get_vocab(with_added_tokens=True).values()) < 1 << 16 else "I"
         self.remembered, self.known, self.old = remembered, {}, {}
+        contents = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = [c.lower() for c in contents]
         # how the library writes each Latin-1 letter for its model
         self.written = {c: self.tokenizer.pre_tokenizer.pre_tokenize_str(chr(c))[0][0] for c in range(256) if chr(c).isalpha()}
         probe = "a b\n\nc  It's x.y\tHÉÇ, \xb5\xaa\xdf42.!? \x1cdon't... re'l\x85(no)\n"
-        if self.encode([probe])[0].tolist() != self.tokenizer.encode(probe, add_special_tokens=False).ids:
+        probe += "".join(f" {c} x{c}, ({c}) {c}{c}. {c.upper()}x {c.upper()}\n" for c in contents)
+        if any(map(_BLANK.search, contents)) or self.encode([probe])[0].tolist() != self.tokenizer.encode(probe, add_special_tokens=False).ids:
             raise ValueError("this tokenizer joins across white space or keeps capitals")
 
-    @staticmethod
-    def runs(text: str) -> list[str]:
-        """Runs between white space, A-Z lowered in texts within Latin-1, where that changes no normal form."""
+    def _holds_added(self, lowered: str) -> bool:
+        return any(c in lowered for c in self.added)
+
+    def runs(self, text: str) -> list[str]:
+        """Runs between white space, A-Z lowered in texts within Latin-1, where that changes no normal form.
+
+        A text with an added token's content, in whatever case, is left as it is.
+        """
         try:
-            text = text.encode("latin-1").lower().decode("latin-1")
+            lowered = text.encode("latin-1").lower().decode("latin-1")
+            if not self._holds_added(lowered):
+                text = lowered
         except UnicodeEncodeError:
             pass
         # str.split() also cuts at four control characters that are not white space
         return text.split() if not _SEPARATORS.search(text) else _RUNS.findall(text)
 
     def _ask(self, run: str) -> bytes:
-        if run.isalpha() and (run.isascii() or max(run) <= "\xff"):
+        if run.isalpha() and (run.isascii() or max(run) <= "\xff") and not self._holds_added(run.lower()):
             run = run.lower()
             ids = [t.id for t in self.model.tokenize(run if run.isascii() else run.translate(self.written))]
         else:
@@ -128,7 +140,7 @@ class ChunkTokenizer:
             ids = old.get(run)
             if ids is None:
                 core = run if run.isalpha() else run.rstrip(SIGNS)
-                if len(core) == len(run) or not core or not core[-1].isalnum():
+                if len(core) == len(run) or not core or not core[-1].isalnum() or self._holds_added(run.lower()):
                     ids = self._ask(run)
                 else:
                     self._learn((core, run[len(core) :]))

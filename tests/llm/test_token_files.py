@@ -72,3 +72,12 @@ def test_files(spark, odd, tmp_path, library):
 def test_query(spark, documents, library):
     got = sorted((tuple(r) for r in queries.op8_token_files(spark, SF).collect()))
     assert got == sorted(brute(library, list(zip(documents.doc_id.tolist(), documents.text, strict=True))))
+
+
+def test_added_tokens(library):
+    """Special strings are single ids as they are written, and plain signs and letters in capitals."""
+    texts = ["end <|endoftext|> next", "<|startoftext|>A Word<|endoftext|>", "<|ENDOFTEXT|>x <|EndOfText|>", "(<|startoftext|>), <|endoftext|>!", "<|endoftext|><|endoftext|>. Don't", "日本 <|endoftext|> <|ENDOFTEXT|> <|StartOfText|>..", "<|endoftext |> |endoftext|>", "É<|startoftext|>É <|endoftext|>."]
+    tokenizer = token_files.ChunkTokenizer(PATH)
+    for _ in range(2):  # the second time from memory
+        assert [x.tolist() for x in tokenizer.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert tokenizer.encode(["end <|endoftext|> next"])[0].tolist() == [806, 49407, 1131]
