@@ -77,3 +77,24 @@ def test_odd_rows(spark, odd, empty):
 def test_no_python_in_the_plan(spark, odd):
     labelled = odd.select("doc_id", "text", F.col("lang").alias("domain"))
     assert "Python" not in (plan := mixing.mix(odd, labelled, {"en": 1.0})._jdf.queryExecution().toString()) and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("natural", [(97, 1, 1, 1), (5, 5, 85, 5), (3, 3, 92, 2), (70, 10, 10, 10)])
+def test_skewed_corpora_meet_targets(spark, natural):
+    """Hard posteriors of skewed shares; every target can be reached."""
+    members = spark.createDataFrame([(k, 10 * n, [float(i == k) for i in range(4)]) for k, n in enumerate(natural)], "doc_id bigint, n_tokens bigint, p array<double>")
+    fit = mixing.fit_rates(members, list(queries.TARGETS), queries.TARGETS)
+    assert max(map(abs, fit.missed().values())) <= 1e-3
+
+
+def test_targets_out_of_reach_are_reported(spark):
+    members = spark.createDataFrame([(0, 50, [0.5, 0.5]), (1, 70, [0.5, 0.5])], "doc_id bigint, n_tokens bigint, p array<double>")
+    with pytest.warns(UserWarning, match="not met"):
+        fit = mixing.fit_rates(members, ["a", "b"], {"a": 0.9, "b": 0.1})
+    assert fit.missed()["a"] < -0.1 and fit.missed()["b"] > 0.1
+
+
+def test_smallest_rate_of_zero_counts_as_a_tenth(spark):
+    docs = spark.createDataFrame([(i, f"{'rot gelb' if i % 2 else 'red yellow'}", "de" if i % 2 else "en") for i in range(40)], "doc_id bigint, text string, domain string")
+    _, members, fit, low = mixing.fit_mixture(docs, docs, {"de": 1.0, "en": 0.0}, 100)
+    assert members.agg(F.min(fit.rate(F.col("p")))).first()[0] == 0.0 and low == 0.1
