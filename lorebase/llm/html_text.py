@@ -51,6 +51,7 @@ class Node:
     tag: str
     parent: int
     prior: float
+    sure: bool = False  # hidden, or a nav: never the frame of a page
 
 
 @dataclass
@@ -158,7 +159,8 @@ def parse(page: str, costs: Costs = Costs()) -> tuple[list[Node], list[Block]]:
                     break
                 if nodes[stack[k]].tag in ("ul", "ol", "menu", "dl", "table"):
                     break
-            nodes.append(Node(tag, stack[-1], _prior(tag, attrs, [nodes[k].tag for k in stack], costs)))
+            sure = tag == "nav" or re.search(r"\bhidden\b|display\s*:\s*none", attrs, re.I) is not None
+            nodes.append(Node(tag, stack[-1], _prior(tag, attrs, [nodes[k].tag for k in stack], costs), sure))
             stack.append(len(nodes) - 1)
     return nodes, blocks
 
@@ -188,6 +190,32 @@ def block_cost(text: str, block: Block, nodes: list[Node]) -> float:
     return cost + inside + outside
 
 
+def weigh_frames(texts: list[str], blocks: list[Block], nodes: list[Node], most: float = 0.1, least: int = 15) -> None:
+    """Weaken what speaks against containers that frame the page's text, as a form or a div.has-sidebar around it.
+
+    Words are counted in blocks that read as content by themselves. A container with over half of the page's words
+    is judged by what reads as content without it, in no other such container: where that is under `most` of its
+    own words, its prior shrinks in proportion, to none if nothing else is there. Parents are judged first.
+    """
+    bare = [Node(x.tag, -1, 0.0) for x in nodes]
+    own, free = [0] * len(nodes), [0] * len(nodes)
+    for t, b in zip(texts, blocks, strict=True):
+        if block_cost(t, b, bare) > 0.5:
+            own[b.parent] += (words := t.count(" ") + 1)
+            free[b.parent] += words
+    for k in range(len(nodes) - 1, 0, -1):
+        own[nodes[k].parent] += own[k]
+        if nodes[k].prior >= 0:
+            free[nodes[k].parent] += free[k]
+    outside = [free[0]] * len(nodes)  # the most that is free in a judged container around a node
+    for k in range(1, len(nodes)):
+        x = nodes[k]
+        around = outside[x.parent]
+        outside[k] = max(around, free[k]) if x.prior < 0 else around
+        if x.prior < 0 and not x.sure and own[k] >= least and 2 * own[k] > own[0]:
+            x.prior *= min(1.0, around / (most * own[k]))
+
+
 def smoothness(blocks: list[Block], nodes: list[Node], costs: Costs) -> list[tuple[int, int, float]]:
     """Edges between blocks (numbered from 0) and containers (numbered on from the blocks)."""
     n = len(blocks)
@@ -265,6 +293,7 @@ def main_text(page: str | None, costs: Costs = Costs()) -> str:
     texts = [t for t in texts if t]
     if not blocks:
         return ""
+    weigh_frames(texts, blocks, nodes)
     score = [block_cost(t, b, nodes) for t, b in zip(texts, blocks, strict=True)] + [0.0] * len(nodes)
     content = minimum_cut(score, smoothness(blocks, nodes, costs))
     return " ".join(t for t, c in zip(texts, content, strict=False) if c)

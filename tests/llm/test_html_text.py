@@ -58,3 +58,16 @@ def test_query(spark):
         article = re.search(r"<article>(.*)</article>", page, re.S)[1]
         text = re.sub(r"</?(?:p|h\d|ul|li|br)\b[^>]*>", " ", article)
         assert got[i].text == " ".join(html.unescape(re.sub(r"<[a-z/!][^>]*>", "", text)).split()) and got[i].n_chars == len(got[i].text)
+
+
+def test_frames_around_the_whole_text():
+    """A form or a class word around the article does not lose it; parts of the page beside an article go as before."""
+    text = "The first sentence of the story is here, and it is long enough. The second one follows it at once."
+    article, menu = f"<h1>A head of the story</h1><p>{text}</p><p>{text}</p>", "<nav><a href='/'>Home</a></nav>"
+    want = f"A head of the story {text} {text}"
+    notes = f"<div class='comments'><p>A reader says: {'this is quite a long comment. ' * 9}</p></div>"
+    for start, end in (("<form id='aspnetForm'>", "</form>"), ("<div class='content-sidebar-wrap'>", "</div>"), ("<div class='layout has-sidebar'>", "</div>"), ("<article class='post has-comments'>", "</article>"), ("<form><div class='with-sidebar'>", "</div></form>")):
+        assert html_text.main_text(f"<body>{start}{menu}{article}{end}<footer>We, 2024.</footer></body>") == want, start
+    assert html_text.main_text(f"<body><form>{menu}<div>{article}</div>{notes}</form></body>") == want
+    assert html_text.main_text(f"<body>{menu}<div>{article}</div>{notes * 5}</body>") == want
+    assert html_text.main_text(f"<body><div hidden>{article}</div></body>") == ""
