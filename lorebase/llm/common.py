@@ -22,9 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set, as in tests."""
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    Where it is unset, a temporary folder is made in local mode only, where all tasks run on this machine; on a
+    cluster each executor would write to a disk of its own, so that is refused.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="lorebase-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -61,6 +67,31 @@ def ship(spark: SparkSession) -> None:
         context._lorebase_shipped = True
 
 
+class Remembered(dict):
+    """What `find` gives for short strings, found on first use and kept.
+
+    Two generations are kept, each of at most `entries` strings and `held` characters together. Strings over
+    `longest` characters are never kept, so a text without white space takes no lasting memory.
+    """
+
+    def __init__(self, find: Callable[[str], object], entries: int = 250_000, held: int = 4_000_000, longest: int = 64):
+        super().__init__()
+        self.find, self.entries, self.held, self.longest = find, entries, held, longest
+        self.size, self.old = 0, {}
+
+    def __missing__(self, key: str) -> object:
+        if len(key) > self.longest:
+            return self.find(key)
+        if len(self) >= self.entries or self.size >= self.held:
+            self.old = dict(self)
+            self.clear()
+            self.size = 0
+        value = self.old[key] if key in self.old else self.find(key)
+        self[key] = value
+        self.size += len(key)
+        return value
+
+
 def ddl(schema: str) -> StructType:
     return StructType.fromDDL(schema)
 
@@ -95,19 +126,14 @@ def third(doc_id: Column) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, most: int) -> DataFrame:
     """Rows (doc_id, text, label) of at most `most` labelled documents for each value of the label.
 
-    They are the ones whose ids hash lowest, so the choice does not depend on partitioning. Only ids are
-    ranked; texts are then fetched for the chosen ids, whose number is bounded by `most`.
+    They are the ones whose ids hash lowest, so the choice does not depend on partitioning. A doc_id with several
+    rows in docs counts once, with the text that hashes lowest; one with several labels has the largest. Only ids
+    are ranked; texts are then fetched for the chosen ids, whose number is bounded by `most`.
     """
     known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label"))
     known = known.filter(train).groupBy("doc_id").agg(F.max("label").alias("label"))
     order = [F.xxhash64("doc_id"), "doc_id"]
     picked = [known.filter(F.col("label") == v).orderBy(*order).limit(most) for v in (0, 1)]
     ids = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * most rows of two numbers
-    return docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(ids, "doc_id")
-
-
-def spread(text: bytes, size: int, each: int) -> list[bytes]:
-    """Up to `each` pieces of `size` bytes, evenly over the text's whole length."""
-    n = -(-len(text) // size)
-    at = range(n) if n <= each else (i * (n - 1) // (each - 1) for i in range(each))
-    return [text[i * size : (i + 1) * size] for i in at]
+    rows = docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(ids, "doc_id")
+    return rows.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))

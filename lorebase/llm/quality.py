@@ -1,8 +1,9 @@
 """Quality classifier by compression.
 
 Two zstandard dictionaries, one trained on good and one on bad labelled text, each compress a text in short
-independent blocks. The difference of the two sizes, divided by their sum, says which kind the text is nearer
-to; a logistic curve over it and over the share of bytes that compression saves gives a calibrated score.
+independent blocks. The difference of the two sizes, divided by the text's own size, says which kind the text is
+nearer to: text that either dictionary makes short, as repeated words, has a difference near none, like other text
+that the good one does not know. A logistic curve over that difference alone gives a calibrated score.
 """
 
 from __future__ import annotations
@@ -14,10 +15,10 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .common import crc_fold, discard, labelled_sample, map_rows, settle, ship, spread, third
+from .common import crc_fold, discard, labelled_sample, map_rows, settle, ship, third
 
 SCHEMA = "doc_id bigint, held_out boolean, score double, predicted int"
-BLOCK, LEVEL = 1024, 3
+BLOCK, LEVEL = 256, 3
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
@@ -42,7 +43,9 @@ class QualityModel:
     bad: bytes | None
     weights: list[float]
 
-    def measure(self):
+    def difference(self):
+        """A function from a text's bytes to its normalised size difference, in tenths; 0 for an empty text."""
+
         def compressor(raw: bytes):
             d = zstandard.ZstdCompressionDict(raw)
             d.precompute_compress(level=LEVEL)
@@ -50,64 +53,66 @@ class QualityModel:
 
         good, bad = compressor(self.good), compressor(self.bad)
 
-        def features(raw: bytes) -> tuple[float, ...]:
-            blocks = [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
-            g, b = sum(len(good(x)) for x in blocks), sum(len(bad(x)) for x in blocks)
-            n = len(raw)
-            if not n:
-                return 0.0, 0.0, 0.0, 1.0
-            saved = min(g, b) / n
-            return 10 * (b - g) / (b + g), min(1.0, saved), max(0.0, 0.35 - saved) * 10, 20 / (20 + n)
+        def of(raw: bytes) -> float:
+            blocks = blocks_of(raw)
+            return 10 * sum(len(bad(x)) - len(good(x)) for x in blocks) / max(1, len(raw))
 
-        return features
+        return of
 
     def scorer(self):
-        w = np.array(self.weights)
+        slope, constant = self.weights
         if self.good is None or self.bad is None:
-            known = float(1 / (1 + np.exp(-w[-1])))
+            known = float(1 / (1 + np.exp(-constant)))
             return lambda text: known
-        features = self.measure()
-        return lambda text: float(1 / (1 + np.exp(-np.clip(np.dot(w[:-1], features((text or "").encode())) + w[-1], -30, 30))))
+        difference = self.difference()
+        return lambda text: float(1 / (1 + np.exp(-np.clip(slope * difference((text or "").encode()) + constant, -30, 30))))
+
 
+def blocks_of(raw: bytes) -> list[bytes]:
+    return [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
 
-def _dictionary(pieces: list[bytes], size: int) -> bytes:
-    pieces = [p for p in pieces if len(p) >= 8]
+
+def _dictionary(texts: list[str], size: int) -> bytes:
+    pieces = [x for t in texts for x in blocks_of(t.encode()) if len(x) >= 8]
     try:
         return zstandard.train_dictionary(size, pieces, level=LEVEL).as_bytes()
     except zstandard.ZstdError:  # too little text to train on: the text itself is the dictionary
         return b"".join(pieces)[-size:].ljust(8, b" ")
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 2500, size: int = 65_536, each: int = 8) -> QualityModel:
+def fit(docs: DataFrame, labels: DataFrame, most: int = 2500, size: int = 65_536) -> QualityModel:
     """Fit on labelled rows outside the held-out fold: at most `most` documents of each label.
 
-    Two thirds of these make the dictionaries, of which each gives up to `each` blocks spread over its whole
-    length; the rest, with their whole texts, make the curve, weighted so that the sample's two labels count as
-    in the labelled table. Blocks and features are made by tasks; the driver gets no more than `each` blocks or
-    four numbers for each row of the bounded sample. Without both labels the score is the share of label 1, or
-    0.5 without labels.
+    Two thirds of these, with their whole texts, make the dictionaries, one task for each label; the rest, with
+    their whole texts, make the curve, weighted so that the sample's two labels count as in the labelled table.
+    The driver gets two dictionaries of `size` bytes, and a label and a number for each row of the bounded sample.
+    Without both labels the score is the share of label 1, or 0.5 without labels.
     """
     train = crc_fold(F.col("doc_id"), 5) != 0
     n = {r[0]: r[1] for r in labels.filter(train & F.col("quality").isin(0, 1)).groupBy("quality").count().collect()}
     base = float(np.log((n.get(1, 0) + 1) / (n.get(0, 0) + 1)))
-    sample = settle(labelled_sample(docs, labels, "quality", train, most).withColumn("third", third(F.col("doc_id"))), "quality-sample")
+    sample = labelled_sample(docs, labels, "quality", train, most).withColumn("third", third(F.col("doc_id")))
+    sample = settle(sample, "quality-sample")
     there = {(r.label, r.curve): r["count"] for r in sample.groupBy("label", (F.col("third") == 0).alias("curve")).count().collect()}
     if min(there.get((k, c), 0) for k in (0, 1) for c in (True, False)) < 2:
+        discard(sample)
         return QualityModel(None, None, [0.0, base])
-    learn, rest = (sample.filter(x).select("doc_id", "label", "text") for x in ("third <> 0", "third = 0"))
-    blocks = map_rows(learn, "doc_id bigint, label int, blocks array<binary>", lambda: lambda i, k, t: (i, k, [spread(x.encode(), BLOCK, each) for x in t]))
-    pieces: dict[int, list[bytes]] = {0: [], 1: []}
-    for r in sorted(blocks.collect(), key=lambda r: (r.doc_id, r.blocks)):
-        pieces[r.label] += [bytes(x) for x in r.blocks]
-    model = QualityModel(_dictionary(pieces[1], size), _dictionary(pieces[0], size), [])
+    ship(docs.sparkSession)
+
+    def learn(key: tuple[int], rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"label": [key[0]], "dictionary": [_dictionary(rows.sort_values("doc_id")["text"].tolist(), size)]})
+
+    made = sample.filter("third <> 0").select("doc_id", "label", "text").groupBy("label").applyInPandas(learn, "label int, dictionary binary")
+    dictionary = {r.label: bytes(r.dictionary) for r in made.collect()}
+    model = QualityModel(dictionary[1], dictionary[0], [])
 
     def start():
-        features = model.measure()
-        return lambda _, k, t: (k, [features(x.encode()) for x in t])
+        difference = model.difference()
+        return lambda k, t: (k, [difference(x.encode()) for x in t])
 
-    curve = sorted((r.label, r.x) for r in map_rows(rest, "label int, x array<double>", start).collect())
+    curve = sorted((r.label, r.x) for r in map_rows(sample.filter("third = 0").select("label", "text"), "label int, x double", start).collect())
     y = np.array([float(k) for k, _ in curve])
-    w = logistic(np.array([x for _, x in curve]), y)
+    w = logistic(np.array([[x] for _, x in curve]), y)
     w[-1] += base - np.log(y.mean() / (1 - y.mean()))
     discard(sample)
     return QualityModel(model.good, model.bad, w.tolist())
@@ -133,7 +138,11 @@ def score(docs: DataFrame, model: QualityModel, threshold: float = 0.3) -> DataF
 
 
 def keep_good(docs: DataFrame, model: QualityModel, threshold: float = 0.3) -> DataFrame:
-    """The documents, with all their columns, whose score reaches the threshold."""
+    """The documents, with all their columns, whose score reaches the threshold.
+
+    Rows are judged one by one, by their text alone: repeated rows stay or go together, a null doc_id does not
+    matter, and null text counts as empty. An empty table gives an empty one.
+    """
     ship(docs.sparkSession)
     columns = docs.columns
     judge: list = []

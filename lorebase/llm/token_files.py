@@ -14,17 +14,17 @@ from __future__ import annotations
 import struct
 import zlib
 from array import array
-from bisect import bisect_left
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import discard, map_rows, settle, shared_dir, ship
+from .common import Remembered, discard, map_rows, settle, shared_dir, ship
 
 MAGIC, HEAD = b"LTF1", struct.Struct("<4sIQQQ")
 BLOCK_SCHEMA = "part int, start bigint, n_docs bigint, n_ids bigint, block binary"
@@ -32,7 +32,6 @@ OUT_SCHEMA = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 #: ASCII signs, and what str.split() takes for white space although regular expressions don't.
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _SEPARATORS, _RUNS = regex.compile("[\x1c-\x1f]"), regex.compile(r"[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]++")
-_BLANK = regex.compile(r"[\s\x1c-\x1f]")
 LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], dtype=np.uint8)
 
 
@@ -82,14 +81,15 @@ def read_block(block: bytes) -> tuple[list[int | None], list[int], np.ndarray]:
 class ChunkTokenizer:
     """The tokenizers library, asked once for each distinct run between white space.
 
-    That gives the ids of whole texts for tokenizers that lower-case, drop white space, never join across it and
-    cut letters and digits from signs, which is checked on a probe. Signs at a run's end are asked for apart from
-    it, and a run of Latin-1 letters goes straight to the library's model, as nothing is left to normalise or cut.
-    A run that holds an added token's content, in whatever case, goes to the library whole and as it is written.
-    Two generations of `remembered` runs each are kept.
+    A text is first cut at the tokenizer's added tokens, as they are written; each is one id. What lies between is
+    ordinary text, where the library is told to take special strings as such. There the ids of runs, one after the
+    other, are those of the whole for tokenizers that lower-case, drop white space, never join across it and cut
+    letters and digits from signs, which is checked on a probe. In runs within Latin-1, where nothing composes,
+    signs at the end are asked for apart, and letters go straight to the library's model, as nothing is left to
+    normalise or cut. Every other run goes to the library whole and as it is written.
     """
 
-    def __init__(self, path: str, remembered: int = 300_000):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -97,65 +97,50 @@ class ChunkTokenizer:
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
         self.kind = "H" if max(self.tokenizer.get_vocab(with_added_tokens=True).values()) < 1 << 16 else "I"
-        self.remembered, self.known, self.old = remembered, {}, {}
-        contents = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.added = [c.lower() for c in contents]
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(not t.special or t.normalized or t.single_word or t.lstrip or t.rstrip for t in added.values()):
+            raise ValueError("added tokens of this tokenizer do more than match as they are written")
+        self.added = {t.content: array(self.kind, [i]).tobytes() for i, t in added.items()}
+        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
         # how the library writes each Latin-1 letter for its model
         self.written = {c: self.tokenizer.pre_tokenizer.pre_tokenize_str(chr(c))[0][0] for c in range(256) if chr(c).isalpha()}
-        probe = "a b\n\nc  It's x.y\tHÉÇ, \xb5\xaa\xdf42.!? \x1cdon't... re'l\x85(no)\n"
-        probe += "".join(f" {c} x{c}, ({c}) {c}{c}. {c.upper()}x {c.upper()}\n" for c in contents)
-        if any(map(_BLANK.search, contents)) or self.encode([probe])[0].tolist() != self.tokenizer.encode(probe, add_special_tokens=False).ids:
+        self.known = Remembered(self._ask, entries=300_000)
+        probe = "a b\n\nc  It's x.y\tHÉÇ, \xb5\xaa\xdf42.!? \x1cdon't... re'l\x85(no) \u0130. \u0130x\n"
+        probe += "".join(f" {c} x{c}, ({c}) {c}{c}. {c.upper()}x {c.upper()}" for c in self.added)
+        want = self.tokenizer.encode(probe, add_special_tokens=False).ids
+        self.tokenizer.encode_special_tokens = True
+        if self.encode([probe])[0].tolist() != want:
             raise ValueError("this tokenizer joins across white space or keeps capitals")
 
-    def _holds_added(self, lowered: str) -> bool:
-        return any(c in lowered for c in self.added)
-
-    def runs(self, text: str) -> list[str]:
-        """Runs between white space, A-Z lowered in texts within Latin-1, where that changes no normal form.
-
-        A text with an added token's content, in whatever case, is left as it is.
-        """
+    def _runs(self, text: str) -> list[str]:
+        """Runs between white space, A-Z lowered in texts within Latin-1, where that changes no normal form."""
         try:
-            lowered = text.encode("latin-1").lower().decode("latin-1")
-            if not self._holds_added(lowered):
-                text = lowered
+            text = text.encode("latin-1").lower().decode("latin-1")
         except UnicodeEncodeError:
             pass
         # str.split() also cuts at four control characters that are not white space
         return text.split() if not _SEPARATORS.search(text) else _RUNS.findall(text)
 
     def _ask(self, run: str) -> bytes:
-        if run.isalpha() and (run.isascii() or max(run) <= "\xff") and not self._holds_added(run.lower()):
-            run = run.lower()
-            ids = [t.id for t in self.model.tokenize(run if run.isascii() else run.translate(self.written))]
-        else:
-            ids = self.tokenizer.encode(run, add_special_tokens=False).ids
-        return array(self.kind, ids).tobytes()
-
-    def _learn(self, runs: Iterable[str]) -> None:
-        known, old = self.known, self.old
-        for run in runs:
-            if run in known:
-                continue
-            ids = old.get(run)
-            if ids is None:
-                core = run if run.isalpha() else run.rstrip(SIGNS)
-                if len(core) == len(run) or not core or not core[-1].isalnum() or self._holds_added(run.lower()):
-                    ids = self._ask(run)
-                else:
-                    self._learn((core, run[len(core) :]))
-                    ids = known[core] + known[run[len(core) :]]
-            known[run] = ids
+        if run.isascii() or max(run) <= "\xff":
+            if run.isalpha():
+                run = run.lower()
+                ids = [t.id for t in self.model.tokenize(run if run.isascii() else run.translate(self.written))]
+                return array(self.kind, ids).tobytes()
+            core = run.rstrip(SIGNS)
+            if core and len(core) < len(run) and core[-1].isalnum():
+                return self.known[core] + self.known[run[len(core) :]]
+        return array(self.kind, self.tokenizer.encode(run, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as 16-bit integers if the whole vocabulary fits, else as 32-bit ones."""
-        out = []
+        out, find = [], self.known.__getitem__
         for t in texts:
-            runs = self.runs(t)
-            self._learn(set(runs).difference(self.known))
-            out.append(np.frombuffer(b"".join(map(self.known.__getitem__, runs)), dtype=self.kind))
-            if len(self.known) > self.remembered:
-                self.known, self.old = {}, self.known
+            parts = self.cut.split(t) if self.cut else [t]  # ordinary text and added tokens in turn
+            coded = [b"".join(map(find, self._runs(parts[0])))]
+            for token, plain in zip(parts[1::2], parts[2::2], strict=True):
+                coded += [self.added[token], *map(find, self._runs(plain))]
+            out.append(np.frombuffer(b"".join(coded), dtype=self.kind))
         return out
 
 
@@ -208,54 +193,46 @@ def frequencies(tokens: DataFrame) -> list[tuple[int, int]]:
     return sorted(((r.id, r.n) for r in counts.collect()), key=lambda x: (-x[1], x[0]))  # as long as the vocabulary
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, end: int | None = None, block_ids: int = 1_000_000) -> None:
+def write(docs: DataFrame, folder: str, tokenizer: str, end: int | None = None, block_ids: int = 1_000_000, part_ids: int = 64_000_000) -> None:
     """Write every document's ids to `folder`: blocks/ in ascending doc_id order, ranks/ with the id of each rank.
 
-    Null doc_ids come first. Equal doc_ids lie together, ordered by their ids. Ranges of doc_ids, cut at quantiles,
-    are the parts; a part is sorted by one task, which writes blocks of about `block_ids` ids.
+    Null doc_ids come first; equal doc_ids lie together, in any order. The parts are ranges of (doc_id, row number), so
+    a doc_id with many rows is spread over several. Each is sorted and coded by one task, which writes blocks of
+    about `block_ids` ids. There are as many parts as shuffle partitions, and more where one would pass `part_ids`.
     """
     spark = docs.sparkSession
-    tokens = settle(tokenize(docs, tokenizer, end), "tokens")
-    ids = [i for i, _ in frequencies(tokens)]
+    tokens = tokenize(docs, tokenizer, end).withColumn("row", F.monotonically_increasing_id())
+    tokens = settle(tokens, "tokens")
+    counted = frequencies(tokens)
+    ids = [i for i, _ in counted]
     spark.createDataFrame([(r, int(i)) for r, i in enumerate(ids)], "rank bigint, id bigint").coalesce(1).write.parquet(f"{folder}/ranks")
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = tokens.filter("doc_id IS NOT NULL").agg(F.percentile_approx("doc_id", [i / width for i in range(1, width)] or [0.5], 20 * width)).first()[0]
-    bounds = sorted(set(cuts or []))
     rank_of = np.zeros(max(ids, default=0) + 1, dtype="<u4")
     rank_of[ids] = np.arange(len(ids), dtype="<u4")
 
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = _arrays(batch)
-            parts = [0 if d is None else bisect_left(bounds, d) for d in batch.column(0).to_pylist()]
-            packed = [pack(rank_of[x]) for x in lists]
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), batch.column(0), pa.array([len(x) for x in lists], pa.int64()), pa.array([c for c, _ in packed], pa.binary()), pa.array([d for _, d in packed], pa.binary())], names=["part", "doc_id", "n", "control", "data"])
-
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         doc_ids: list[int | None] = []
-        ranks: list[np.ndarray] = []
-        part, start, held = -1, 0, 0
+        lists: list[np.ndarray] = []
+        part, start, held = TaskContext.get().partitionId(), 0, 0
 
         def out():
-            block = write_block(doc_ids, [len(r) for r in ranks], np.concatenate(ranks))
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([start], pa.int64()), pa.array([len(doc_ids)], pa.int64()), pa.array([held], pa.int64()), pa.array([block], pa.binary())], names=["part", "start", "n_docs", "n_ids", "block"])
+            block = write_block(doc_ids, [len(x) for x in lists], rank_of[np.concatenate(lists)])
+            row = zip(([part], [start], [len(doc_ids)], [held], [block]), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in row], names=["part", "start", "n_docs", "n_ids", "block"])
 
         for batch in batches:
-            for p, d, n, control, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if doc_ids and (p != part or held + n > block_ids):
+            for d, x in zip(batch.column("doc_id").to_pylist(), _arrays(batch), strict=True):
+                if doc_ids and held + len(x) > block_ids:
                     yield out()
-                    start = start + held if p == part else 0
-                    doc_ids, ranks, held = [], [], 0
-                part = p
+                    doc_ids, lists, start, held = [], [], start + held, 0
                 doc_ids.append(d)
-                ranks.append(unpack(control, data, n))
-                held += n
+                lists.append(x)
+                held += len(x)
         if doc_ids:
             yield out()
 
-    packed = tokens.select("doc_id", "small", "ids").mapInArrow(coded, "part int, doc_id bigint, n bigint, control binary, data binary")
-    parts = packed.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "doc_id", "data", "control")
-    parts.mapInArrow(blocks, BLOCK_SCHEMA).write.parquet(f"{folder}/blocks")
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(n for _, n in counted) // part_ids + 1)
+    parts = tokens.repartitionByRange(width, "doc_id", "row").sortWithinPartitions("doc_id", "row")
+    parts.select("doc_id", "small", "ids").mapInArrow(blocks, BLOCK_SCHEMA).write.parquet(f"{folder}/blocks")
     discard(tokens)
 
 

@@ -34,6 +34,40 @@ def test_odd_rows(spark, odd, empty):
     assert quality.score(empty, model).collect() == []
 
 
+def test_whole_texts_and_the_difference_alone(spark):
+    """Every row against a plain version: sizes by both dictionaries, block by block, over the whole text."""
+    import math
+
+    import zstandard
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    sizes = []
+    for raw in (model.good, model.bad):
+        c = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(raw), write_content_size=False, write_dict_id=False)
+        sizes.append(lambda x, c=c: sum(len(c.compress(x[i : i + quality.BLOCK])) for i in range(0, len(x), quality.BLOCK)))
+    slope, constant = model.weights
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    off = []
+    for r in docs.collect():
+        x = r.text.encode()
+        z = slope * 10 * (sizes[1](x) - sizes[0](x)) / max(1, len(x)) + constant
+        off.append(abs(got[r.doc_id] - 1 / (1 + math.exp(-max(-30, min(30, z))))))
+    assert max(off) < 0.02
+
+
+def test_sample_is_bounded_by_rows(spark):
+    """A labelled doc_id with many rows counts once, with a text that does not depend on their order."""
+    from lorebase.llm.common import labelled_sample
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(50)] + [(2, "b"), (3, "c"), (None, "d")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 0), (None, 1)], "doc_id bigint, quality int")
+    rows = labelled_sample(docs.repartition(7), labels, "quality", F.lit(True), 10).collect()
+    again = labelled_sample(docs.orderBy(F.desc("text")), labels, "quality", F.lit(True), 10).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, again)) and sorted((r.doc_id, r.label) for r in rows) == [(1, 1), (2, 0), (3, 0)]
+
+
 @pytest.mark.parametrize("kinds", [[], [1] * 20])
 def test_without_both_labels(spark, odd, kinds):
     labels = spark.createDataFrame(list(enumerate(kinds)) + [(None, None)], "doc_id bigint, quality int")

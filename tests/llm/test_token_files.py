@@ -74,6 +74,43 @@ def test_query(spark, documents, library):
     assert got == sorted(brute(library, list(zip(documents.doc_id.tolist(), documents.text, strict=True))))
 
 
+@pytest.fixture(scope="module")
+def chunks():
+    return token_files.ChunkTokenizer(PATH)
+
+
+SPECIAL = st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "endoftext", " ", ".", "'s", "\u0130", "\u0130.", "\u0130<|endoftext|>", "e\u0301", "\u0301", "\u0307x!", "\u03a3.", "\u212b", "A", "b", "42", "\u00bd)", "\n", "\x1c", "\u2028", "\u1e9e.", "\ufb01", "\u0149!", "\U0001f600"])
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(SPECIAL | st.text(max_size=8) | st.text(alphabet="aB.'sé\u0130\u0307 !<|>", max_size=12), max_size=14).map("".join))
+def test_whole_texts_as_the_library(chunks, library, text):
+    want = library.encode(text, add_special_tokens=False).ids
+    assert chunks.encode([text])[0].tolist() == want and chunks.encode([text])[0].tolist() == want
+
+
+def test_memory_is_bounded(chunks):
+    """Long runs are never kept, and the others only up to a number of characters."""
+    for k in range(20):
+        chunks.encode([f"{k}" + "xyz" * 20_000])
+    assert max(map(len, chunks.known)) <= 64
+    from lorebase.llm.common import Remembered
+
+    found = Remembered(len, entries=10, held=100, longest=20)
+    assert [found["a" * n + str(k)] for k in range(40) for n in (3, 30)] == [len("a" * n + str(k)) for k in range(40) for n in (3, 30)]
+    assert len(found) <= 10 and len(found.old) <= 10 and max(map(len, found)) <= 20
+
+
+def test_hot_doc_id(spark, library):
+    """Rows of one doc_id are dealt to several parts and still lie together."""
+    rows = [(7, f"text {k}") for k in range(300)] + [(None, f"none {k}") for k in range(300)] + [(k, "a b c") for k in range(10)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    folder = token_files.shared_dir(spark) + "/hot"
+    token_files.write(df, folder, PATH, end=1)
+    assert spark.read.parquet(f"{folder}/blocks").select("part").distinct().count() > 2
+    same(token_files.read(spark, folder).collect(), brute(library, rows))
+
+
 def test_added_tokens(library):
     """Special strings are single ids as they are written, and plain signs and letters in capitals."""
     texts = ["end <|endoftext|> next", "<|startoftext|>A Word<|endoftext|>", "<|ENDOFTEXT|>x <|EndOfText|>", "(<|startoftext|>), <|endoftext|>!", "<|endoftext|><|endoftext|>. Don't", "日本 <|endoftext|> <|ENDOFTEXT|> <|StartOfText|>..", "<|endoftext |> |endoftext|>", "É<|startoftext|>É <|endoftext|>."]
