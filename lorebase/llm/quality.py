@@ -3,11 +3,14 @@
 Two zstandard dictionaries, one trained on good and one on bad labelled text, each compress a text in short
 independent blocks. The difference of the two sizes, divided by the text's own size, says which kind the text is
 nearer to: text that either dictionary makes short, as repeated words, has a difference near none, like other text
-that the good one does not know. A logistic curve over that difference alone gives a calibrated score.
+that the good one does not know. A text counts as if a few bytes of average text were added to it, so that the
+shortest ones, of which compression tells nothing, score as the average does. A logistic curve over that normalised
+difference alone gives a calibrated score.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import crc_fold, discard, labelled_sample, map_rows, settle, ship, third
 
 SCHEMA = "doc_id bigint, held_out boolean, score double, predicted int"
-BLOCK, LEVEL = 256, 3
+BLOCK, LEVEL, ADDED = 256, 3, 30
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
@@ -37,14 +40,16 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50
 
 @dataclass
 class QualityModel:
-    """Dictionaries (None when a kind of label is missing) and the weights of the logistic curve."""
+    """Dictionaries (None when a kind of label is missing), the weights of the logistic curve, and the average text's
+    size difference for each byte, in tenths."""
 
     good: bytes | None
     bad: bytes | None
     weights: list[float]
+    average: float = 0.0
 
     def difference(self):
-        """A function from a text's bytes to its normalised size difference, in tenths; 0 for an empty text."""
+        """A function from a text's bytes to its size difference, in tenths of a byte."""
 
         def compressor(raw: bytes):
             d = zstandard.ZstdCompressionDict(raw)
@@ -55,7 +60,7 @@ class QualityModel:
 
         def of(raw: bytes) -> float:
             blocks = blocks_of(raw)
-            return 10 * sum(len(bad(x)) - len(good(x)) for x in blocks) / max(1, len(raw))
+            return 10.0 * sum(len(bad(x)) - len(good(x)) for x in blocks)
 
         return of
 
@@ -65,7 +70,18 @@ class QualityModel:
             known = float(1 / (1 + np.exp(-constant)))
             return lambda text: known
         difference = self.difference()
-        return lambda text: float(1 / (1 + np.exp(-np.clip(slope * difference((text or "").encode()) + constant, -30, 30))))
+
+        def score(text: str | None) -> float:
+            raw = (text or "").encode()
+            z = slope * normalised(difference(raw), len(raw), self.average) + constant
+            return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+
+        return score
+
+
+def normalised(difference: float, size: int, average: float) -> float:
+    """The difference for each byte, with ADDED bytes of average text."""
+    return (difference + ADDED * average) / (size + ADDED)
 
 
 def blocks_of(raw: bytes) -> list[bytes]:
@@ -85,7 +101,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 2500, size: int = 65_536
 
     Two thirds of these, with their whole texts, make the dictionaries, one task for each label; the rest, with
     their whole texts, make the curve, weighted so that the sample's two labels count as in the labelled table.
-    The driver gets two dictionaries of `size` bytes, and a label and a number for each row of the bounded sample.
+    The driver gets two dictionaries of `size` bytes, and a label and two numbers for each row of the bounded sample.
     Without both labels the score is the share of label 1, or 0.5 without labels.
     """
     train = crc_fold(F.col("doc_id"), 5) != 0
@@ -108,14 +124,17 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 2500, size: int = 65_536
 
     def start():
         difference = model.difference()
-        return lambda k, t: (k, [difference(x.encode()) for x in t])
-
-    curve = sorted((r.label, r.x) for r in map_rows(sample.filter("third = 0").select("label", "text"), "label int, x double", start).collect())
-    y = np.array([float(k) for k, _ in curve])
-    w = logistic(np.array([[x] for _, x in curve]), y)
+        return lambda k, t: (k, [difference(x.encode()) for x in t], [len(x.encode()) for x in t])
+
+    rows = map_rows(sample.filter("third = 0").select("label", "text"), "label int, x double, size bigint", start)
+    curve = sorted((r.label, r.x, r.size) for r in rows.collect())
+    y = np.array([float(k) for k, *_ in curve])
+    good = 1 / (1 + np.exp(-base))
+    average = sum(share * np.mean([x / max(1, n) for k, x, n in curve if k == kind]) for kind, share in ((1, good), (0, 1 - good)))
+    w = logistic(np.array([[normalised(x, n, average)] for _, x, n in curve]), y)
     w[-1] += base - np.log(y.mean() / (1 - y.mean()))
     discard(sample)
-    return QualityModel(model.good, model.bad, w.tolist())
+    return QualityModel(model.good, model.bad, w.tolist(), float(average))
 
 
 def score(docs: DataFrame, model: QualityModel, threshold: float = 0.3) -> DataFrame:
