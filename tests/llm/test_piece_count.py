@@ -20,7 +20,26 @@ def test_same_counts_as_the_library(model, texts):
     assert piece_count.counter(PATH).count(texts) == [len(model.encode(t)) for t in texts]
 
 
-@pytest.mark.parametrize("text", ["ab" * 5000, "a" * 511, "a" * 512, "aaaa" * 3000 + " b", "é" * 2000, "漢字" * 900, " " * 3000])
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="ab", min_size=2, max_size=400) | st.text(alphabet="etaoin▁", min_size=1, max_size=300) | st.text(alphabet="01=-a", min_size=1, max_size=200), min_size=1, max_size=4), st.integers(1, 4))
+def test_repeated_pairs(model, texts, times):
+    """Few letters make the same pairs again and again, also overlapping ones."""
+    texts = [t * times**2 for t in texts]  # the longer ones are held in parts
+    assert piece_count.counter(PATH).count_sequences([piece_count.SPACE + t for t in texts]) == [len(model.encode(t)) for t in texts]
+
+
+def test_long_natural_text(model):
+    import random
+
+    r = random.Random(4)
+    words = "the of and internation station ability pre under standing work er ness re form".split()
+    text = "".join(r.choice(words) for _ in range(8000))
+    counts = piece_count.counter(PATH)
+    assert counts.count([text, text[1:]]) == [len(model.encode(t)) for t in (text, text[1:])]
+    assert max(map(len, counts.known)) <= 64
+
+
+@pytest.mark.parametrize("text", ["ab" * 5000, "a" * 511, "a" * 512, "aaaa" * 3000 + " b", "é" * 2000, "漢字" * 900, " " * 3000, " " * 100_000, "=-" * 20_000, "-" * 50_001 + "x", "acgt" * 9000 + "tgca" * 5000])
 def test_long_sequences(model, text):
     assert piece_count.counter(PATH).count([text]) == [len(model.encode(text))]
 
