@@ -16,7 +16,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame
 
-from .common import map_rows
+from .common import Remembered, map_rows
 
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 IDS_SCHEMA = "doc_id bigint, ids array<int>"
@@ -112,28 +112,10 @@ def heap_merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-class _Chunks(dict):
-    """Encoded ids of text chunks seen so far, found on first use. Two generations bound the memory."""
-
-    def __init__(self, encode, most: int):
-        super().__init__()
-        self.encode, self.most, self.old = encode, most, {}
-
-    def __missing__(self, chunk):
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        ids = self.old.get(chunk)
-        if ids is None:
-            ids = self.encode(chunk)
-        self[chunk] = ids
-        return ids
-
-
 class ByteBPE:
-    """Encoder and decoder of one vocabulary. remembered: chunks of text whose ids are kept in memory."""
+    """Encoder and decoder of one vocabulary. Ids of short chunks of text are remembered, in bounded memory."""
 
-    def __init__(self, path: str, pattern: str, remembered: int = 250_000):
+    def __init__(self, path: str, pattern: str):
         self.ranks = read_ranks(path)
         keys = list(self.ranks)
         self.hash = PerfectHash(keys)
@@ -143,7 +125,7 @@ class ByteBPE:
             self.bytes_of[v] = k
         self.pretokens = regex.compile(pattern).findall
         self.chunks = regex.compile(f"[{WHITE}]*+[^{WHITE}]++|[{WHITE}]++").findall
-        self.seen = _Chunks(self._encode_chunk, remembered)
+        self.seen = Remembered(self._encode_chunk)
 
     def _encode_chunk(self, chunk: str) -> bytes:
         ids: list[int] = []

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import SPACE, settle
+from .common import SPACE, discard, settle
+from .keeping import keep, row_key
 
 #: Digests with more than this share of the rows are candidates for map-side removal. The Misra-Gries sketch
 #: holds at most its inverse, so the broadcast table has at most 1 / SUPPORT rows.
@@ -46,16 +47,21 @@ def duplicates(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """The documents, with all their columns, without those that equal one of smaller doc_id.
+    """The documents, with all their columns, of which one of each group of equal texts stays.
 
-    Copies of a frequent text go map-side; of the row that stays, repeated rows are reduced with partial
-    aggregation. The rest is shuffled by digest once.
+    Texts are equal as in `duplicates`. The row of smallest doc_id stays, a null one last; of several rows of that
+    doc_id the one whose raw text's MD5 comes first, and of repeated rows one. Null text counts as empty. An empty
+    table gives an empty one. Only digests are grouped: frequent ones are settled by a broadcast of their verified
+    winners, the others by ordinary shuffles. Then the rows that go are taken out of the documents.
     """
-    columns = docs.columns
-    named = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("doc"), F.struct(F.col("doc_id").isNull().alias("last"), "doc_id").alias("row"), digest(F.col("text")).alias("text_sha256"))
-    heavy = F.broadcast(settle(heavy_hitters(settle(named.select("row", "text_sha256"), "digests"), support=support), "heavy"))
-    winners = named.join(heavy.select("text_sha256", "first"), "text_sha256").filter(F.col("row").eqNullSafe(F.col("first")))
-    one = winners.groupBy("text_sha256").agg(F.first("doc").alias("doc")).select("doc")
-    first = F.row_number().over(Window.partitionBy("text_sha256").orderBy("row"))
-    rest = named.join(heavy, "text_sha256", "left_anti").withColumn("place", first).filter("place = 1").select("doc")
-    return one.unionByName(rest).select(*(F.col("doc").getField(c).alias(c) for c in columns))
+    rows = settle(docs.select(row_key().alias("row"), digest(F.col("text")).alias("text_sha256")), "digests")
+    heavy = settle(heavy_hitters(rows, support=support), "heavy")
+    one = F.broadcast(heavy.select("text_sha256", "first"))  # at most 1 / support rows
+    light = rows.join(one, "text_sha256", "left_anti")
+    least = light.groupBy("text_sha256").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    both = rows.join(one, "text_sha256").select("row", "first").unionByName(light.join(least, "text_sha256").select("row", "first"))
+    decided = settle(both.groupBy(F.col("row").alias("key"), "first").agg(F.count(F.lit(1)).alias("n")), "decided")
+    out = keep(docs, decided.filter("key <> first"), decided.filter("key = first AND n > 1"))
+    for used in (rows, heavy, decided):
+        discard(used)
+    return out

@@ -12,10 +12,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from xxhash import xxh64_intdigest
 
-from .common import map_rows, settle
+from .common import discard, map_rows, settle
 from .components import components
+from .keeping import keep, row_key
 
 SEED, RADIUS = 42, 2
+KEY = "key struct<last: boolean, doc_id: bigint, md5: string>"
 
 
 def fingerprint(text: str | None, size: int = 3) -> int:
@@ -43,24 +45,32 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     return map_rows(docs.select("doc_id", "text"), "doc_id bigint, fp bigint", lambda: lambda ids, texts: (ids, [fingerprint(t, size) for t in texts]))
 
 
-def variants(fp: Column, radius: int) -> Column:
-    """All 64-bit values within `radius` // 2 flipped bits of fp, itself included; radius is 2 or 3."""
+def variants(fp: Column) -> Column:
+    """All 64-bit values within RADIUS // 2, one flipped bit, of fp, itself included."""
     flipped = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: fp.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), i)))
     return F.concat(F.array(fp), flipped)
 
 
-def near_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links (a, b) of a table of distinct fingerprints `fp`, enough to connect all that lie within the radius.
+def near_links(distinct: DataFrame) -> DataFrame:
+    """Links (a, b) of a table of distinct fingerprints `fp`, enough to connect all that lie within RADIUS.
 
     A variant lies within one bit of at most 65 distinct fingerprints, so no group here is large. Members of a
     group are linked to its smallest one, not to each other; links are deduplicated and their distance verified.
     """
-    if radius not in (2, 3):
-        raise ValueError("half the radius must be one bit")
-    balls = distinct.select("fp", F.explode(variants(F.col("fp"), radius)).alias("variant"))
+    balls = distinct.select("fp", F.explode(variants(F.col("fp"))).alias("variant"))
     low = F.min("fp").over(Window.partitionBy("variant"))
     links = balls.select("fp", low.alias("low")).filter("fp <> low").distinct()
-    return links.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("low"))) <= 2).select(F.col("fp").alias("a"), F.col("low").alias("b"))
+    return links.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("low"))) <= RADIUS).select(F.col("fp").alias("a"), F.col("low").alias("b"))
+
+
+def _grouped(nodes: DataFrame) -> DataFrame:
+    """(fp, least) for each of the distinct fingerprints: the smallest `low` of those that it reaches."""
+    reached = components(near_links(nodes.select("fp")))
+    groups = reached.join(nodes, F.col("node") == F.col("fp")).select("node", "root", "low")
+    least = groups.groupBy("root").agg(F.min("low").alias("least"))
+    moved = groups.select("node", "root").join(least, "root").select(F.col("node").alias("fp"), "least")
+    # settled, so that a join with it shuffles both sides itself and adaptive execution can split a hot fingerprint
+    return settle(nodes.join(moved, "fp", "left").select("fp", F.coalesce("least", "low").alias("least")), "named")
 
 
 def cluster(docs: DataFrame, size: int = 3) -> DataFrame:
@@ -73,16 +83,25 @@ def cluster(docs: DataFrame, size: int = 3) -> DataFrame:
     """
     found = settle(fingerprints(docs, size), "fingerprints")
     nodes = settle(found.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
-    reached = components(near_links(nodes.select("fp")))
-    groups = reached.join(nodes, F.col("node") == F.col("fp")).select("node", "root", "low")
-    least = groups.groupBy("root").agg(F.min("low").alias("component_id"))
-    moved = groups.select("node", "root").join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    # settled, so that the last join shuffles both sides itself and adaptive execution can split a hot fingerprint
-    named = settle(nodes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")), "named")
-    return found.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = _grouped(nodes)
+    discard(nodes)
+    return found.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("least").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, size: int = 3) -> DataFrame:
-    """The documents, with all their columns, without those that have a near copy of smaller doc_id in their group."""
-    gone = cluster(docs, size).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(settle(gone, "near-copies"), "doc_id", "left_anti").select(*docs.columns)
+    """The documents, with all their columns, of which one of each group of near copies stays.
+
+    Groups are those of `cluster`. Of a group the row of smallest doc_id stays, a null one last; of several rows of
+    that doc_id the one whose text's MD5 comes first, and of repeated rows one. Rows are judged by themselves, so a
+    doc_id with rows in several groups may stay in some and go in others. Null text counts as empty text: all such
+    rows are near copies of each other. An empty table gives an empty one.
+    """
+    keyed = map_rows(docs.select("text", "doc_id", row_key().alias("key")), f"{KEY}, fp bigint", lambda: lambda texts, _, keys: (keys, [fingerprint(t, size) for t in texts]))
+    found = settle(keyed, "fingerprints")
+    nodes = settle(found.groupBy("fp").agg(F.min("key").alias("low")), "distinct")
+    named = _grouped(nodes)
+    rows = settle(found.join(named, "fp").groupBy("key", "least").agg(F.count(F.lit(1)).alias("n")), "decided")
+    out = keep(docs, rows.filter("key <> least"), rows.filter("key = least AND n > 1"))
+    for used in (found, nodes, named, rows):
+        discard(used)
+    return out

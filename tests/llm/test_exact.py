@@ -43,6 +43,25 @@ def test_keep_first(odd):
     assert {r.doc_id for r in kept.collect()} == {1, 3, 5, 6, 8, 9, 10, 11, 12, -5, 13}
 
 
+def test_keep_first_with_repeated_ids(spark):
+    """Rows of one doc_id that differ in white space only: the one whose MD5 comes first; other columns by JSON."""
+    rows = [(1, "a b", "z"), (1, "a  b", "y"), (1, "a b", "x"), (5, "a\tb", "w"), (5, "own", "v"), (None, "own", "u"), (None, None, "t"), (None, "", "s")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, doc string")
+    first = min(("a b", "a  b"), key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    want = [(1, first, "x" if first == "a b" else "y"), (5, "own", "v"), (None, None, "t")]
+    for k in (1, 3, 8):
+        for support in (1e-3, 0.3):
+            got = [tuple(r) for r in exact.keep_first(df.repartition(k, "doc"), support).collect()]
+            assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_plan_has_no_python(spark, capsys):
+    exact.duplicates(spark.read.parquet(f"{SF}/documents.parquet")).explain()
+    exact.keep_first(spark.read.parquet(f"{SF}/documents.parquet")).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Physical Plan") == 2 and not re.search("Python|InArrow|InPandas|Cartesian|NestedLoop", plan)
+
+
 def test_query(spark, documents):
     got = queries.op7_exact_dedup(spark, SF).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()
     assert sorted(str(tuple(r)) for r in got) == brute(list(zip(documents.doc_id.tolist(), documents.text, strict=True)))
