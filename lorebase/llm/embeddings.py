@@ -1,50 +1,94 @@
 """Near-duplicate vectors by Euclidean p-stable hashing with exact cosine checks.
 
 Vectors are normalised. A table of the index quantises `projections` random Gaussian projections into steps of
-`width`; vectors that share all steps share a bucket. Buckets of all tables are compared exactly, in blocks.
+`width`; vectors that share all steps share a bucket. Only numbers of vectors are shuffled by bucket, with a sketch
+of 64 signs that tells most unlike pairs apart; pairs that remain fetch their vectors once, for an exact cosine.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import FloatType
 
-from .common import ddl, settle, ship
+from .common import discard, settle, ship
 from .components import components
 
-INDEX_SCHEMA = "node bigint, copies bigint, vector binary, no int, bucket bigint"
+ROW_SCHEMA = "key bigint, tag int, node bigint, sketch bigint"
+MET_SCHEMA = "a bigint, b bigint, tag int"
 FOUND_SCHEMA = "a bigint, b bigint, links bigint"
 
 
+def same_step(distance: float, width: float) -> float:
+    """The probability that a projection puts two vectors at a distance into one step."""
+    x = width / distance
+    return math.erf(x / math.sqrt(2)) - math.sqrt(2 / math.pi) / x * (1 - math.exp(-x * x / 2))
+
+
 @dataclass(frozen=True)
 class Lsh:
-    """tables and projections set recall and work; at cosine 0.95 these find a pair with probability 0.97."""
+    """How many tables, and projections in each; `fitting` gives those for a number of vectors.
+
+    block: members of a bucket that are compared at once; larger buckets are compared in pairs of blocks.
+    apart: differing signs of the sketches from which a pair is not looked at. At cosine 0.95 signs differ with
+    probability 0.101, so 24 of 64 or more do with one of 10^7; of unlike pairs 0.97 differ in as many.
+    dense: from so many pairs for each member, the members fetch their vectors instead of the pairs.
+    """
 
-    tables: int = 24
+    tables: int = 12
     projections: int = 10
-    width: float = 1.4
+    width: float = 2.0
     seed: int = 7
-    block: int = 512
-
-    def planes(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    block: int = 1024
+    apart: int = 24
+    dense: int = 8
+
+    @classmethod
+    def fitting(cls, n: int, recall: float = 0.985, least: float = 0.95, bucket: int = 40, **other) -> Lsh:
+        """As many projections as leave about `bucket` unlike vectors of n in a bucket, and as many tables as find a
+        pair at cosine `least` with probability `recall`, ten at least. Both grow slowly, so that work for each vector does."""
+        width = cls.width
+        k = max(4, math.ceil(math.log(max(1.0, n / bucket)) / -math.log(same_step(math.sqrt(2), width))))
+        hit = same_step(math.sqrt(2 - 2 * least), width) ** k
+        return cls(tables=max(10, math.ceil(math.log(1 - recall) / math.log(1 - hit))), projections=k, **other)
+
+    def planes(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         r = np.random.default_rng([self.seed, size])
         n = self.tables * self.projections
-        return r.standard_normal((size, n)), r.uniform(0, self.width, n), r.integers(1, 2**63, (self.tables, self.projections + 1), dtype=np.int64) | 1
+        mix = r.integers(1, 2**63, (self.tables, self.projections + 1), dtype=np.int64) | 1
+        return r.standard_normal((size, n)), r.uniform(0, self.width, n), mix, r.standard_normal((size, 64))
 
     def signatures(self, unit: np.ndarray) -> np.ndarray:
         """Bucket numbers, a row for each vector and a column for each table; size and table are mixed in."""
-        planes, offset, mix = self.planes(unit.shape[1])
+        planes, offset, mix, _ = self.planes(unit.shape[1])
         steps = np.floor((unit @ planes + offset) / self.width).astype(np.int64).reshape(len(unit), self.tables, self.projections)
         with np.errstate(over="ignore"):
             h = (steps * mix[:, :-1]).sum(axis=2) + mix[:, -1] * unit.shape[1]
             return h ^ (h >> 29)
 
+    def sketches(self, unit: np.ndarray) -> np.ndarray:
+        """The signs of 64 further projections as one number."""
+        return np.packbits(unit @ self.planes(unit.shape[1])[3] > 0, axis=1).view("<i8").ravel()
+
+    def first_meeting(self, left: np.ndarray, right: np.ndarray, no: np.ndarray) -> np.ndarray:
+        """Whether pairs of vectors, row by row, share no bucket in a table before `no`."""
+        out = np.ones(len(left), dtype=bool)
+        for at in range(0, len(left), 20_000):
+            part = slice(at, at + 20_000)
+            same = self.signatures(left[part]) == self.signatures(right[part])
+            out[part] = ~(same & (np.arange(self.tables)[None, :] < no[part, None])).any(axis=1)
+        return out
+
+
+def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many bits differ. (Of signed numbers numpy counts the bits of the absolute value.)"""
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
 
 def unit_rows(raw: list[bytes], kind: str) -> np.ndarray:
     """Normalised rows in double precision; a power of two is taken out first, so no square over- or underflows."""
@@ -67,19 +111,98 @@ def _usable(kind: str):
     return run
 
 
+def _by_size(raw: np.ndarray, most: int = 500) -> Iterator[np.ndarray]:
+    """Places of vectors of equal length, `most` at a time."""
+    sizes = np.array([len(x) for x in raw])
+    for size in np.unique(sizes):
+        own = np.flatnonzero(sizes == size)
+        yield from np.array_split(own, -(-len(own) // most))
+
+
 def _index(lsh: Lsh, kind: str):
-    schema = to_arrow_schema(ddl(INDEX_SCHEMA))
+    """(node, keys, sketch) of (node, vector)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, copies = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
-            raw = np.array(batch.column(2).to_pylist(), dtype=object)
-            sizes = np.array([len(x) for x in raw])
-            for size in np.unique(sizes):
-                for own in np.array_split(np.flatnonzero(sizes == size), -(-int((sizes == size).sum()) // 500)):
-                    keys, t = lsh.signatures(unit_rows(list(raw[own]), kind)), lsh.tables
-                    columns = (np.repeat(nodes[own], t), np.repeat(copies[own], t), list(np.repeat(raw[own], t)), np.tile(np.arange(t, dtype=np.int32), len(own)), keys.ravel())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+            nodes, raw = batch.column(0).to_numpy(zero_copy_only=False), np.array(batch.column(1).to_pylist(), dtype=object)
+            for own in _by_size(raw):
+                unit = unit_rows(list(raw[own]), kind)
+                keys = lsh.signatures(unit)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, lsh.tables), pa.int32()), pa.array(keys.ravel(), pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[own], pa.int64()), lists, pa.array(lsh.sketches(unit), pa.int64())], names=["node", "keys", "sketch"])
+
+    return run
+
+
+def _meet(lsh: Lsh):
+    """For rows sorted by key: pairs of nodes whose sketches are alike, as (a, b, table); of a dense group its members
+    instead, as (key, node, tag), where tag is negative. A key's rows are those of a block, or of two blocks."""
+
+    def groups(batches: Iterator[pa.RecordBatch]):
+        held: list[np.ndarray] = []
+        for batch in batches:
+            rows = np.array([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
+            rows = np.concatenate([*held, rows], axis=1)
+            ends = np.flatnonzero(np.diff(rows[0])) + 1
+            begins = np.append(0, ends)
+            for a, b in zip(begins[:-1], ends, strict=True):
+                if b - a > 1:
+                    yield rows[:, a:b]
+            held = [rows[:, begins[-1] :]]
+        if held and held[0].shape[1] > 1:
+            yield held[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[np.ndarray] = []
+        for key, tag, node, sketch in groups(batches):
+            left, right = tag % 4 != 1, tag % 4 != 0
+            if not left.any() or not right.any():
+                continue
+            signs = differing(sketch[left][:, None], sketch[right][None, :])
+            near = (signs < lsh.apart) & ((node[left][:, None] < node[right][None, :]) | (tag[0] % 4 != 2))
+            x, y = np.nonzero(near)
+            if not len(x):
+                continue
+            if len(x) > lsh.dense * len(node):
+                found.append(np.array([key, node, -1 - tag]))
+            else:
+                a, b = node[left][x], node[right][y]
+                found.append(np.array([np.minimum(a, b), np.maximum(a, b), np.full(len(a), tag[0] // 4)]))
+            if sum(f.shape[1] for f in found) > 50_000:
+                yield met(found)
+                found = []
+        if found:
+            yield met(found)
+
+    def met(found: list[np.ndarray]) -> pa.RecordBatch:
+        a, b, tag = np.concatenate(found, axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(tag, pa.int32())], names=["a", "b", "tag"])
+
+    return run
+
+
+def _links(a: list[int], b: list[int | None], links: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (a, b, links)], names=["a", "b", "links"])
+
+
+def _verify(lsh: Lsh, least: float, kind: str):
+    """Of pairs (a, b, no, their vectors and copies) the linked ones that meet first in table no: (b, a, 0) to
+    connect them, and (node, null, links) for both."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, no, a_copies, b_copies = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b", "no", "a_copies", "b_copies"))
+            left, right = (np.array(batch.column(c).to_pylist(), dtype=object) for c in ("a_vector", "b_vector"))
+            for own in _by_size(left):
+                own = own[[len(left[k]) == len(right[k]) for k in own]]
+                if not len(own):
+                    continue
+                x, y = unit_rows(list(left[own]), kind), unit_rows(list(right[own]), kind)
+                linked = (x * y).sum(axis=1) >= least
+                linked[linked] = lsh.first_meeting(x[linked], y[linked], no[own][linked])
+                k, n = own[linked], int(linked.sum())
+                if n:
+                    yield _links([*b[k], *a[k], *b[k]], [*a[k].tolist(), *[None] * (2 * n)], [*[0] * n, *b_copies[k], *a_copies[k]])
 
     return run
 
@@ -102,79 +225,85 @@ def _forest(hits: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple
 
 
 def _compare(lsh: Lsh, least: float, kind: str):
-    """For rows sorted by (no, bucket, i, j, side): exact cosines within a block, or between two blocks.
+    """For rows (key, tag, node, copies, vector) sorted by key: exact cosines within a dense block, or between two.
 
     A pair counts in the first table in which it meets. Gives (node, smaller node, 0) to connect what is linked,
-    and (node, null, links) with how many vectors the node was found linked to, copies included.
+    and (node, null, links) with how many vectors the node was found linked to, copies included. Members whose
+    vectors differ in length, which met by chance, are compared among those of their own length.
     """
-    schema = to_arrow_schema(ddl(FOUND_SCHEMA))
 
-    def blocks(batches: Iterator[pa.RecordBatch]):
+    def groups(batches: Iterator[pa.RecordBatch]):
         key, rows = None, []
         for batch in batches:
-            for *k, side, node, copies, vector in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for k, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if k != key:
-                    if len(rows) > 1:
-                        yield key, rows
+                    yield rows
                     key, rows = k, []
-                rows.append((side, node, copies, vector))
-        if len(rows) > 1:
-            yield key, rows
+                rows.append(row)
+        yield rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        links: list[tuple[int, int]] = []
-        counts: list[tuple[int, int]] = []
-
-        def out():
-            a = [x for x, _ in links] + [x for x, _ in counts]
-            b = [x for _, x in links] + [None] * len(counts)
-            n = [0] * len(links) + [x for _, x in counts]
-            return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in (a, b, n)], schema=schema)
-
-        for (no, _, i, j), rows in blocks(batches):
-            if len({len(r[3]) for r in rows}) > 1:
-                continue  # vectors of different lengths that met by chance
-            nodes, copies = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-            unit = unit_rows([r[3] for r in rows], kind)
-            left = np.array([r[0] == 0 for r in rows])
-            right = left if i == j else ~left
-            hits = unit[left] @ unit[right].T >= least
-            if i == j:
-                np.fill_diagonal(hits, False)
-            if not hits.any():
-                continue
-            if no:
-                keys = lsh.signatures(unit)[:, :no]
-                x, y = np.nonzero(hits)
-                met = np.zeros(len(x), dtype=bool)
-                for at in range(0, len(x), 20_000):
-                    met[at : at + 20_000] = (keys[left][x[at : at + 20_000]] == keys[right][y[at : at + 20_000]]).any(axis=1)
-                hits[x[met], y[met]] = False
+        for mixed in groups(batches):
+            for size in sorted({len(r[3]) for r in mixed}):
+                rows = [r for r in mixed if len(r[3]) == size]
+                tags, nodes, copies = (np.array([r[c] for r in rows]) for c in range(3))
+                unit = unit_rows([r[3] for r in rows], kind)
+                left, right, no = tags % 4 != 1, tags % 4 != 0, int(tags[0]) // 4
+                if not left.any() or not right.any():
+                    continue
+                hits = unit[left] @ unit[right].T >= least
+                if tags[0] % 4 == 2:
+                    np.fill_diagonal(hits, False)
+                if no and hits.any():
+                    x, y = np.nonzero(hits)
+                    keys = lsh.signatures(unit)[:, :no]
+                    for at in range(0, len(x), 20_000):
+                        part = slice(at, at + 20_000)
+                        again = (keys[left][x[part]] == keys[right][y[part]]).any(axis=1)
+                        hits[x[part][again], y[part][again]] = False
                 if not hits.any():
                     continue
-            links += _forest(hits, nodes[left], nodes[right])
-            to_left = (hits * copies[right][None, :]).sum(axis=1)
-            counts += [(int(n), int(c)) for n, c in zip(nodes[left], to_left, strict=True) if c]
-            if i != j:
-                to_right = (hits * copies[left][:, None]).sum(axis=0)
-                counts += [(int(n), int(c)) for n, c in zip(nodes[right], to_right, strict=True) if c]
-            if len(links) + len(counts) > 50_000:
-                yield out()
-                links.clear()
-                counts.clear()
-        yield out()
+                joined = _forest(hits, nodes[left], nodes[right])
+                counts = [(int(n), int(c)) for n, c in zip(nodes[left], (hits * copies[right][None, :]).sum(axis=1), strict=True) if c]
+                if tags[0] % 4 != 2:
+                    counts += [(int(n), int(c)) for n, c in zip(nodes[right], (hits * copies[left][:, None]).sum(axis=0), strict=True) if c]
+                a, b = [x for x, _ in joined] + [x for x, _ in counts], [x for _, x in joined] + [None] * len(counts)
+                yield _links(a, b, [0] * len(joined) + [c for _, c in counts])
 
     return run
 
 
-def link(vectors: DataFrame, least: float = 0.95, lsh: Lsh = Lsh()) -> DataFrame:
+def _in_blocks(rows: DataFrame, lsh: Lsh) -> DataFrame:
+    """Rows (key, no, node, sketch) as ROW_SCHEMA, those of buckets over `block` rows dealt into pairs of blocks.
+
+    tag is 4 * no + 2 in a group that is compared with itself, and 4 * no + 0 or 1 on the two sides of another.
+    """
+    large = settle(rows.groupBy("key").count().filter(F.col("count") > lsh.block), "large-buckets")
+    whole = (F.col("no") * 4 + 2).cast("int").alias("tag")
+    if large.isEmpty():
+        discard(large)
+        return rows.select("key", whole, "node", "sketch")
+    parts = F.ceil(F.col("count") / lsh.block).cast("int")
+    own = F.pmod(F.xxhash64("node"), parts).cast("int")
+    dealt = rows.join(large, "key").select("key", "no", "node", "sketch", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int"))
+    pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    dealt = dealt.select(pair.alias("key"), (F.col("no") * 4 + side).cast("int").alias("tag"), "node", "sketch")
+    return rows.join(large.select("key"), "key", "left_anti").select("key", whole, "node", "sketch").unionByName(dealt)
+
+
+def link(vectors: DataFrame, least: float = 0.95, lsh: Lsh | None = None) -> DataFrame:
     """A row for each vector: vec_id, n_links (other vectors linked directly), component_id, kept.
 
     Vectors whose cosine is `least` or more, in double precision, are linked if they share a bucket of a table.
     component_id is the smallest vec_id reachable. Null, empty and zero vectors and those with null or non-finite
-    components link with nothing. Equal vectors are collapsed to a node first and count as linked to each other;
-    buckets over `block` nodes are compared in pairs of blocks, each a group of its own. Repeated rows give
-    repeated rows that link with each other; an empty table gives an empty one; other columns are ignored.
+    components link with nothing, nor do vectors of different lengths. Equal vectors are collapsed to a node first
+    and count as linked to each other. Repeated rows give repeated rows that link with each other; an empty table
+    gives an empty one; other columns are ignored.
+
+    A pair that meets in several tables counts in the first. Groups in which most pairs are alike are compared as
+    matrices and give a forest of links and counts, not their pairs; a cluster of n different vectors within `least` of
+    each other still takes n * n multiplications, as the counts are exact.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -182,16 +311,21 @@ def link(vectors: DataFrame, least: float = 0.95, lsh: Lsh = Lsh()) -> DataFrame
     clean = settle(vectors.select("vec_id", "embedding").mapInArrow(_usable(kind), "vec_id bigint, vector binary"), "vectors")
     nodes = clean.filter("vector IS NOT NULL").groupBy("vector").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("copies"))
     nodes = settle(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    rows = nodes.select("node", "copies", "vector").mapInArrow(_index(lsh, kind), INDEX_SCHEMA)
-    large = settle(rows.groupBy("no", "bucket").count().filter(F.col("count") > lsh.block), "large-buckets")
-    rows = rows.join(large, ["no", "bucket"], "left")
-    parts = F.ceil(F.coalesce("count", F.lit(1)) / lsh.block).cast("int")
-    own = F.pmod(F.xxhash64("node"), parts).cast("int")
-    rows = rows.select("no", "bucket", "node", "copies", "vector", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-    rows = rows.select("no", "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "copies", "vector")
-    keys = ["no", "bucket", "i", "j"]
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = settle(rows.repartition(width, *keys).sortWithinPartitions(*keys, "side", "node").mapInArrow(_compare(lsh, least, kind), FOUND_SCHEMA), "links")
+    lsh = lsh or Lsh.fitting(nodes.count(), least=least)
+    index = settle(nodes.select("node", "vector").mapInArrow(_index(lsh, kind), "node bigint, keys array<bigint>, sketch bigint"), "index")
+    rows = _in_blocks(index.select(F.posexplode("keys").alias("no", "key"), "node", "sketch"), lsh)
+    met = settle(rows.repartition("key").sortWithinPartitions("key").select("key", "tag", "node", "sketch").mapInArrow(_meet(lsh), MET_SCHEMA), "met")
+    discard(index)
+
+    pairs = met.filter("tag >= 0").groupBy("a", "b").agg(F.min("tag").alias("no"))
+    of = lambda side: nodes.select(F.col("node").alias(side), F.col("vector").alias(f"{side}_vector"), F.col("copies").alias(f"{side}_copies"))
+    sure = pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(_verify(lsh, least, kind), FOUND_SCHEMA)
+    members = met.filter("tag < 0").select(F.col("a").alias("key"), F.col("b").alias("node"), (-1 - F.col("tag")).alias("tag"))
+    members = members.join(nodes.select("node", "copies", "vector"), "node").select("key", "tag", "node", "copies", "vector")
+    dense = members.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(lsh, least, kind), FOUND_SCHEMA)
+    found = settle(sure.unionByName(dense), "links")
+    discard(met)
+
     groups = components(found.filter("b IS NOT NULL").select("a", "b")).join(nodes.select("node", "low"), "node")
     reached = groups.select("node", "root").join(groups.groupBy("root").agg(F.min("low").alias("least")), "root")
     counts = found.filter("b IS NULL").groupBy("a").agg(F.sum("links").alias("links"))

@@ -1,4 +1,6 @@
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from lorebase.llm import embeddings, queries
 from lorebase.llm.embeddings import Lsh
@@ -36,10 +38,10 @@ def rows():
     return out
 
 
-@pytest.mark.parametrize("block", [512, 4])
-def test_recall_and_precision(spark, rows, block):
+@pytest.mark.parametrize("lsh", [None, Lsh.fitting(400, block=4), Lsh.fitting(400, dense=0), Lsh.fitting(400, block=16, dense=2), Lsh(tables=24)])
+def test_recall_and_precision(spark, rows, lsh):
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id bigint, embedding array<float>, node string").repartition(3)
-    got = {r.vec_id: r for r in embeddings.link(df, lsh=Lsh(block=block)).collect()}
+    got = {r.vec_id: r for r in embeddings.link(df, lsh=lsh).collect()}
     want = brute(rows)
     assert set(got) == set(want)
     assert all(got[i].n_links <= want[i][0] for i in want)
@@ -50,8 +52,9 @@ def test_recall_and_precision(spark, rows, block):
     assert got[907].component_id == 906 and got[907].n_links == 1
 
 
-def test_expected_recall():
-    """Pairs at the least cosine meet in a table with probability 0.95 or more."""
+@pytest.mark.parametrize("n", [500, 50_000, 10**9])
+def test_expected_recall(n):
+    """Pairs at the least cosine meet in a table and have sketches alike with probability 0.97 or more."""
     r = np.random.default_rng(5)
     a = r.standard_normal((2000, 64))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
@@ -59,7 +62,57 @@ def test_expected_recall():
     b -= (a * b).sum(axis=1, keepdims=True) * a
     b /= np.linalg.norm(b, axis=1, keepdims=True)
     near = 0.95 * a + np.sqrt(1 - 0.95**2) * b
-    assert (Lsh().signatures(a) == Lsh().signatures(near)).any(axis=1).mean() >= 0.95
+    lsh = Lsh.fitting(n)
+    alike = embeddings.differing(lsh.sketches(a), lsh.sketches(near)) < lsh.apart
+    assert ((lsh.signatures(a) == lsh.signatures(near)).any(axis=1) & alike).mean() >= 0.97
+    assert lsh.tables < 120 and embeddings.differing(lsh.sketches(a)[:-1], lsh.sketches(a)[1:]).mean() > 28
+
+
+def planted(seed=11):
+    """The vectors of sf0.1's table, and near ones planted beside 300 of them: cosines from 0.95 to 1."""
+    r = np.random.default_rng(seed)
+    base = pq.read_table("/root/testdata/sf0.1/embeddings.parquet").to_pandas()
+    ids, vectors = base.vec_id.tolist(), [np.array(v, float) for v in base.embedding]
+    for k in range(0, 300):
+        v = vectors[k * 5] / np.linalg.norm(vectors[k * 5])
+        for _ in range(1 + k % 4):
+            u = r.standard_normal(len(v))
+            u -= (u @ v) * v
+            c = r.uniform(0.95, 1.0)
+            ids.append(1_000_000 + 50 * len(ids))
+            vectors.append(c * v + np.sqrt(1 - c * c) * u / np.linalg.norm(u))
+    return ids, np.array(vectors, dtype=np.float32)
+
+
+def test_recall_on_planted_pairs(spark):
+    """Every row whose id is divisible by 50 against all rows, as brute force finds its links."""
+    ids, vectors = planted()
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, vectors, strict=True)], "vec_id bigint, embedding array<float>").repartition(4)
+    got = {r.vec_id: r.n_links for r in embeddings.link(df).collect()}
+    unit = vectors.astype(float) / np.linalg.norm(vectors.astype(float), axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.95).sum(axis=1) - 1
+    asked = [k for k, i in enumerate(ids) if i % 50 == 0]
+    there, found = sum(int(want[k]) for k in asked), sum(got[ids[k]] for k in asked)
+    print(f"{len(ids)} vectors, {len(asked)} asked, {there} links, recall {found / there:.4f}")
+    assert there > 800 and all(got[i] <= n for i, n in zip(ids, want, strict=True)) and found >= 0.96 * there
+
+
+def test_dense_cluster(spark):
+    """Hundreds of different vectors within the least cosine of each other, in pairs of blocks, give no pairs."""
+    r = np.random.default_rng(2)
+    v = r.standard_normal(24)
+    rows = [(i, (v + 0.05 * r.standard_normal(24)).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = embeddings.link(df, lsh=Lsh.fitting(300, block=64)).collect()
+    assert {(x.n_links, x.component_id) for x in got} == {(299, 0)}
+
+
+def test_lengths_that_meet(spark):
+    """Vectors of another length in a bucket don't hide its pairs."""
+    rows = [[1, 0, 5, 1, np.array([1.0, 0.0]).tobytes()], [1, 1, 6, 1, np.array([1.0, 0.1]).tobytes()], [1, 1, 7, 1, np.array([1.0, 0.1, 0.0]).tobytes()]]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["key", "tag", "node", "copies", "vector"])
+    out = [tuple(r.values()) for b in embeddings._compare(Lsh(), 0.95, "<f8")(iter([batch])) for r in b.to_pylist()]
+    assert out == [(6, 5, 0), (5, None, 1), (6, None, 1)]
 
 
 def test_repeats_and_empty(spark):
