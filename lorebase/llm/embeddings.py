@@ -2,7 +2,7 @@
 
 Vectors are normalised. A table of the index quantises `projections` random Gaussian projections into steps of
 `width`; vectors that share all steps share a bucket. Only numbers of vectors are shuffled by bucket, with a sketch
-of 64 signs that tells most unlike pairs apart; pairs that remain fetch their vectors once, for an exact cosine.
+of 128 signs that tells unlike pairs apart; pairs that remain fetch their vectors once, for an exact cosine.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql.types import FloatType
 from .common import discard, settle, ship
 from .components import components
 
-ROW_SCHEMA = "key bigint, tag int, node bigint, sketch bigint"
+ROWS = ("key", "tag", "node", "sketch0", "sketch1")
 MET_SCHEMA = "a bigint, b bigint, tag int"
 FOUND_SCHEMA = "a bigint, b bigint, links bigint"
 
@@ -36,7 +36,7 @@ class Lsh:
 
     block: members of a bucket that are compared at once; larger buckets are compared in pairs of blocks.
     apart: differing signs of the sketches from which a pair is not looked at. At cosine 0.95 signs differ with
-    probability 0.101, so 24 of 64 or more do with one of 10^7; of unlike pairs 0.97 differ in as many.
+    probability 0.101, so 34 of 128 or more do less than once in 10^7 pairs; at cosine 0.3 nearly all pairs do.
     dense: from so many pairs for each member, the members fetch their vectors instead of the pairs.
     """
 
@@ -45,8 +45,8 @@ class Lsh:
     width: float = 2.0
     seed: int = 7
     block: int = 1024
-    apart: int = 24
-    dense: int = 8
+    apart: int = 34
+    dense: int = 4
 
     @classmethod
     def fitting(cls, n: int, recall: float = 0.985, least: float = 0.95, bucket: int = 40, **other) -> Lsh:
@@ -61,7 +61,7 @@ class Lsh:
         r = np.random.default_rng([self.seed, size])
         n = self.tables * self.projections
         mix = r.integers(1, 2**63, (self.tables, self.projections + 1), dtype=np.int64) | 1
-        return r.standard_normal((size, n)), r.uniform(0, self.width, n), mix, r.standard_normal((size, 64))
+        return r.standard_normal((size, n)), r.uniform(0, self.width, n), mix, r.standard_normal((size, 128))
 
     def signatures(self, unit: np.ndarray) -> np.ndarray:
         """Bucket numbers, a row for each vector and a column for each table; size and table are mixed in."""
@@ -72,8 +72,8 @@ class Lsh:
             return h ^ (h >> 29)
 
     def sketches(self, unit: np.ndarray) -> np.ndarray:
-        """The signs of 64 further projections as one number."""
-        return np.packbits(unit @ self.planes(unit.shape[1])[3] > 0, axis=1).view("<i8").ravel()
+        """The signs of 128 further projections as two numbers."""
+        return np.packbits(unit @ self.planes(unit.shape[1])[3] > 0, axis=1).view("<i8")
 
     def first_meeting(self, left: np.ndarray, right: np.ndarray, no: np.ndarray) -> np.ndarray:
         """Whether pairs of vectors, row by row, share no bucket in a table before `no`."""
@@ -86,8 +86,8 @@ class Lsh:
 
 
 def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many bits differ. (Of signed numbers numpy counts the bits of the absolute value.)"""
-    return np.bitwise_count((a ^ b).view(np.uint64))
+    """How many bits of two sketches differ. (Of signed numbers numpy counts the bits of the absolute value.)"""
+    return np.bitwise_count((a[..., 0] ^ b[..., 0]).view(np.uint64)) + np.bitwise_count((a[..., 1] ^ b[..., 1]).view(np.uint64))
 
 
 def unit_rows(raw: list[bytes], kind: str) -> np.ndarray:
@@ -120,16 +120,17 @@ def _by_size(raw: np.ndarray, most: int = 500) -> Iterator[np.ndarray]:
 
 
 def _index(lsh: Lsh, kind: str):
-    """(node, keys, sketch) of (node, vector)."""
+    """(node, keys, sketch0, sketch1) of (node, vector)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, raw = batch.column(0).to_numpy(zero_copy_only=False), np.array(batch.column(1).to_pylist(), dtype=object)
             for own in _by_size(raw):
                 unit = unit_rows(list(raw[own]), kind)
-                keys = lsh.signatures(unit)
+                keys, signs = lsh.signatures(unit), lsh.sketches(unit)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, lsh.tables), pa.int32()), pa.array(keys.ravel(), pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[own], pa.int64()), lists, pa.array(lsh.sketches(unit), pa.int64())], names=["node", "keys", "sketch"])
+                columns = [pa.array(nodes[own], pa.int64()), lists, *(pa.array(signs[:, c], pa.int64()) for c in (0, 1))]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "keys", "sketch0", "sketch1"])
 
     return run
 
@@ -154,12 +155,12 @@ def _meet(lsh: Lsh):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[np.ndarray] = []
-        for key, tag, node, sketch in groups(batches):
+        for key, tag, node, *signs in groups(batches):
+            sketch = np.stack(signs, axis=1)
             left, right = tag % 4 != 1, tag % 4 != 0
             if not left.any() or not right.any():
                 continue
-            signs = differing(sketch[left][:, None], sketch[right][None, :])
-            near = (signs < lsh.apart) & ((node[left][:, None] < node[right][None, :]) | (tag[0] % 4 != 2))
+            near = (differing(sketch[left][:, None], sketch[right][None, :]) < lsh.apart) & ((node[left][:, None] < node[right][None, :]) | (tag[0] % 4 != 2))
             x, y = np.nonzero(near)
             if not len(x):
                 continue
@@ -274,7 +275,7 @@ def _compare(lsh: Lsh, least: float, kind: str):
 
 
 def _in_blocks(rows: DataFrame, lsh: Lsh) -> DataFrame:
-    """Rows (key, no, node, sketch) as ROW_SCHEMA, those of buckets over `block` rows dealt into pairs of blocks.
+    """Rows (key, no, node, sketch0, sketch1) as ROWS, those of buckets over `block` rows dealt into pairs of blocks.
 
     tag is 4 * no + 2 in a group that is compared with itself, and 4 * no + 0 or 1 on the two sides of another.
     """
@@ -282,14 +283,14 @@ def _in_blocks(rows: DataFrame, lsh: Lsh) -> DataFrame:
     whole = (F.col("no") * 4 + 2).cast("int").alias("tag")
     if large.isEmpty():
         discard(large)
-        return rows.select("key", whole, "node", "sketch")
+        return rows.select("key", whole, *ROWS[2:])
     parts = F.ceil(F.col("count") / lsh.block).cast("int")
     own = F.pmod(F.xxhash64("node"), parts).cast("int")
-    dealt = rows.join(large, "key").select("key", "no", "node", "sketch", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    dealt = rows.join(large, "key").select("key", "no", *ROWS[2:], own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
     side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int"))
     pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-    dealt = dealt.select(pair.alias("key"), (F.col("no") * 4 + side).cast("int").alias("tag"), "node", "sketch")
-    return rows.join(large.select("key"), "key", "left_anti").select("key", whole, "node", "sketch").unionByName(dealt)
+    dealt = dealt.select(pair.alias("key"), (F.col("no") * 4 + side).cast("int").alias("tag"), *ROWS[2:])
+    return rows.join(large.select("key"), "key", "left_anti").select("key", whole, *ROWS[2:]).unionByName(dealt)
 
 
 def link(vectors: DataFrame, least: float = 0.95, lsh: Lsh | None = None) -> DataFrame:
@@ -312,9 +313,9 @@ def link(vectors: DataFrame, least: float = 0.95, lsh: Lsh | None = None) -> Dat
     nodes = clean.filter("vector IS NOT NULL").groupBy("vector").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("copies"))
     nodes = settle(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     lsh = lsh or Lsh.fitting(nodes.count(), least=least)
-    index = settle(nodes.select("node", "vector").mapInArrow(_index(lsh, kind), "node bigint, keys array<bigint>, sketch bigint"), "index")
-    rows = _in_blocks(index.select(F.posexplode("keys").alias("no", "key"), "node", "sketch"), lsh)
-    met = settle(rows.repartition("key").sortWithinPartitions("key").select("key", "tag", "node", "sketch").mapInArrow(_meet(lsh), MET_SCHEMA), "met")
+    index = settle(nodes.select("node", "vector").mapInArrow(_index(lsh, kind), "node bigint, keys array<bigint>, sketch0 bigint, sketch1 bigint"), "index")
+    rows = _in_blocks(index.select(F.posexplode("keys").alias("no", "key"), *ROWS[2:]), lsh)
+    met = settle(rows.repartition("key").sortWithinPartitions("key").select(*ROWS).mapInArrow(_meet(lsh), MET_SCHEMA), "met")
     discard(index)
 
     pairs = met.filter("tag >= 0").groupBy("a", "b").agg(F.min("tag").alias("no"))
