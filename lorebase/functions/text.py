@@ -58,17 +58,54 @@ def percent_decoded(text: Column) -> Column:
     return F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
 
 
+def _plain(x: Column) -> Column:
+    """Without zeros at the end of the decimals, or a point at the end."""
+    return F.regexp_replace(x, r"\.?0+$", "")
+
+
 def usd(x: Column) -> Column:
-    """US dollars with thousands separators and up to two decimals."""
-    return F.concat(F.when(x < 0, F.lit("-$")).otherwise(F.lit("$")), formatted(F.abs(x), "#,##0.##"))
+    """US dollars with thousands separators and up to two decimals, ties of the exact binary value away from zero; minus zero has no sign."""
+    size = F.abs(x)
+    digits = F.when(size * 8 == F.floor(size * 8), F.format_string("%,.2f", size)).otherwise(formatted(size, "#,##0.00"))
+    return F.concat(F.when(x < 0, F.lit("-$")).otherwise(F.lit("$")), _plain(digits))
+
+
+def number(x: Column) -> Column:
+    """A number with thousands separators and up to three decimals, ties of the exact binary value away from zero."""
+    size = F.abs(x)
+    digits = F.when(size * 16 == F.floor(size * 16), F.format_string("%,.3f", size)).otherwise(formatted(size, "#,##0.000"))
+    digits = F.when((size >= 0.0005) & (size < 0.001), F.lit("0.001")).otherwise(digits)  # the built-in format gives 0.000 for 0.0005
+    return F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), _plain(digits))
+
+
+def shortest(x: Column) -> Column:
+    """A number below 1 in its shortest decimals; below a millionth with an exponent, as 1e-7."""
+    small = (F.abs(x) < 1e-6) & (x != 0)
+    exponent = F.regexp_replace(F.regexp_replace(x.cast("string"), r"\.0E", "e"), "E", "e")
+    return F.when(small, exponent).otherwise(_plain(x.cast("decimal(38,20)").cast("string")))
 
 
 def compact(x: Column) -> Column:
-    """US dollars of a number >= 1 in short form: two significant digits below a hundred of a unit, else whole; smaller ones plain."""
-    power = F.least(F.lit(4), F.floor((F.length(F.floor(x).cast("string")) - 1) / 3))
+    """US dollars of a number >= 1 in short form: two significant digits below a hundred of a unit, else whole; smaller ones plain.
+
+    Only from five digits on are thousands separated.
+    """
+    power = F.least(F.lit(4), F.floor((F.length(F.floor(x).cast("decimal(38,0)").cast("string")) - 1) / 3))
     unit = x / F.pow(F.lit(1000.0), power)
-    digits = F.when(unit < 9.95, F.round(unit, 1)).otherwise(F.round(unit, 0))
+    tenth = F.when(power == 0, fixed1(x).cast("double")).otherwise(F.round(unit, 1))
+    digits = F.when(unit < 9.95, tenth).otherwise(F.round(unit, 0))
     carried = (digits >= 1000) & (power < 4)
     power, digits = power + carried.cast("int"), F.when(carried, digits / 1000).otherwise(digits)
     name = F.element_at(F.array(*map(F.lit, ("", "K", "M", "B", "T"))), (power + 1).cast("int"))
-    return F.when(x < 1, x.cast("string")).otherwise(F.concat(F.lit("$"), formatted(digits, "#,##0.#"), name))
+    shown = F.when(digits >= 10_000, formatted(digits, "#,##0.#")).otherwise(formatted(digits, "0.#"))
+    return F.when(x < 1, shortest(x)).otherwise(F.concat(F.lit("$"), shown, name))
+
+
+def initial(name: Column) -> Column:
+    """The first character in upper case; empty for an empty name."""
+    return F.upper(F.substring(name, 1, 1))
+
+
+def leading_int(text: Column) -> Column:
+    """The whole number that a text begins with, after white space; null if there is none or it is too large."""
+    return F.regexp_extract(text, r"^\s*([+-]?\d+)", 1).try_cast("int")

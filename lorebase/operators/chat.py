@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import clean_text
 
-PENDING = "Đang xử lý..."
+# What the assistant's turn says while an answer is awaited, and where none came.
+PENDING, NO_ANSWER = "Đang xử lý...", "Không có phản hồi từ hệ thống."
 
 
 def history_payload(messages: DataFrame) -> DataFrame:
-    """For each question that is not empty after cleaning: the cleaned text and the turns strictly before it."""
+    """For each question that is not empty after cleaning: the cleaned text and the turns strictly before it.
+
+    Each payload holds its whole history, so a conversation of n turns gives n * n / 2 turns, by one task.
+    """
     before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     rows = messages.withColumn("messages", F.collect_list(F.struct("role", "text")).over(before)).filter(F.col("role") == "user")
     asked = rows.select("conv_id", "turn", clean_text(F.col("text")).alias("question"), "messages")
@@ -28,6 +32,22 @@ def append(messages: DataFrame, sent: DataFrame) -> DataFrame:
     return sent.join(own, "conv_id", "left").select("conv_id", F.concat(turns, more).alias("messages"))
 
 
+def drop_last(messages: Column) -> Column:
+    """An array of turns without its last one."""
+    return F.slice(messages, F.lit(1), F.greatest(F.size(messages) - 1, F.lit(0)))
+
+
+def answered(pending: DataFrame, replies: DataFrame) -> DataFrame:
+    """Conversations (conv_id, messages) whose last turn, the placeholder, becomes the reply (conv_id, reply).
+
+    An empty or null reply becomes a fixed sentence; conversations without a row in replies stay as they are.
+    """
+    text = F.when(F.coalesce("reply", F.lit("")) == "", F.lit(NO_ANSWER)).otherwise(F.col("reply"))
+    turn = F.array(F.struct(F.lit("assistant").alias("role"), text.alias("text")))
+    rows = pending.join(replies.select("conv_id", "reply", F.lit(True).alias("came")), "conv_id", "left")
+    return rows.select("conv_id", F.when(F.col("came"), F.concat(drop_last(F.col("messages")), turn)).otherwise(F.col("messages")).alias("messages"))
+
+
 def as_text(messages: str = "messages") -> F.Column:
     """An array of turns as lines of 'role: text'."""
     return F.array_join(F.transform(messages, lambda t: F.concat_ws(": ", t["role"], t["text"])), "\n")

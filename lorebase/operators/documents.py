@@ -47,3 +47,30 @@ def page_numbers(documents: DataFrame, pages: str = "n_pages") -> DataFrame:
 def size_label(files: DataFrame) -> DataFrame:
     """Kilobytes with one decimal, of a table with a length in bytes."""
     return files.withColumn("size_kb", F.concat(fixed1(F.col("length") / 1024), F.lit(" KB")))
+
+
+def accepted(files: DataFrame, kind: str = ".pdf") -> DataFrame:
+    """Files (path, ...) whose name ends with the kind, in lower case."""
+    return files.filter(F.endswith("path", F.lit(kind)))
+
+
+def upload(documents: DataFrame, files: DataFrame) -> DataFrame:
+    """The table with a row for each accepted file (number, path, title, description, created_at), not yet embedded.
+
+    New ids are the largest id and the file's number, from 1, together; numbers are distinct.
+    """
+    columns = ["id", "title", "description", "file_type", "file_path", "created_at", "is_embed"]
+    top = F.broadcast(documents.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")))  # one row
+    rows = accepted(files).crossJoin(top).withColumn("id", F.col("top") + F.col("number"))
+    rows = rows.withColumns({"file_type": F.lit("pdf"), "file_path": F.col("path"), "is_embed": F.lit(False)})
+    return documents.select(columns).unionByName(rows.select(columns))
+
+
+def delete(documents: DataFrame, id_: int) -> DataFrame:
+    return documents.filter(F.col("id") != id_)
+
+
+def embedded(documents: DataFrame, done: DataFrame) -> DataFrame:
+    """The table with the flag set for the ids whose embedding is done."""
+    marks = done.select("id", F.lit(True).alias("done")).distinct()
+    return documents.join(marks, "id", "left").withColumn("is_embed", F.coalesce("done", "is_embed", F.lit(False))).drop("done")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import clean_text, fixed2, trim
@@ -24,41 +26,47 @@ def match_key(text: Column) -> Column:
     return F.lower(clean_text(text))
 
 
-def _tokens(key: Column) -> Column:
-    """Distinct words, the longest first, then by text: an order that all texts share, rare words mostly before common ones."""
-    words = F.array_distinct(F.filter(F.split(key, SPACE), lambda w: w != ""))
-    return F.transform(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda s: s["w"])
-
-
 def check(candidates: DataFrame, existing: DataFrame, threshold: float = 70.0) -> DataFrame:
     """Each candidate (input_pos, question) with its best existing match (existing_id, text) and score.
 
     Texts that are equal after cleaning and lower-casing score 100; others score the Jaccard similarity of their
     word sets, in percent. Of the best matches the smallest existing_id counts. Matches below the threshold are not
-    reported: their id and score are null. Equal texts are collapsed on both sides first. Only pairs that share one
-    of the words that a pair at the threshold must share (the first 1 + n - threshold n of n in a common order)
-    are compared, so no common word joins everything.
+    reported: their id and score are null. Equal texts are collapsed on both sides first.
+
+    Words are put in the order of how many existing texts have them, rare ones first. Two texts of n and m words at
+    the threshold share one of the first 1 + n - threshold n words of either, so only these are joined, by word and
+    by a class of the number of words, and only where what follows the shared word leaves room for enough others.
     """
     own = candidates.select("input_pos", "question", match_key(F.col("question")).alias("key"))
     known = existing.select("existing_id", match_key(F.col("text")).alias("key")).groupBy("key").agg(F.min("existing_id").alias("existing_id"))
     keys = own.groupBy("key").agg(F.min("input_pos").alias("own_id"))
     exact = keys.join(known, "key").select("own_id", "existing_id", F.lit(100.0).alias("score"))
     share = threshold / 100 - 1e-9
+    words = F.array_distinct(F.filter(F.split("key", SPACE), lambda w: w != ""))
+    left = keys.join(known, "key", "left_anti").select("own_id", words.alias("words"))
+    right = known.select("existing_id", words.alias("words"))
+    often = right.select(F.explode("words").alias("word")).groupBy("word").count()
 
-    def word_sets(side: DataFrame, id_: str, name: str) -> DataFrame:
-        words = side.select(F.col(id_), _tokens(F.col("key")).alias(f"{name}_words"))
-        return words.withColumn(f"{name}_n", F.size(f"{name}_words")).filter(F.col(f"{name}_n") > 0)
+    def ranked(side: DataFrame, id_: str, name: str) -> DataFrame:
+        each = side.select(id_, F.explode("words").alias("word")).join(often, "word", "left")
+        order = F.array_sort(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "word")))
+        return each.groupBy(id_).agg(F.transform(order, lambda w: w["word"]).alias(f"{name}_words")).withColumn(f"{name}_n", F.size(f"{name}_words"))
 
     def prefixes(side: DataFrame, id_: str, name: str) -> DataFrame:
         n = F.col(f"{name}_n")
-        return side.select(id_, n, F.explode(F.slice(f"{name}_words", F.lit(1), (n - F.ceil(n * share) + 1).cast("int"))).alias("word"))
-
-    left = word_sets(keys.join(known, "key", "left_anti"), "own_id", "own")
-    right = word_sets(known, "existing_id", "known")
-    near = F.least("own_n", "known_n") >= F.greatest("own_n", "known_n") * share
-    pairs = prefixes(left, "own_id", "own").join(prefixes(right, "existing_id", "known"), "word").filter(near).select("own_id", "existing_id").distinct()
+        size_class = F.floor(F.log(n) / -math.log(min(share, 0.95))).alias("size_class")
+        first = F.slice(f"{name}_words", F.lit(1), (n - F.ceil(n * share) + 1).cast("int"))
+        return side.select(id_, n, size_class, F.posexplode(first).alias(f"{name}_at", "word"))
+
+    left, right = ranked(left, "own_id", "own"), ranked(right, "existing_id", "known")
+    near = F.explode(F.sequence(F.col("size_class") - 1, F.col("size_class") + 1)).alias("size_class")
+    few = prefixes(left, "own_id", "own").select("own_id", "own_n", "own_at", "word", near)
+    together = F.col("own_n") + F.col("known_n")
+    room = F.least(F.col("own_n") - F.col("own_at"), F.col("known_n") - F.col("known_at"))  # the shared word and all after it
+    enough = (F.least("own_n", "known_n") >= F.greatest("own_n", "known_n") * share) & (room >= together * (share / (1 + share)) - 1e-6)
+    pairs = few.join(prefixes(right, "existing_id", "known"), ["word", "size_class"]).filter(enough).select("own_id", "existing_id").distinct()
     full = pairs.join(left, "own_id").join(right, "existing_id").withColumn("shared", F.size(F.array_intersect("own_words", "known_words")))
-    scored = full.withColumn("score", F.col("shared") * 100.0 / (F.col("own_n") + F.col("known_n") - F.col("shared"))).filter(F.col("score") >= threshold)
+    scored = full.withColumn("score", F.col("shared") * 100.0 / (together - F.col("shared"))).filter(F.col("score") >= threshold)
     best = scored.groupBy("own_id").agg(F.max(F.struct("score", (-F.col("existing_id")).alias("id"))).alias("best"))
     found = exact.unionByName(best.select("own_id", (-F.col("best.id")).alias("existing_id"), F.col("best.score").alias("score")))
     named = keys.join(found, "own_id").select("key", "existing_id", "score")
@@ -126,7 +134,8 @@ def reconcile(questions: DataFrame, checked: DataFrame) -> DataFrame:
     """The table after overwrites and creations, in one result.
 
     Of several overwrites of an id the last by input_pos counts; one of an id that is not there adds the row. New
-    ids follow the largest id in the order of input_pos, with gaps, so that no task has to number all rows.
+    ids follow the largest id in the order of input_pos, with gaps, so that no task has to number all rows; as each
+    row of a sheet has its own input_pos, they are distinct.
     """
     columns = ["id", "question", "answer", "has_answer"]
     last = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("input_pos")))
@@ -134,3 +143,30 @@ def reconcile(questions: DataFrame, checked: DataFrame) -> DataFrame:
     top = questions.agg(F.max("id")).first()[0] or 0
     added = creates(checked).withColumn("id", F.col("input_pos") + 1 + top).select(columns)
     return questions.select(columns).join(changed.select("id"), "id", "left_anti").unionByName(changed).unionByName(added)
+
+
+def append_new(questions: DataFrame, rows: DataFrame) -> DataFrame:
+    """The table with the rows of a sheet added, cleaned, under new ids: the largest id, 1 and the row_idx together.
+
+    As each row of a sheet has its own row_idx, the ids are distinct; they have gaps, so that no task has to number
+    all rows.
+    """
+    columns = ["id", "question", "answer", "has_answer"]
+    top = F.broadcast(questions.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")))  # one row
+    added = save_new(rows).crossJoin(top).withColumn("id", F.col("row_idx") + 1 + F.col("top"))
+    return questions.select(columns).unionByName(added.select(columns))
+
+
+def add_questions(questions: DataFrame, sent: DataFrame, threshold: float = 70.0) -> DataFrame:
+    """What becomes of each sent question (input_pos, question, answer): status 201 with its new id, or 409, a conflict.
+
+    Fields are cleaned and the flag follows the cleaned answer. A conflict has the id and score of the best match in
+    the table, as `check` finds it. All are checked against the table as it is, not against each other.
+    """
+    form = sent.select("input_pos", clean_text(F.col("question")).alias("question"), clean_text(F.col("answer")).alias("answer"))
+    found = check(form.select("input_pos", "question"), questions.select(F.col("id").alias("existing_id"), F.col("question").alias("text")), threshold).drop("question")
+    top = F.broadcast(questions.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")))  # one row
+    rows = form.join(found, "input_pos").crossJoin(top)
+    status = F.when(F.col("is_duplicate"), 409).otherwise(201)
+    new_id = F.when(~F.col("is_duplicate"), F.col("top") + 1 + F.col("input_pos"))
+    return rows.select("input_pos", status.alias("status"), new_id.alias("id"), "question", "answer", (F.col("answer") != "").alias("has_answer"), "existing_id", "score")

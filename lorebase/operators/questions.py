@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.rows import with_ordinal
-from ..functions.text import clean_text, contains_ignoring_case
+from ..functions.text import clean_text, contains_ignoring_case, leading_int
 
 
 def matches_search(needle: str) -> Column:
@@ -77,6 +77,20 @@ def selection_state(questions: DataFrame, selection: DataFrame) -> DataFrame:
     return n.withColumn("all_selected", (F.col("n_filtered") > 0) & (F.col("n_selected") == F.col("n_filtered"))).withColumn("some_selected", (F.col("n_selected") > 0) & (F.col("n_selected") < F.col("n_filtered")))
 
 
+def update_one(questions: DataFrame, id_: int, question: str | None, answer: str | None) -> DataFrame:
+    """The table with one row as a form writes it: both fields cleaned, and the flag from the cleaned answer."""
+    here = F.col("id") == id_
+    q, a = clean_text(F.lit(question).cast("string")), clean_text(F.lit(answer).cast("string"))
+    new = {"question": q, "answer": a, "has_answer": a != ""}
+    return questions.withColumns({c: F.when(here, v).otherwise(F.col(c)) for c, v in new.items()})
+
+
+def page_size(chosen: Column, allowed: tuple[int, ...] = (5, 10, 25), default: int = 10) -> Column:
+    """The number of rows of a page that a text begins with, if it is allowed, else the default."""
+    size = leading_int(chosen)
+    return F.when(size.isin(*allowed), size).otherwise(F.lit(default))
+
+
 def delete_one(questions: DataFrame, id_: int) -> DataFrame:
     return questions.filter(F.col("id") != id_)
 

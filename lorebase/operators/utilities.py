@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 
 def shuffle_rows(rows: DataFrame, seed: int) -> DataFrame:
@@ -32,3 +33,20 @@ def _without(old: Column, new: Column) -> Column:
 def equal(a: Column, b: Column) -> Column:
     """Deep equality of structs, arrays or scalars; nulls are equal."""
     return a.eqNullSafe(b)
+
+
+def merge_structs(target: Column, target_type: StructType, source: Column, source_type: StructType) -> Column:
+    """Structs merged field by field, at any depth: fields of the source count, structs in both are merged.
+
+    A field of the source that is null overwrites, as it is there; a null struct counts as empty.
+    """
+    ours, theirs, out = {f.name: f.dataType for f in target_type}, {f.name: f.dataType for f in source_type}, []
+    for name in [*ours, *(n for n in theirs if n not in ours)]:
+        if name not in theirs:
+            value = target[name]
+        elif isinstance(ours.get(name), StructType) and isinstance(theirs[name], StructType):
+            value = merge_structs(target[name], ours[name], source[name], theirs[name])
+        else:
+            value = source[name] if name not in ours else F.when(source.isNull(), target[name]).otherwise(source[name])
+        out.append(value.alias(name))
+    return F.struct(*out)

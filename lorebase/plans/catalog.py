@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.text import TRIMMED, clean_text, compact, usd
+from ..functions.text import TRIMMED, clean_text, compact, initial, number, usd
 from ..operators import chat, documents, importer, navigation, questions, utilities
 from ..sources import xlsx
 from . import fixtures as fx
@@ -273,6 +274,68 @@ def equal_rows(spark, d):
     return q.select("id", utilities.equal(F.struct(F.col("question").alias("q"), F.col("answer").alias("a")), cleaned).alias("same"))
 
 
+@query
+def currency_ties(spark, d):
+    eighth, sixteenth = F.col("o_orderkey") / 8, F.col("o_orderkey") / 16
+    return fx.table(spark, d, "orders").select("o_orderkey", usd(eighth).alias("price"), usd(-eighth).alias("owed"), number(sixteenth).alias("plain"))
+
+
+@query
+def merge_nested(spark, d):
+    part = fx.table(spark, d, "part").select("p_partkey", F.struct("p_size", F.struct("p_name", "p_brand").alias("o")).alias("t"), F.struct(F.struct(F.col("p_type").alias("p_brand"), "p_retailprice").alias("o")).alias("s"))
+    merged = part.select("p_partkey", utilities.merge_structs(F.col("t"), part.schema["t"].dataType, F.col("s"), part.schema["s"].dataType).alias("m"))
+    return merged.select("p_partkey", "m.p_size", "m.o.p_name", "m.o.p_brand", "m.o.p_retailprice")
+
+
+@query
+def question_update(spark, d):
+    return questions.update_one(fx.questions(spark, d), ONE, "  new \n\n text ", " ")
+
+
+@query
+def page_sizes(spark, d):
+    chosen = F.concat(F.lit(" "), F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 3 == 0, F.lit(" rows")).otherwise(F.lit("")))
+    return fx.table(spark, d, "part").select("p_partkey", questions.page_size(chosen).alias("size"))
+
+
+@query
+def initials(spark, d):
+    return fx.table(spark, d, "supplier").select("s_suppkey", initial(F.lower("s_name")).alias("initial"))
+
+
+@query
+def bulk_append(spark, d):
+    return importer.append_new(fx.questions(spark, d), importer.rows_of(fx.sheet(spark, d)))
+
+
+@query
+def question_insert(spark, d):
+    return importer.add_questions(fx.questions(spark, d), fx.sent(spark, d)).select("input_pos", "status", F.coalesce("id", F.lit(-1)).alias("id"), "question", "answer", "has_answer", F.coalesce("existing_id", F.lit(-1)).alias("existing_id"), F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+@query
+def document_upload(spark, d):
+    return documents.upload(fx.documents(spark, d), fx.files(spark, d))
+
+
+@query
+def document_delete(spark, d):
+    return documents.delete(fx.documents(spark, d).drop("text"), 10)
+
+
+@query
+def document_embedded(spark, d):
+    return documents.embedded(fx.documents(spark, d), fx.documents(spark, d).filter("id % 4 = 0")).select("id", "is_embed")
+
+
+@query
+def chat_answered(spark, d):
+    conversations = fx.messages(spark, d).select("conv_id").distinct()
+    pending = chat.append(fx.messages(spark, d), conversations.select("conv_id", F.lit("hello").alias("sent"), F.lit(None).cast("string").alias("reply")))
+    replies = conversations.filter("conv_id % 3 <> 0").select("conv_id", F.when(F.col("conv_id") % 3 == 1, F.lit("yes")).alias("reply"))
+    return chat.answered(pending, replies).select("conv_id", F.size("messages").cast("bigint").alias("n"), chat.as_text().alias("turns"))
+
+
 @query
 def shuffle_rows(spark, d):
     return utilities.shuffle_rows(fx.table(spark, d, "nation").select("n_nationkey", "n_name"), 42)
@@ -284,7 +347,13 @@ def object_ids(spark, d):
 
 
 def _exported(spark: SparkSession, d: str) -> str:
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/lorebase'}/xlsx-{uuid.uuid4().hex}"
+    """A folder of exported workbooks, under the shared one; a temporary one only in local mode."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="lorebase-")
+    folder = f"{shared}/xlsx-{uuid.uuid4().hex}"
     xlsx.write_sheets(export_unanswered(spark, d), folder.removeprefix("file://").removeprefix("file:"))
     return folder
 
@@ -357,6 +426,23 @@ _LABEL = " ".join(f"WHEN {_literal(k)} THEN {_literal(v)}" for k, v in navigatio
 _UNIT = "CASE WHEN o_totalprice < 1000 THEN o_totalprice WHEN o_totalprice < 1e6 THEN o_totalprice / 1e3 WHEN o_totalprice < 1e9 THEN o_totalprice / 1e6 ELSE o_totalprice / 1e9 END"
 
 
+_SENT = """sent AS (SELECT id AS input_pos, CASE id % 3 WHEN 0 THEN ' ' || question || chr(10) WHEN 1 THEN 'zz' || replace(question, ' ', ' zz') ELSE question || ' more' END AS question, answer FROM q)"""
+
+
+def _check(own: str, known: str) -> tuple[str, ...]:
+    """CTEs that end in best (k, existing_id, score), from own (k) and known (existing_id, k) with their texts' keys."""
+    words = r"list_filter(list_distinct(string_split_regex(k, '[\x20\x09-\x0D]+')), lambda s: s <> '')"
+    return (
+        f"known AS (SELECT k, existing_id, {words} AS ws FROM (SELECT k, min(existing_id) AS existing_id FROM ({known}) GROUP BY k))",
+        f"own AS (SELECT k, {words} AS ws FROM (SELECT DISTINCT k FROM ({own})))",
+        "a AS (SELECT k, unnest(ws) AS word FROM own)",
+        "b AS (SELECT existing_id, unnest(ws) AS word FROM known)",
+        "shared AS (SELECT a.k, existing_id, count(*) AS n FROM a JOIN b USING (word) GROUP BY ALL)",
+        "scored AS (SELECT s.k, s.existing_id, n * 100.0::DOUBLE / (len(o.ws) + len(e.ws) - n) AS score FROM shared s JOIN own o USING (k) JOIN known e USING (existing_id) UNION ALL SELECT o.k, e.existing_id, 100.0 FROM own o JOIN known e USING (k))",
+        "best AS (SELECT k, existing_id, score FROM scored WHERE score >= 70 QUALIFY row_number() OVER (PARTITION BY k ORDER BY score DESC, existing_id) = 1)",
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     w = lambda *ctes: "WITH " + ", ".join(ctes) + " "
     return {
@@ -437,5 +523,20 @@ def oracle_sql() -> dict[str, str]:
                FROM (SELECT *, {_UNIT} AS u FROM orders)""",
         "merge_props": "SELECT event_id, event_type AS kind, CASE WHEN json_exists(props, '$.kind') THEN 0 ELSE 1 END::BIGINT AS added FROM events",
         "equal_rows": w(_Q) + f"SELECT id, question IS NOT DISTINCT FROM {_clean('question')} AS same FROM q",
+        "currency_ties": r"""WITH x AS (SELECT o_orderkey, (o_orderkey * 100 + 4) // 8 AS cents, (o_orderkey * 1000 + 8) // 16 AS mills FROM orders),
+               y AS (SELECT o_orderkey, format('{:,}', cents // 100) || CASE WHEN cents % 100 = 0 THEN '' WHEN cents % 10 = 0 THEN '.' || (cents % 100 // 10) ELSE '.' || lpad((cents % 100)::VARCHAR, 2, '0') END AS p,
+                      format('{:,}', mills // 1000) || CASE WHEN mills % 1000 = 0 THEN '' ELSE '.' || rtrim(lpad((mills % 1000)::VARCHAR, 3, '0'), '0') END AS plain FROM x)
+               SELECT o_orderkey, '$' || p AS price, CASE WHEN o_orderkey = 0 THEN '$' ELSE '-$' END || p AS owed, plain FROM y""",
+        "merge_nested": "SELECT p_partkey, p_size, p_name, p_type AS p_brand, p_retailprice FROM part",
+        "question_update": w(_Q) + f"SELECT id, CASE WHEN id = {ONE} THEN 'new' || chr(10) || 'text' ELSE question END AS question, CASE WHEN id = {ONE} THEN '' ELSE answer END AS answer, has_answer AND id <> {ONE} AS has_answer FROM q",
+        "page_sizes": "SELECT p_partkey, CASE WHEN p_size IN (5, 10, 25) THEN p_size ELSE 10 END AS size FROM part",
+        "initials": "SELECT s_suppkey, upper(left(s_name, 1)) AS initial FROM supplier",
+        "bulk_append": w(_Q, _SHEET, _ROWS) + f"SELECT * FROM q UNION ALL SELECT row_idx + 1 + (SELECT max(id) FROM q) AS id, {_clean('question')} AS question, {_clean('answer')} AS answer, has_answer FROM rows_",
+        "question_insert": w(_Q, _SENT, f"form AS (SELECT input_pos, {_clean('question')} AS question, {_clean('answer')} AS answer FROM sent)", *_check("SELECT lower(question) AS k FROM form", f"SELECT id AS existing_id, lower({_clean('question')}) AS k FROM q"))
+        + "SELECT input_pos, CASE WHEN score IS NULL THEN 201 ELSE 409 END AS status, CASE WHEN score IS NULL THEN input_pos + 1 + (SELECT max(id) FROM q) ELSE -1 END AS id, question, answer, answer <> '' AS has_answer, coalesce(existing_id, -1) AS existing_id, coalesce(round(score, 6), 0.0)::DOUBLE AS score FROM form LEFT JOIN best ON k = lower(question)",
+        "document_upload": w(_DOCS) + "SELECT id, title, description, file_type, file_path, created_at, is_embed FROM docs UNION ALL SELECT (SELECT max(id) FROM docs) + p_partkey, p_name, p_type, 'pdf', 'storage/documents/' || p_partkey || '.pdf', TIMESTAMP '2024-06-01', false FROM part WHERE p_partkey % 4 NOT IN (0, 1)",
+        "document_delete": w(_DOCS) + "SELECT id, title, description, file_type, file_path, created_at, is_embed FROM docs WHERE id <> 10",
+        "document_embedded": w(_DOCS) + "SELECT id, is_embed OR id % 4 = 0 AS is_embed FROM docs",
+        "chat_answered": w(_MSG) + f"SELECT conv_id, count(*) + 2 AS n, string_agg(role || ': ' || text, chr(10) ORDER BY turn) || chr(10) || 'user: hello' || chr(10) || 'assistant: ' || CASE conv_id % 3 WHEN 0 THEN {_literal(chat.PENDING)} WHEN 1 THEN 'yes' ELSE {_literal(chat.NO_ANSWER)} END AS turns FROM msg GROUP BY conv_id",
         "xlsx_roundtrip": w(_Q) + "SELECT row_number() OVER (ORDER BY id) AS stt, coalesce(question, '') AS question, coalesce(answer, '') AS answer FROM q WHERE NOT has_answer",
     }

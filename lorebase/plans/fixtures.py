@@ -74,3 +74,19 @@ def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
     kind = F.element_at(F.array(*map(F.lit, ("/admin/questions/edit/", "/admin//documents/", "/admin/questions/add/x%20y+", "/", "/admin/1e5/0x10/12abc/"))), (key % 5 + 1).cast("int"))
     return table(spark, sf_dir, "part").select(key.alias("path_id"), F.concat(kind, key.cast("string")).alias("path"))
+
+
+def sent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions sent by a form: as in the table but for white space, with other words, or with a word more."""
+    q = questions(spark, sf_dir)
+    other = F.concat(F.lit("zz"), F.replace("question", F.lit(" "), F.lit(" zz")))
+    text = F.when(F.col("id") % 3 == 0, F.concat(F.lit(" "), "question", F.lit("\n"))).when(F.col("id") % 3 == 1, other).otherwise(F.concat("question", F.lit(" more")))
+    return q.select(F.col("id").alias("input_pos"), text.alias("question"), "answer")
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uploaded files, one for each part; some of a kind that is not accepted."""
+    kind = F.element_at(F.array(*map(F.lit, (".PDF", ".txt", ".pdf", ".pdf"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    path = F.concat(F.lit("storage/documents/"), F.col("p_partkey").cast("string"), kind)
+    created = F.lit("2024-06-01 00:00:00").cast("timestamp_ntz")
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("number"), path.alias("path"), F.col("p_name").alias("title"), F.col("p_type").alias("description"), created.alias("created_at"))

@@ -1,5 +1,7 @@
 """Every query against its SQL on the smallest tables."""
 
+import re
+
 import duckdb
 import pandas as pd
 import pytest
@@ -28,6 +30,27 @@ def test_same_as_sql(spark, duck, name):
     assert rows(got, sorted(got.columns)) == rows(want, sorted(got.columns))
 
 
+def test_shuffled_rows_are_all_there(spark):
+    rows = [tuple(r) for r in catalog.queries()["shuffle_rows"](spark, SF).collect()]
+    assert rows != sorted(rows) and sorted(rows) == sorted(tuple(r) for r in spark.read.parquet(f"{SF}/nation.parquet").select("n_nationkey", "n_name").collect())
+
+
+def test_object_ids(spark):
+    ids = [r.object_id for r in catalog.queries()["object_ids"](spark, SF).collect()]
+    assert len(set(ids)) == len(ids) and all(re.fullmatch("[0-9a-f]{24}", i) for i in ids)
+
+
+def test_file_sizes(spark, tmp_path):
+    for n in (512, 1024, 1075, 20_000):
+        (tmp_path / f"{n}.bin").write_bytes(b"x" * n)
+    from lorebase.operators import documents
+    from lorebase.sources import xlsx
+
+    rows = documents.size_label(xlsx.file_sizes(spark, str(tmp_path))).collect()
+    assert sorted((r.length, r.size_kb) for r in rows) == [(512, "0.5 KB"), (1024, "1.0 KB"), (1075, "1.0 KB"), (20_000, "19.5 KB")]
+    assert all(re.fullmatch(r"\d+\.\d KB", r.size_kb) for r in catalog.queries()["file_size_kb"](spark, SF).collect())
+
+
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_runs(spark, name):
     assert catalog.queries()[name](spark, SF).count() > 0
