@@ -211,7 +211,8 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], most
 
     copies realises the rates without dropping anything: the smallest rate of a document with tokens, at least a
     tenth, counts as one copy. Null or empty texts have no tokens and posteriors near the prior. A null doc_id
-    stays null, repeated rows give repeated rows, an empty table an empty one; other columns are ignored.
+    stays null, repeated rows give repeated rows, an empty table an empty one; other columns are ignored. Of equally
+    likely domains the first by name counts.
     """
     model, members, fit, low = fit_mixture(docs, labelled, targets, most)
     best = F.array_max("p")
@@ -222,7 +223,12 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], most
 
 
 def repeat_documents(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], most: int = 4000) -> DataFrame:
-    """The documents with all their columns, each as often as its fitted rate asks; nothing is dropped."""
+    """The documents with all their columns, each as often as its fitted rate asks; nothing is dropped.
+
+    Null and empty texts have posteriors near the prior and appear once at least; repeated rows, and rows of a null
+    doc_id, are each taken by themselves. An empty table gives an empty one. Of equal posteriors none is preferred, as
+    rates follow from all of them.
+    """
     model, _, fit, low = fit_mixture(docs, labelled, targets, most)
     doc = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
     times = let(posterior(F.col("text"), model), lambda p: copies(F.col("doc_id"), fit.rate(p), low))
