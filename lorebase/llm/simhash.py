@@ -6,6 +6,7 @@ a variant, so one shuffle on the variants brings every such pair together.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -14,10 +15,10 @@ from xxhash import xxh64_intdigest
 
 from .common import discard, map_rows, settle
 from .components import components
-from .keeping import keep, row_key
+from .keeping import keep
+from .resemblance import SIMILARITY, SIZE, plan, resembling, sketches
 
 SEED, RADIUS = 42, 2
-KEY = "key struct<last: boolean, doc_id: bigint, md5: string>"
 
 
 def fingerprint(text: str | None, size: int = 3) -> int:
@@ -63,14 +64,14 @@ def near_links(distinct: DataFrame) -> DataFrame:
     return links.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("low"))) <= RADIUS).select(F.col("fp").alias("a"), F.col("low").alias("b"))
 
 
-def _grouped(nodes: DataFrame) -> DataFrame:
-    """(fp, least) for each of the distinct fingerprints: the smallest `low` of those that it reaches."""
-    reached = components(near_links(nodes.select("fp")))
-    groups = reached.join(nodes, F.col("node") == F.col("fp")).select("node", "root", "low")
+def _grouped(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, least) for each of the nodes (node, low): the smallest `low` of those that it reaches by links (a, b)."""
+    reached = components(links).withColumnRenamed("node", "at")
+    groups = reached.join(nodes, F.col("at") == F.col("node")).select("node", "root", "low")
     least = groups.groupBy("root").agg(F.min("low").alias("least"))
-    moved = groups.select("node", "root").join(least, "root").select(F.col("node").alias("fp"), "least")
-    # settled, so that a join with it shuffles both sides itself and adaptive execution can split a hot fingerprint
-    return settle(nodes.join(moved, "fp", "left").select("fp", F.coalesce("least", "low").alias("least")), "named")
+    moved = groups.select("node", "root").join(least, "root").select("node", "least")
+    # settled, so that a join with it shuffles both sides itself and adaptive execution can split a hot node
+    return settle(nodes.join(moved, "node", "left").select("node", F.coalesce("least", "low").alias("least")), "named")
 
 
 def cluster(docs: DataFrame, size: int = 3) -> DataFrame:
@@ -83,25 +84,33 @@ def cluster(docs: DataFrame, size: int = 3) -> DataFrame:
     """
     found = settle(fingerprints(docs, size), "fingerprints")
     nodes = settle(found.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
-    named = _grouped(nodes)
+    named = _grouped(nodes.withColumnRenamed("fp", "node"), near_links(nodes.select("fp"))).withColumnRenamed("node", "fp")
     discard(nodes)
     return found.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("least").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, size: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:
     """The documents, with all their columns, of which one of each group of near copies stays.
 
-    Groups are those of `cluster`. Of a group the row of smallest doc_id stays, a null one last; of several rows of
-    that doc_id the one whose text's MD5 comes first, and of repeated rows one. Rows are judged by themselves, so a
-    doc_id with rows in several groups may stay in some and go in others. Null text counts as empty text: all such
-    rows are near copies of each other. An empty table gives an empty one.
+    Texts are linked if the sets of their word shingles of `size` words (one shingle if there are fewer) have a
+    Jaccard similarity of `similarity` or more; a group is what links reach. No other texts are linked. A pair at the
+    threshold itself is found with the probability `resemblance.RECALL`, closer ones more surely, equal sets always.
+
+    Of a group the row of smallest doc_id stays, a null one last; of several rows of that doc_id the one whose text's
+    MD5 comes first, and of repeated rows one. Rows are judged by themselves, so a doc_id with rows in several
+    groups may stay in some and go in others. Null text counts as empty text: all rows without words are copies of
+    each other. An empty table gives an empty one.
     """
-    keyed = map_rows(docs.select("text", "doc_id", row_key().alias("key")), f"{KEY}, fp bigint", lambda: lambda texts, _, keys: (keys, [fingerprint(t, size) for t in texts]))
-    found = settle(keyed, "fingerprints")
-    nodes = settle(found.groupBy("fp").agg(F.min("key").alias("low")), "distinct")
-    named = _grouped(nodes)
-    rows = settle(found.join(named, "fp").groupBy("key", "least").agg(F.count(F.lit(1)).alias("n")), "decided")
+    tables, bits = plan(docs.count(), similarity)
+    found = settle(sketches(docs, tables, bits, size), "sketches")
+    sets = found.groupBy("sig").agg(F.min("key").alias("low"), F.first("n").alias("n"), F.first("fps").alias("fps"))
+    nodes = settle(sets.withColumn("node", F.monotonically_increasing_id()), "distinct")  # numbers are fixed by writing them
+    links = resembling(nodes, docs, tables, bits, size, similarity)
+    edges = reduce(DataFrame.unionByName, links, nodes.select("node", F.col("node").alias("low")).limit(0)).select(F.col("node").alias("a"), F.col("low").alias("b"))
+    least = _grouped(nodes.select("node", "low"), edges)
+    named = settle(nodes.select("node", "sig").join(least, "node").select("sig", "least"), "named")
+    rows = settle(found.select("key", "sig").join(named, "sig").groupBy("key", "least").agg(F.count(F.lit(1)).alias("n")), "decided")
     out = keep(docs, rows.filter("key <> least"), rows.filter("key = least AND n > 1"))
-    for used in (found, nodes, named, rows):
+    for used in (found, nodes, least, named, rows, *links):
         discard(used)
     return out

@@ -11,7 +11,7 @@ from lorebase.llm import byte_bpe, mixing, quality
 from lorebase.llm.common import settle, table
 
 from .conftest import SF
-from .test_simhash import brute as near_copies
+from .test_simhash import survivors
 
 
 @pytest.fixture(scope="module")
@@ -50,8 +50,10 @@ def test_exact_stage(outputs):
 
 def test_near_stage(outputs):
     before, after = outputs[2]
-    rows = near_copies([(r.doc_id, r.text) for r in before.collect()])
-    assert ids(after) == Counter(int(d) for d, _, c in (r.strip("()").split(", ") for r in rows) if d == c)
+    rows = [(r.doc_id, r.text) for r in before.collect()]
+    want, got = Counter(d for d, _ in survivors(rows)), ids(after)
+    assert not want - got  # nothing goes without a link
+    assert (got - want).total() <= 0.1 * (len(rows) - want.total())  # a tenth of the links may be missed
 
 
 def test_mixing_stage(spark, outputs):

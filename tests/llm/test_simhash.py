@@ -44,15 +44,21 @@ def groups(rows, key):
     return list(found.values())
 
 
-def survivors(rows, size=3):
+def shingled(text, size=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def survivors(rows, similarity=0.8):
     """The rows that stay, by comparing all pairs of rows, each by itself."""
     import hashlib
 
-    fps = [slow_fingerprint(t) for _, t in rows]
+    sets = [shingled(t) for _, t in rows]
     at = list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= 2:
+            shared = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or shared and shared >= similarity * (len(sets[i]) + len(sets[j]) - shared):
                 a, b = at[i], at[j]
                 at = [b if x == a else x for x in at]
     order = lambda r: (r[0] is None, r[0] or 0, "" if r[1] is None else hashlib.md5(r[1].encode()).hexdigest())
