@@ -70,10 +70,42 @@ def test_group_of_many_near_copies(spark):
     assert set(want) <= set(got) and len(got) - len(want) <= 0.1 * (len(rows) - len(want))
 
 
-def test_leaders_exhaust_a_bucket(spark):
-    """Members that no leader links meet each other in later rounds."""
-    members = spark.createDataFrame([(1, n) for n in range(10)] + [(2, 4)], "at bigint, node bigint")
-    first = resemblance.led(members, 1).collect()
-    assert {(r.at, r.node, r.lead, tuple(r.lows)) for r in first} == {(1, n, n == 0, (0,)) for n in range(10)}
-    assert {tuple(r.lows) for r in resemblance.led(members, 4).collect()} == {(0, 1, 2, 3)}
-    assert resemblance.led(members.filter("at = 2"), 4).isEmpty()
+def test_leaders(spark):
+    """The first inner members by size lead; those before any inner member are left out."""
+    rows = [(1, n, 10 + n // 2, n, n % 3 == 1) for n in range(8)] + [(2, 4, 9, 0, False)]
+    members = spark.createDataFrame(rows, "at bigint, node bigint, n int, pos int, inner boolean")
+    got = {r.node: (r.at, r.lead, [x.node for x in r.lows]) for r in resemblance.led(members, 2).collect()}
+    assert got == {1: (1, True, [1]), 2: (1, False, [1]), 3: (1, False, [1])} | {4: (1, True, [1, 4])} | {n: (1, False, [1, 4]) for n in (5, 6, 7)}
+    assert resemblance.led(members.filter("at = 2"), 2).isEmpty()
+
+
+def test_rarest_shingles_meet(spark):
+    """Sets of the similarity meet at the rarest shingle they share, where the smaller one is inner; any order will do."""
+    rng, rank = np.random.default_rng(9), np.random.default_rng(10).integers(0, 9, resemblance.SLOTS)
+    found = 0
+    for _ in range(2_000):
+        n = int(rng.integers(1, 60))
+        a = np.unique(rng.integers(-(2**62), 2**62, n))
+        b = np.unique(np.concatenate([a[: int(rng.integers(0.6 * n, n + 1))], rng.integers(-(2**62), 2**62, int(rng.integers(0, 12)))]))
+        if len(np.intersect1d(a, b)) < 0.8 * len(np.union1d(a, b)):
+            continue
+        small, large = sorted((a, b), key=len)
+        (x, inner), (y, _) = (resemblance.rarest(s, rank, 0.8) for s in (small, large))
+        i, first = next((i, v) for i, v in enumerate(x) if v in large)
+        j = y.tolist().index(first)
+        assert i < inner and min(len(small) - i, len(large) - j) >= 0.8 / 1.8 * (len(a) + len(b)) - 1e-9
+        found += 1
+    assert found > 300
+
+
+def test_crowded_texts_lose_no_links(spark, monkeypatch):
+    """With every text that meets another crowded, rare shingles alone find all groups, as brute force does."""
+    monkeypatch.setattr(resemblance, "CROWD", 0)
+    rng = random.Random(7)
+    base = [f"b{i}" for i in range(150)]
+    rows = [(i, " ".join(edited(base, 1 + i % 3, rng))) for i in range(40)]
+    rows += [(100 + i, " ".join(base[: 100 + i % 30] + [f"o{rng.randrange(10**9)}" for _ in range(40)])) for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = sorted((r.doc_id, r.text) for r in simhash.keep_one(frame).collect())
+    want = sorted(survivors(rows))
+    assert set(want) <= set(got) and len(got) - len(want) <= 0.1 * (len(rows) - len(want))
