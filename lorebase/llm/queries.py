@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, embeddings, exact, html_text, mixing, piece_count, quality, simhash, token_files, toxicity
+from . import byte_bpe, embeddings, exact, fill_middle, html_text, mixing, piece_count, quality, simhash, token_files, toxicity
 from .common import table
 
 #: Relative weights of the languages that op6 and the pipeline mix to.
@@ -67,13 +67,30 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_byte_bpe, op2_quality, op3_simhash, op4_embedding_dedup, op5_token_counts, op6_mixing, op7_exact_dedup, op8_token_files, op9_html_text, op10_toxicity)
+    own = (op1_byte_bpe, op2_quality, op3_simhash, op4_embedding_dedup, op5_token_counts, op6_mixing, op7_exact_dedup, op8_token_files, op9_html_text, op10_toxicity, op11_fill_in_middle)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op11_fill_in_middle": r"""
+            WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS d FROM documents),
+            h AS (
+              SELECT *, length(text) AS n, ('0x' || substr(d, 1, 8))::BIGINT AS h1, ('0x' || substr(d, 9, 8))::BIGINT AS h2,
+                     ('0x' || substr(d, 17, 8))::BIGINT AS h3, ('0x' || substr(d, 25, 8))::BIGINT AS h4 FROM t),
+            c AS (
+              SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+                     CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                          WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+            p AS (SELECT *, substr(text, 1, a) AS p, substr(text, a + 1, b - a) AS m, substr(text, b + 1) AS s FROM c)
+            SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+                   sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+                   sha256(text) AS restored_sha256 FROM p""",
         "op7_exact_dedup": r"""
             WITH t AS (
               SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
