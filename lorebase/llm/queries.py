@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, embeddings, exact, fill_middle, html_text, mixing, piece_count, quality, simhash, token_files, toxicity
+from . import byte_bpe, divergence, embeddings, exact, fill_middle, html_text, mixing, piece_count, quality, sharding, simhash, token_files, toxicity
 from .common import table
 
 #: Relative weights of the languages that op6 and the pipeline mix to.
@@ -71,13 +71,51 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digests(table(spark, sf_dir, "documents"))
 
 
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_rows(table(spark, sf_dir, "documents"), shards=8)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_byte_bpe, op2_quality, op3_simhash, op4_embedding_dedup, op5_token_counts, op6_mixing, op7_exact_dedup, op8_token_files, op9_html_text, op10_toxicity, op11_fill_in_middle)
+    own = (op1_byte_bpe, op2_quality, op3_simhash, op4_embedding_dedup, op5_token_counts, op6_mixing, op7_exact_dedup, op8_token_files, op9_html_text, op10_toxicity, op11_fill_in_middle, op12_sharding, op13_source_divergence)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op13_source_divergence": r"""
+            WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+            w AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS raw FROM d),
+            t AS (SELECT r, lang, source, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM w),
+            kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+            c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+            g AS (SELECT DISTINCT lang, source FROM d),
+            v AS (SELECT lang, count(*)::HUGEINT AS v FROM kept GROUP BY lang),
+            total AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL),
+            dense AS (
+              SELECT lang, source, term, coalesce(n, 0) AS n, 1 + 1000000000 * (coalesce(n, 0) + 1) // (coalesce(total, 0) + v) AS p
+              FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term) LEFT JOIN total USING (lang, source)),
+            lang_total AS (SELECT lang, sum(n) AS total FROM c GROUP BY lang),
+            whole AS (
+              SELECT lang, term, 1 + 1000000000 * (sum(n) + 1) // (any_value(total) + any_value(v)) AS q
+              FROM c JOIN lang_total USING (lang) JOIN v USING (lang) GROUP BY lang, term),
+            sums AS (
+              SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+              FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+            pairs AS (
+              SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+              FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+              LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+            terms AS (
+              SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value
+              FROM dense JOIN whole USING (lang, term) WHERE n > 0 AND p > q),
+            ranked AS (
+              SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+              FROM (FROM pairs UNION ALL FROM terms))
+            SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 200""",
         "op11_fill_in_middle": r"""
             WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS d FROM documents),
             h AS (
