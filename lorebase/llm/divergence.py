@@ -19,12 +19,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import discard, settle, ship
 
-#: Terms of one automaton, which bounds a worker's memory (some hundred bytes for each character of a term).
-BLOCK = 100_000
+#: Bytes of the terms of one automaton, some million terms; it takes 13 times as much memory, 40 times at worst.
+BLOCK = 10_000_000
 #: Bytes of a term that an automaton holds; longer terms are told apart by a digest in their place.
 LONGEST = 64
-#: What a task holds before it sends what it has counted.
-HELD = 400_000
+#: Terms, and occurrences (of 8 bytes), that a task holds before it sends what it has counted.
+HELD_TERMS, HELD = 400_000, 3_000_000
 #: Sources of a language that a task's table of sums has room for; it takes 32 * WIDE * WIDE bytes at most.
 WIDE = 1000
 SCALE = 1_000_000_000
@@ -52,7 +52,7 @@ def document_frequencies(docs: DataFrame, least: int = 3) -> DataFrame:
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").cast(pa.binary()), strict=True):
                 held.setdefault(lang, Counter()).update(set(text.as_py().translate(PLAIN).split()))
-                if sum(map(len, held.values())) > HELD:
+                if sum(map(len, held.values())) > HELD_TERMS:
                     yield out()
                     held.clear()
         yield out()
@@ -64,27 +64,29 @@ def document_frequencies(docs: DataFrame, least: int = 3) -> DataFrame:
 def _blocks(kept: DataFrame, most: int) -> tuple[DataFrame, int]:
     """The kept terms with the number of their block, and how many blocks there are.
 
-    The terms of most documents come first, as far as a histogram of the frequencies' logarithms shows that they fit
-    in one block; the others are dealt over as many as they take.
+    The terms of most documents come first, as far as a histogram of the frequencies' logarithms shows that their
+    bytes fit in one block; the others are dealt over as many as they take.
     """
-    bin_ = F.floor(F.log2("df") * 8).cast("int")
-    bins = sorted(((r.bin, r.n) for r in kept.groupBy(bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)  # a few hundred rows
-    total, first, floor = sum(n for _, n in bins), 0, None
-    for b, n in bins:
-        if first + n > most:
+    bin_, room = F.floor(F.log2("df") * 8).cast("int"), F.least(F.octet_length("term"), F.lit(LONGEST)) + 2
+    found = kept.groupBy(bin_.alias("bin")).agg(F.sum(room).alias("bytes")).collect()  # a few hundred rows
+    first, floor, total = 0, None, sum(r.bytes for r in found)
+    for b, own in sorted(((r.bin, r.bytes) for r in found), reverse=True):
+        if first + own > most:
             break
-        first, floor = first + n, b
-    blocks = -(-5 * (total - first) // (4 * most))
-    rest = F.pmod(F.xxhash64("lang", "term"), F.lit(max(blocks, 1))).cast("int") + (1 if first else 0)
-    number = F.when(bin_ >= floor, F.lit(0)).otherwise(rest) if floor is not None else rest
-    return kept.withColumn("block", number), blocks + (1 if first else 0)
+        first, floor = first + own, b
+    rest = -(-5 * (total - first) // (4 * most))
+    dealt = F.pmod(F.xxhash64("lang", "term"), F.lit(max(rest, 1))).cast("int")
+    if floor is None:
+        return kept.withColumn("block", dealt), rest
+    return kept.withColumn("block", F.when(bin_ >= floor, F.lit(0)).otherwise(dealt + 1)), rest + 1
 
 
-_BUILT: dict[tuple, dict] = {}
+_BUILT: dict[tuple, tuple] = {}
 
 
-def _automata(key: tuple, terms: list[tuple[str, str]]) -> dict:
-    """For each language an automaton of its terms between delimiters; a value is the term's number in the list.
+def _automata(key: tuple, terms: dict[str, str]) -> tuple[dict, pa.Array]:
+    """For each language an automaton of its terms between delimiters, whose values are the terms' numbers; and the
+    terms by number. `terms` has those of each language, a line each.
 
     The last ones built in a worker process are kept, so that its next tasks have them.
     """
@@ -92,12 +94,16 @@ def _automata(key: tuple, terms: list[tuple[str, str]]) -> dict:
 
     if key not in _BUILT:
         own: dict[str, ahocorasick.Automaton] = {}
-        for number, (lang, term) in enumerate(terms):
-            own.setdefault(lang, ahocorasick.Automaton()).add_word(f" {_short(term.encode()).decode()} ", number)
-        for automaton in own.values():
+        names, number = [], 0
+        for lang, lines in terms.items():
+            automaton, each = own.setdefault(lang, ahocorasick.Automaton()), lines.split("\n")
+            for term in each:
+                automaton.add_word(f" {_short(term.encode()).decode()} ", number)
+                number += 1
             automaton.make_automaton()
+            names.append(pa.array(each))
         _BUILT.clear()
-        _BUILT[key] = own
+        _BUILT[key] = own, pa.concat_arrays([pa.array([], pa.string()), *names])
     return _BUILT[key]
 
 
@@ -136,10 +142,10 @@ def occurrences(docs: DataFrame, kept: DataFrame, block: int = BLOCK) -> DataFra
     numbered, blocks = _blocks(kept, block)
     texts, counted, used = _rows(docs).withColumn("text", F.col("text").cast("binary")), [], []
     for b in range(blocks):
-        own = sorted((r.lang, r.term) for r in numbered.filter(F.col("block") == b).select("lang", "term").collect())  # about `block` terms
-        if len(own) > 2 * block:
-            raise ValueError("a block of terms came out too large")
-        shared = spark.sparkContext.broadcast(own)
+        own: dict[str, list[str]] = {}
+        for r in numbered.filter(F.col("block") == b).select("lang", "term").toLocalIterator():  # about `block` bytes
+            own.setdefault(r.lang, []).append(r.term)
+        shared = spark.sparkContext.broadcast({lang: "\n".join(sorted(terms)) for lang, terms in own.items()})
         last = b + 1 == blocks
         run = _counting(shared, (spark.sparkContext.applicationId, shared._jbroadcast.id()), first=b == 0, last=last)
         found = texts.mapInArrow(run, "lang string, source string, term string, n bigint, rest binary")
@@ -156,29 +162,26 @@ def occurrences(docs: DataFrame, kept: DataFrame, block: int = BLOCK) -> DataFra
 
 
 def _counting(shared, key: tuple, first: bool, last: bool):
+    """Counts of occurrences (lang, source, term, n), and, before the last block, the rests of texts (lang, source, rest)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = shared.value
-        automata = _automata(key, terms)
-        widths = [] if last else [len(_short(t.encode()).decode()) for _, t in terms]
+        automata, terms = _automata(key, shared.value)
+        widths = [] if last else [len(_short(t.encode()).decode()) for t in terms.to_pylist()]
         held: dict[tuple[str, str], list[int]] = {}
-        n_held = 0
-        names = ["lang", "source", "term", "n", "rest"]
+        n_held, names = 0, ["lang", "source", "term", "n", "rest"]
 
         def out():
-            columns: list[list] = [[], [], [], []]
-            for (lang, source), numbers in held.items():
-                found, n = np.unique(np.array(numbers, np.int64), return_counts=True)
-                for column, values in zip(columns, ([lang] * len(found), [source] * len(found), [terms[k][1] for k in found.tolist()], n.tolist()), strict=True):
-                    column.extend(values)
-            types = [pa.string(), pa.string(), pa.string(), pa.int64()]
-            return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, types, strict=True)), pa.nulls(len(columns[0]), pa.binary())], names=names)
+            each = [np.unique(np.array(numbers, np.int64), return_counts=True) for numbers in held.values()]
+            group = np.repeat(np.arange(len(each)), [len(found) for found, _ in each])
+            found, n = (np.concatenate([e[k] for e in each]) for k in (0, 1))
+            langs, sources = (pa.array([g[k] for g in held], pa.string()).take(pa.array(group)) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([langs, sources, terms.take(pa.array(found)), pa.array(n, pa.int64()), pa.nulls(len(found), pa.binary())], names=names)
 
         for batch in batches:
             rests: list[tuple[str, str, bytes]] = []
             for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("text"), strict=True):
                 padded = _padded(text.as_py()) if first else text.as_py().decode()
-                automaton = automata.get(lang)
-                pairs = list(automaton.iter(padded)) if automaton is not None else []
+                pairs = list(automata[lang].iter(padded)) if lang in automata else []
                 numbers = [v for _, v in pairs]
                 held.setdefault((lang, source), []).extend(numbers)
                 n_held += len(numbers)
@@ -191,7 +194,8 @@ def _counting(shared, key: tuple, first: bool, last: bool):
             if rests:
                 lang, source, rest = zip(*rests, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(source), pa.nulls(len(rests), pa.string()), pa.nulls(len(rests), pa.int64()), pa.array(rest, pa.binary())], names=names)
-        yield out()
+        if held:
+            yield out()
 
     return run
 
@@ -282,42 +286,57 @@ def _pairs(groups: DataFrame, shares: DataFrame, postings: DataFrame) -> DataFra
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[dict[str, int], np.ndarray]] = {}
 
-        def out(lang: str):
+        def rows(lang: str, a: list, b: list, sums: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([lang] * len(a), pa.string()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(sums)], names=names)
+
+        def out(lang: str) -> pa.RecordBatch:
             at, sums = held.pop(lang)
             source = np.array(list(at), object)
             a, b = np.nonzero(sums[: len(source), : len(source)])
-            return pa.RecordBatch.from_arrays([pa.array([lang] * len(a), pa.string()), pa.array(source[a], pa.string()), pa.array(source[b], pa.string()), pa.array(sums[a, b])], names=names)
+            return rows(lang, source[a].tolist(), source[b].tolist(), sums[a, b])
+
+        def add(lang: str, source: np.ndarray, p: np.ndarray, q: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Postings of equal length, a row each."""
+            own, place = np.unique(source, return_inverse=True)
+            if len(own) > WIDE and len(source) > 1:
+                for half in np.array_split(np.arange(len(source)), 2):
+                    yield from add(lang, source[half], p[half], q[half])
+                return
+            if len(own) > WIDE:  # more sources than a table has room for: a row of it at a time
+                for k in range(len(own)):
+                    a, x = p[0, k], q[0, k]
+                    more = _gain(a, p[0]) - _gain(a, q[0]) - _gain(x, p[0]) + _gain(x, q[0])
+                    yield rows(lang, [source[0, k]] * (len(own) - 1), np.delete(source[0], k).tolist(), np.delete(more, k))
+                return
+            at, sums = held.setdefault(lang, ({}, np.zeros((32, 32), np.int64)))
+            if len(at.keys() | set(own)) > WIDE:
+                yield out(lang)
+                at, sums = held.setdefault(lang, ({}, np.zeros((32, 32), np.int64)))
+            places = np.array([at.setdefault(s, len(at)) for s in own])
+            if len(at) > len(sums):
+                sums = np.pad(sums, (0, 2 * len(at) - len(sums)))
+                held[lang] = at, sums
+            place = places[place.reshape(source.shape)]
+            a, b, x, y = p[:, :, None], p[:, None, :], q[:, :, None], q[:, None, :]
+            more = _gain(a, b) - _gain(a, y) - _gain(x, b) + _gain(x, y)
+            more[:, np.arange(p.shape[1]), np.arange(p.shape[1])] = 0
+            np.add.at(sums.reshape(-1), (place[:, :, None] * len(sums) + place[:, None, :]).ravel(), more.ravel())
 
         for batch in batches:
-            for lang, own in zip(batch.column("lang").to_pylist(), batch.column("own").to_pylist(), strict=True):
-                if len(own) < 2:
-                    continue
-                if len(own) > WIDE:  # more sources than a task's table has room for: by stretches of them
-                    p, q = (np.array([x[k] for x in own], np.int64) for k in ("p", "none"))
-                    source = [x["source"] for x in own]
-                    for a in range(len(own)):
-                        own_p, own_q = p[a], q[a]
-                        more = _gain(own_p, p) - _gain(own_p, q) - _gain(own_q, p) + _gain(own_q, q)
-                        keep = [b for b in range(len(own)) if b != a]
-                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keep), pa.string()), pa.array([source[a]] * len(keep), pa.string()), pa.array([source[b] for b in keep], pa.string()), pa.array(more[keep])], names=names)
-                    continue
-                at, sums = held.setdefault(lang, ({}, np.zeros((32, 32), np.int64)))
-                if len(at) + len(own) > WIDE:
-                    yield out(lang)
-                    at, sums = held.setdefault(lang, ({}, np.zeros((32, 32), np.int64)))
-                places = np.array([at.setdefault(x["source"], len(at)) for x in own])
-                if len(at) > len(sums):
-                    wide = min(2 * WIDE, 2 * len(at))
-                    sums = np.pad(sums, (0, wide - len(sums)))
-                    held[lang] = at, sums
-                    if sum(s.nbytes for _, s in held.values()) > 16 * WIDE * WIDE:
-                        for other in [x for x in held if x != lang]:
-                            yield out(other)
-                p, q = (np.array([x[k] for x in own], np.int64) for k in ("p", "none"))
-                a, b, x, y = p[:, None], p[None, :], q[:, None], q[None, :]
-                more = _gain(a, b) - _gain(a, y) - _gain(x, b) + _gain(x, y)
-                np.fill_diagonal(more, 0)
-                sums[np.ix_(places, places)] += more
+            own, langs = batch.column("own"), np.array(batch.column("lang").to_pylist(), object)
+            ends, flat = own.offsets.to_numpy().astype(np.int64), own.values
+            source = np.array(flat.field("source").to_pylist(), object)
+            p, q = (flat.field(c).to_numpy().astype(np.int64) for c in ("p", "none"))
+            length = np.diff(ends)
+            for lang in set(langs):
+                for k in np.unique(length[(langs == lang) & (length > 1)]):
+                    where = np.flatnonzero((langs == lang) & (length == k))
+                    for part in np.array_split(where, -(-len(where) * int(k) * int(k) // 500_000)):
+                        at = ends[part][:, None] + np.arange(k)
+                        yield from add(lang, source[at], p[at], q[at])
+                        if sum(s.nbytes for _, s in held.values()) > 40 * WIDE * WIDE:
+                            for other in [x for x in held if x != lang]:
+                                yield out(other)
         for lang in list(held):
             yield out(lang)
 
