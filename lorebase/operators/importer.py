@@ -7,9 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import clean_text, fixed2, trim
-
-SPACE = r"[\x20\x09-\x0D]+"
-
+from ..sources.shared import scratch, shared_folder
+from .similar import SPACE, PrefixIndex, distinct_words, match_key, set_digest
 
 def rows_of(sheet: DataFrame) -> DataFrame:
     """Questions of sheet rows (row_idx, cells): the header dropped, and rows without a question and an answer.
@@ -22,10 +21,6 @@ def rows_of(sheet: DataFrame) -> DataFrame:
     return kept.select("row_idx", trim(F.coalesce(cell(1), F.lit(""))).alias("question"), trim(F.coalesce(cell(2), F.lit(""))).alias("answer"), full(cell(2)).alias("has_answer"))
 
 
-def match_key(text: Column) -> Column:
-    return F.lower(clean_text(text))
-
-
 def check(candidates: DataFrame, existing: DataFrame, threshold: float = 70.0) -> DataFrame:
     """Each candidate (input_pos, question) with its best existing match (existing_id, text) and score.
 
@@ -160,13 +155,46 @@ def append_new(questions: DataFrame, rows: DataFrame) -> DataFrame:
 def add_questions(questions: DataFrame, sent: DataFrame, threshold: float = 70.0) -> DataFrame:
     """What becomes of each sent question (input_pos, question, answer): status 201 with its new id, or 409, a conflict.
 
-    Fields are cleaned and the flag follows the cleaned answer. A conflict has the id and score of the best match in
-    the table, as `check` finds it. All are checked against the table as it is, not against each other.
+    The result is that of sending them one after the other, by input_pos, which is distinct: a question is a conflict
+    with what is in the table and with each one before it that was put in, not with one that was itself refused. A
+    conflict has the id and score of its best match among those. Fields are cleaned and the flag follows the cleaned
+    answer; rows without a question, which the form refuses, are left out.
+
+    A table of similar pairs is decided in rounds: of the questions in it that wait for none before them, all are put
+    in at once, and those similar to one of them are refused. Rounds are as many as the longest chain of questions
+    that wait for one another; each reads the pairs that are still open.
     """
-    form = sent.select("input_pos", clean_text(F.col("question")).alias("question"), clean_text(F.col("answer")).alias("answer"))
-    found = check(form.select("input_pos", "question"), questions.select(F.col("id").alias("existing_id"), F.col("question").alias("text")), threshold).drop("question")
+    spark = sent.sparkSession
+    form = sent.filter(F.col("question").isNotNull() & (F.col("question") != "")).select("input_pos", clean_text(F.col("question")).alias("question"), clean_text(F.col("answer")).alias("answer"))
+    form = form.withColumn("words", distinct_words(F.lower("question")))
+    form = scratch(form.withColumn("digest", set_digest(F.col("words"))), "form")
+    texts = scratch(form.groupBy("digest").agg(F.min("input_pos").alias("first"), F.first("words").alias("words")), "sent")
+    table = PrefixIndex.create(questions.select(F.col("id").alias("existing_id"), F.col("question").alias("text")), shared_folder(spark, "index"), threshold)
+    known = scratch(table.best(texts.select("digest", "words")), "known")
+    new = scratch(texts.join(known, "digest", "left_anti"), "new")
+    batch = PrefixIndex.create_from(new.select(F.col("first").alias("existing_id"), "digest", "words"), shared_folder(spark, "index"), threshold)
+    pairs = scratch(batch.similar(texts.select("digest", "words")), "pairs")
+
+    order = new.select("digest", "first")
+    waits = pairs.join(order.withColumnsRenamed({"digest": "own", "first": "own_first"}), "own").join(order, "digest").filter("own_first > first")
+    open_, refused = scratch(waits.select("own", "digest"), "open"), []
+    while not open_.isEmpty():
+        heads = open_.select("digest").distinct().join(open_.select(F.col("own").alias("digest")), "digest", "left_anti")
+        refused.append(scratch(open_.join(heads, "digest", "left_semi").select("own").distinct(), "refused"))
+        left = open_.join(refused[-1], "own", "left_anti")
+        open_ = scratch(left.join(refused[-1].select(F.col("own").alias("digest")), "digest", "left_anti"), "open")
+    put_in = order
+    for own in refused:
+        put_in = put_in.join(own.select(F.col("own").alias("digest")), "digest", "left_anti")
     top = F.broadcast(questions.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")))  # one row
-    rows = form.join(found, "input_pos").crossJoin(top)
-    status = F.when(F.col("is_duplicate"), 409).otherwise(201)
-    new_id = F.when(~F.col("is_duplicate"), F.col("top") + 1 + F.col("input_pos"))
-    return rows.select("input_pos", status.alias("status"), new_id.alias("id"), "question", "answer", (F.col("answer") != "").alias("has_answer"), "existing_id", "score")
+    put_in = scratch(put_in.crossJoin(top).select("digest", "first", (F.col("top") + 1 + F.col("first")).alias("id")), "put-in")
+
+    offers = pairs.join(put_in, "digest").select(F.col("own").alias("digest"), "first", "id", "score")
+    offers = offers.unionByName(put_in.withColumn("score", F.lit(100.0)))
+    offers = offers.unionByName(known.select("digest", F.lit(None).cast("bigint").alias("first"), F.col("existing_id").alias("id"), "score"))
+    before = form.select("input_pos", "digest").join(offers, "digest").filter(F.col("first").isNull() | (F.col("first") < F.col("input_pos")))
+    best = before.groupBy("input_pos").agg(F.max(F.struct("score", (-F.col("id")).alias("id"))).alias("best"))
+    inserted = put_in.select(F.col("first").alias("input_pos"), F.col("id").alias("new_id"))
+    rows = form.join(best, "input_pos", "left").join(inserted, "input_pos", "left")
+    match = F.when(F.col("new_id").isNull(), F.col("best"))
+    return rows.select("input_pos", F.when(F.col("new_id").isNull(), 409).otherwise(201).alias("status"), F.col("new_id").alias("id"), "question", "answer", (F.col("answer") != "").alias("has_answer"), (-match["id"]).alias("existing_id"), F.round(match["score"], 6).alias("score"))

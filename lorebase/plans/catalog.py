@@ -9,8 +9,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import TRIMMED, clean_text, compact, initial, number, usd
-from ..operators import chat, documents, importer, navigation, questions, utilities
+from ..operators import chat, documents, importer, navigation, questions, similar, utilities
 from ..sources import xlsx
+from ..sources.shared import shared_folder
 from . import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -132,6 +133,12 @@ def import_check(spark, d):
     return importer.check(fx.candidates(spark, d), fx.existing(spark, d)).select("input_pos", "is_duplicate", F.coalesce("existing_id", F.lit(-1)).alias("existing_id"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+@query
+def import_check_indexed(spark, d):
+    index = similar.PrefixIndex.create(fx.existing(spark, d), shared_folder(spark, "index"))
+    return index.check(fx.candidates(spark, d)).select("input_pos", "is_duplicate", F.coalesce("existing_id", F.lit(-1)).alias("existing_id"), F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
 @query
 def import_new(spark, d):
     return importer.new_rows(fx.checked(spark, d)).select("input_pos", "question")
@@ -426,24 +433,19 @@ _LABEL = " ".join(f"WHEN {_literal(k)} THEN {_literal(v)}" for k, v in navigatio
 _UNIT = "CASE WHEN o_totalprice < 1000 THEN o_totalprice WHEN o_totalprice < 1e6 THEN o_totalprice / 1e3 WHEN o_totalprice < 1e9 THEN o_totalprice / 1e6 ELSE o_totalprice / 1e9 END"
 
 
-_SENT = """sent AS (SELECT id AS input_pos, CASE id % 3 WHEN 0 THEN ' ' || question || chr(10) WHEN 1 THEN 'zz' || replace(question, ' ', ' zz') ELSE question || ' more' END AS question, answer FROM q)"""
+_OTHER = "'zz' || replace(question, ' ', ' zz')"
+_SENT = f"""sent AS (
+  SELECT id AS input_pos, CASE id % 3 WHEN 0 THEN ' ' || question || chr(10) WHEN 1 THEN {_OTHER} ELSE question || ' more' END AS question, answer FROM q
+  UNION ALL
+  SELECT id + 1000000000, CASE id % 4 WHEN 0 THEN {_OTHER} || ' again and again' WHEN 1 THEN regexp_replace({_OTHER}, ' [^ ]*$', '') WHEN 3 THEN upper({_OTHER}) END, answer FROM q)"""
 
 
-def _check(own: str, known: str) -> tuple[str, ...]:
-    """CTEs that end in best (k, existing_id, score), from own (k) and known (existing_id, k) with their texts' keys."""
-    words = r"list_filter(list_distinct(string_split_regex(k, '[\x20\x09-\x0D]+')), lambda s: s <> '')"
-    return (
-        f"known AS (SELECT k, existing_id, {words} AS ws FROM (SELECT k, min(existing_id) AS existing_id FROM ({known}) GROUP BY k))",
-        f"own AS (SELECT k, {words} AS ws FROM (SELECT DISTINCT k FROM ({own})))",
-        "a AS (SELECT k, unnest(ws) AS word FROM own)",
-        "b AS (SELECT existing_id, unnest(ws) AS word FROM known)",
-        "shared AS (SELECT a.k, existing_id, count(*) AS n FROM a JOIN b USING (word) GROUP BY ALL)",
-        "scored AS (SELECT s.k, s.existing_id, n * 100.0::DOUBLE / (len(o.ws) + len(e.ws) - n) AS score FROM shared s JOIN own o USING (k) JOIN known e USING (existing_id) UNION ALL SELECT o.k, e.existing_id, 100.0 FROM own o JOIN known e USING (k))",
-        "best AS (SELECT k, existing_id, score FROM scored WHERE score >= 70 QUALIFY row_number() OVER (PARTITION BY k ORDER BY score DESC, existing_id) = 1)",
-    )
+def oracle_sql() -> dict[str, str]:
+    sql = _sql()
+    return sql | {"import_check_indexed": sql["import_check"]}
 
 
-def oracle_sql() -> dict[str, str]:
+def _sql() -> dict[str, str]:
     w = lambda *ctes: "WITH " + ", ".join(ctes) + " "
     return {
         "questions_view": w(_Q) + "SELECT * FROM q",
@@ -532,8 +534,38 @@ def oracle_sql() -> dict[str, str]:
         "page_sizes": "SELECT p_partkey, CASE WHEN p_size IN (5, 10, 25) THEN p_size ELSE 10 END AS size FROM part",
         "initials": "SELECT s_suppkey, upper(left(s_name, 1)) AS initial FROM supplier",
         "bulk_append": w(_Q, _SHEET, _ROWS) + f"SELECT * FROM q UNION ALL SELECT row_idx + 1 + (SELECT max(id) FROM q) AS id, {_clean('question')} AS question, {_clean('answer')} AS answer, has_answer FROM rows_",
-        "question_insert": w(_Q, _SENT, f"form AS (SELECT input_pos, {_clean('question')} AS question, {_clean('answer')} AS answer FROM sent)", *_check("SELECT lower(question) AS k FROM form", f"SELECT id AS existing_id, lower({_clean('question')}) AS k FROM q"))
-        + "SELECT input_pos, CASE WHEN score IS NULL THEN 201 ELSE 409 END AS status, CASE WHEN score IS NULL THEN input_pos + 1 + (SELECT max(id) FROM q) ELSE -1 END AS id, question, answer, answer <> '' AS has_answer, coalesce(existing_id, -1) AS existing_id, coalesce(round(score, 6), 0.0)::DOUBLE AS score FROM form LEFT JOIN best ON k = lower(question)",
+        "question_insert": "WITH RECURSIVE "
+        + ", ".join(
+            (
+                _Q,
+                _SENT,
+                f"form AS (SELECT row_number() OVER (ORDER BY input_pos) AS k, input_pos, {_clean('question')} AS question, {_clean('answer')} AS answer FROM sent WHERE question <> '')",
+                r"words AS (SELECT k, lower(question) AS text, list_filter(list_distinct(string_split_regex(lower(question), '[\x20\x09-\x0D]+')), lambda s: s <> '') AS ws FROM form)",
+                rf"known AS (SELECT id, text, list_filter(list_distinct(string_split_regex(text, '[\x20\x09-\x0D]+')), lambda s: s <> '') AS ws FROM (SELECT id, lower({_clean('question')}) AS text FROM q))",
+                "pieces AS (SELECT k, text, len(ws) AS n, unnest(ws) AS word FROM words)",
+                "old AS (SELECT id, text, len(ws) AS n, unnest(ws) AS word FROM known)",
+                # scores against the table, and of each two sent ones, from 70 on
+                """hits AS (
+                  SELECT k, id, max(score) AS score FROM (
+                    SELECT k, id, count(*) * 100.0::DOUBLE / (any_value(a.n) + any_value(b.n) - count(*)) AS score FROM pieces a JOIN old b USING (word) GROUP BY k, id
+                    UNION ALL SELECT k, id, 100.0 FROM words JOIN known USING (text)) WHERE score >= 70 GROUP BY ALL)""",
+                """near AS (
+                  SELECT k, o, max(score) AS score FROM (
+                    SELECT a.k, b.k AS o, count(*) * 100.0::DOUBLE / (any_value(a.n) + any_value(b.n) - count(*)) AS score FROM pieces a JOIN pieces b ON a.word = b.word AND a.k > b.k GROUP BY ALL
+                    UNION ALL SELECT a.k, b.k, 100.0 FROM words a JOIN words b ON a.text = b.text AND a.k > b.k) WHERE score >= 70 GROUP BY ALL)""",
+                "before AS (SELECT k, exists(FROM hits h WHERE h.k = f.k) AS taken, coalesce((SELECT list(o) FROM near n WHERE n.k = f.k), []) AS others FROM form f)",
+                # one after the other: who has been put in so far
+                "steps AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS done UNION ALL SELECT b.k, CASE WHEN taken OR list_has_any(others, done) THEN done ELSE list_append(done, b.k) END FROM steps s JOIN before b ON b.k = s.k + 1)",
+                "put_in AS (SELECT unnest(done) AS k FROM (SELECT done FROM steps ORDER BY k DESC LIMIT 1))",
+                "top AS (SELECT max(id) AS top FROM q)",
+                """offers AS (
+                  SELECT k, id, score FROM hits
+                  UNION ALL SELECT n.k, top + 1 + f.input_pos, score FROM near n JOIN put_in p ON p.k = n.o JOIN form f ON f.k = n.o, top)""",
+                "best AS (SELECT k, id, score FROM offers QUALIFY row_number() OVER (PARTITION BY k ORDER BY round(score, 9) DESC, id) = 1)",
+            )
+        )
+        + """ SELECT input_pos, CASE WHEN p.k IS NULL THEN 409 ELSE 201 END AS status, CASE WHEN p.k IS NULL THEN -1 ELSE top + 1 + input_pos END AS id, question, answer, answer <> '' AS has_answer,
+              coalesce(b.id, -1) AS existing_id, coalesce(round(b.score, 6), 0.0)::DOUBLE AS score FROM form f LEFT JOIN put_in p ON p.k = f.k LEFT JOIN best b ON b.k = f.k, top""",
         "document_upload": w(_DOCS) + "SELECT id, title, description, file_type, file_path, created_at, is_embed FROM docs UNION ALL SELECT (SELECT max(id) FROM docs) + p_partkey, p_name, p_type, 'pdf', 'storage/documents/' || p_partkey || '.pdf', TIMESTAMP '2024-06-01', false FROM part WHERE p_partkey % 4 NOT IN (0, 1)",
         "document_delete": w(_DOCS) + "SELECT id, title, description, file_type, file_path, created_at, is_embed FROM docs WHERE id <> 10",
         "document_embedded": w(_DOCS) + "SELECT id, is_embed OR id % 4 = 0 AS is_embed FROM docs",

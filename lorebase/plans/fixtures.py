@@ -77,11 +77,13 @@ def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions sent by a form: as in the table but for white space, with other words, or with a word more."""
+    """Questions sent by a form: as in the table but for white space, with other words, or with a word more; then once more, some with a word more or less, some without a question."""
     q = questions(spark, sf_dir)
     other = F.concat(F.lit("zz"), F.replace("question", F.lit(" "), F.lit(" zz")))
     text = F.when(F.col("id") % 3 == 0, F.concat(F.lit(" "), "question", F.lit("\n"))).when(F.col("id") % 3 == 1, other).otherwise(F.concat("question", F.lit(" more")))
-    return q.select(F.col("id").alias("input_pos"), text.alias("question"), "answer")
+    again = F.when(F.col("id") % 4 == 0, F.concat(other, F.lit(" again and again"))).when(F.col("id") % 4 == 1, F.regexp_replace(other, " [^ ]*$", "")).when(F.col("id") % 4 == 2, F.lit(None)).otherwise(F.upper(other))
+    first = q.select(F.col("id").alias("input_pos"), text.alias("question"), "answer")
+    return first.unionByName(q.select((F.col("id") + 1_000_000_000).alias("input_pos"), again.alias("question"), "answer"))
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
