@@ -21,31 +21,41 @@ def history_payload(messages: DataFrame) -> DataFrame:
     return asked.filter(F.col("question") != "")
 
 
+def _turn(role: str, text: Column) -> Column:
+    return F.struct(F.lit(role).alias("role"), text.alias("text"))
+
+
 def append(messages: DataFrame, sent: DataFrame) -> DataFrame:
-    """Each conversation's turns as an array with two more: the user's text, and the reply, or a placeholder while it is null.
+    """Each conversation that something is sent in, with all its turns as an array: those of before, then for each
+    sent row (conv_id, turn, sent, reply), by turn, the user's text and the reply, or a placeholder while it is null.
 
-    Replies belong to their own (conv_id), so two questions under way can't overwrite each other.
+    Rows are known by (conv_id, turn), so questions under way at the same time can't overwrite each other; of several
+    rows of a turn the one with a reply counts. Texts that are empty after cleaning aren't sent, and conversations
+    where nothing else is have no row. A conversation is one row, gathered by one task.
     """
+    turns = sent.select("conv_id", "turn", clean_text(F.col("sent")).alias("sent"), "reply").filter("sent <> ''")
+    once = turns.groupBy("conv_id", "turn").agg(F.max(F.struct(F.col("reply").isNotNull(), "sent", "reply")).alias("s"))
+    both = once.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "s"))).alias("xs"))
+    new = both.select("conv_id", F.flatten(F.transform("xs", lambda x: F.array(_turn("user", x["s"]["sent"]), _turn("assistant", F.coalesce(x["s"]["reply"], F.lit(PENDING)))))).alias("new"))
     own = messages.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    turns = F.transform(F.coalesce("turns", F.array().cast("array<struct<turn:bigint,role:string,text:string>>")), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    more = F.array(F.struct(F.lit("user").alias("role"), clean_text(F.col("sent")).alias("text")), F.struct(F.lit("assistant").alias("role"), F.coalesce("reply", F.lit(PENDING)).alias("text")))
-    return sent.join(own, "conv_id", "left").select("conv_id", F.concat(turns, more).alias("messages"))
-
-
-def drop_last(messages: Column) -> Column:
-    """An array of turns without its last one."""
-    return F.slice(messages, F.lit(1), F.greatest(F.size(messages) - 1, F.lit(0)))
+    before = F.transform(F.coalesce("turns", F.array().cast("array<struct<turn:bigint,role:string,text:string>>")), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    return new.join(own, "conv_id", "left").select("conv_id", F.concat(before, "new").alias("messages"))
 
 
-def answered(pending: DataFrame, replies: DataFrame) -> DataFrame:
-    """Conversations (conv_id, messages) whose last turn, the placeholder, becomes the reply (conv_id, reply).
+def answer(sent: DataFrame, replies: DataFrame) -> DataFrame:
+    """Sent rows (conv_id, turn, sent) with the reply of their turn, of replies (conv_id, turn, at, reply).
 
-    An empty or null reply becomes a fixed sentence; conversations without a row in replies stay as they are.
+    Replies may come in any order; the last of a turn, by `at`, counts. An empty or null one becomes a fixed sentence;
+    turns without one stay pending, with a null reply. Replies to turns that were not sent are left out.
     """
     text = F.when(F.coalesce("reply", F.lit("")) == "", F.lit(NO_ANSWER)).otherwise(F.col("reply"))
-    turn = F.array(F.struct(F.lit("assistant").alias("role"), text.alias("text")))
-    rows = pending.join(replies.select("conv_id", "reply", F.lit(True).alias("came")), "conv_id", "left")
-    return rows.select("conv_id", F.when(F.col("came"), F.concat(drop_last(F.col("messages")), turn)).otherwise(F.col("messages")).alias("messages"))
+    last = replies.select("conv_id", "turn", "at", text.alias("reply")).groupBy("conv_id", "turn").agg(F.max_by("reply", F.struct("at", "reply")).alias("reply"))
+    return sent.select("conv_id", "turn", "sent").join(last, ["conv_id", "turn"], "left")
+
+
+def drop_last(messages: Column) -> Column:
+    """An array of turns without its last one."""
+    return F.slice(messages, F.lit(1), F.greatest(F.size(messages) - 1, F.lit(0)))
 
 
 def as_text(messages: str = "messages") -> F.Column:

@@ -133,11 +133,18 @@ def reconcile(questions: DataFrame, checked: DataFrame) -> DataFrame:
     row of a sheet has its own input_pos, they are distinct.
     """
     columns = ["id", "question", "answer", "has_answer"]
+    changed = reconciled(questions, checked)
+    return questions.select(columns).join(changed.select("id"), "id", "left_anti").unionByName(changed)
+
+
+def reconciled(questions: DataFrame, checked: DataFrame) -> DataFrame:
+    """The rows that `reconcile` puts in: overwrites under their ids, and creations under new ones."""
+    columns = ["id", "question", "answer", "has_answer"]
     last = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("input_pos")))
     changed = overwrites(checked).filter("id IS NOT NULL").withColumn("place", last).filter("place = 1").select(columns)
-    top = questions.agg(F.max("id")).first()[0] or 0
-    added = creates(checked).withColumn("id", F.col("input_pos") + 1 + top).select(columns)
-    return questions.select(columns).join(changed.select("id"), "id", "left_anti").unionByName(changed).unionByName(added)
+    top = F.broadcast(questions.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")))  # one row
+    added = creates(checked).crossJoin(top).withColumn("id", F.col("input_pos") + 1 + F.col("top")).select(columns)
+    return changed.unionByName(added)
 
 
 def append_new(questions: DataFrame, rows: DataFrame) -> DataFrame:
@@ -146,10 +153,14 @@ def append_new(questions: DataFrame, rows: DataFrame) -> DataFrame:
     As each row of a sheet has its own row_idx, the ids are distinct; they have gaps, so that no task has to number
     all rows.
     """
-    columns = ["id", "question", "answer", "has_answer"]
+    return questions.select("id", "question", "answer", "has_answer").unionByName(appended(questions, rows))
+
+
+def appended(questions: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows that `append_new` adds."""
     top = F.broadcast(questions.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")))  # one row
     added = save_new(rows).crossJoin(top).withColumn("id", F.col("row_idx") + 1 + F.col("top"))
-    return questions.select(columns).unionByName(added.select(columns))
+    return added.select("id", "question", "answer", "has_answer")
 
 
 def add_questions(questions: DataFrame, sent: DataFrame, threshold: float = 70.0) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.text import TRIMMED, clean_text, compact, initial, number, usd
 from ..operators import chat, documents, importer, navigation, questions, similar, utilities
 from ..sources import xlsx
+from ..sources.ranges import RangeTable
 from ..sources.shared import shared_folder
 from . import fixtures as fx
 
@@ -233,7 +234,7 @@ def chat_history_payload(spark, d):
 
 @query
 def chat_append(spark, d):
-    sent = fx.messages(spark, d).select("conv_id").distinct().select("conv_id", F.lit(" hello \n\n").alias("sent"), F.when(F.col("conv_id") % 2 == 0, F.lit("yes")).alias("reply"))
+    sent = fx.messages(spark, d).select("conv_id").distinct().select("conv_id", F.lit(1000).cast("bigint").alias("turn"), F.lit(" hello \n\n").alias("sent"), F.when(F.col("conv_id") % 2 == 0, F.lit("yes")).alias("reply"))
     return chat.append(fx.messages(spark, d), sent).select("conv_id", F.size("messages").cast("bigint").alias("n"), chat.as_text().alias("turns"))
 
 
@@ -320,6 +321,38 @@ def question_insert(spark, d):
     return importer.add_questions(fx.questions(spark, d), fx.sent(spark, d)).select("input_pos", "status", F.coalesce("id", F.lit(-1)).alias("id"), "question", "answer", "has_answer", F.coalesce("existing_id", F.lit(-1)).alias("existing_id"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+def _stored(spark: SparkSession, d: str) -> RangeTable:
+    return RangeTable.create(fx.questions(spark, d), shared_folder(spark, "questions"))
+
+
+@query
+def store_reconcile(spark, d):
+    table = _stored(spark, d)
+    table.apply(importer.reconciled(table.read(), fx.checked(spark, d)))
+    return table.read()
+
+
+@query
+def store_append(spark, d):
+    table = _stored(spark, d)
+    table.apply(importer.appended(table.read(), importer.rows_of(fx.sheet(spark, d))))
+    return table.read()
+
+
+@query
+def store_update(spark, d):
+    table = _stored(spark, d)
+    table.apply(questions.update_one(table.lookup(ONE), ONE, "  new \n\n text ", " "))
+    return table.read()
+
+
+@query
+def store_delete(spark, d):
+    table = _stored(spark, d)
+    table.apply(gone=fx.selection(spark, d))
+    return table.read()
+
+
 @query
 def document_upload(spark, d):
     return documents.upload(fx.documents(spark, d), fx.files(spark, d))
@@ -338,14 +371,31 @@ def document_embedded(spark, d):
 @query
 def chat_answered(spark, d):
     conversations = fx.messages(spark, d).select("conv_id").distinct()
-    pending = chat.append(fx.messages(spark, d), conversations.select("conv_id", F.lit("hello").alias("sent"), F.lit(None).cast("string").alias("reply")))
-    replies = conversations.filter("conv_id % 3 <> 0").select("conv_id", F.when(F.col("conv_id") % 3 == 1, F.lit("yes")).alias("reply"))
-    return chat.answered(pending, replies).select("conv_id", F.size("messages").cast("bigint").alias("n"), chat.as_text().alias("turns"))
+    sent = conversations.select("conv_id", F.lit(1000).cast("bigint").alias("turn"), F.lit("hello").alias("sent"))
+    replies = conversations.filter("conv_id % 3 <> 0").select("conv_id", F.lit(1000).cast("bigint").alias("turn"), F.lit(1).alias("at"), F.when(F.col("conv_id") % 3 == 1, F.lit("yes")).alias("reply"))
+    rows = chat.append(fx.messages(spark, d), chat.answer(sent, replies))
+    return rows.select("conv_id", F.size("messages").cast("bigint").alias("n"), chat.as_text().alias("turns"))
+
+
+@query
+def chat_turns(spark, d):
+    rows = chat.append(fx.messages(spark, d), chat.answer(fx.sends(spark, d), fx.replies(spark, d)))
+    return rows.select("conv_id", F.size("messages").cast("bigint").alias("n"), chat.as_text().alias("turns"))
+
+
+@query
+def merge_nulls(spark, d):
+    k = F.col("p_partkey")
+    target = F.struct("p_size", F.when(k % 2 != 0, F.struct("p_name", "p_brand")).alias("o")).alias("t")
+    source = F.when(k % 5 != 0, F.struct(F.when(k % 3 != 0, F.struct(F.col("p_type").alias("p_brand"), "p_retailprice")).alias("o"))).alias("s")
+    part = fx.table(spark, d, "part").select("p_partkey", target, source)
+    merged = part.select("p_partkey", utilities.merge_structs(F.col("t"), part.schema["t"].dataType, F.col("s"), part.schema["s"].dataType).alias("m"))
+    return merged.select("p_partkey", "m.p_size", F.col("m.o").isNull().alias("none"), "m.o.p_name", "m.o.p_brand", "m.o.p_retailprice")
 
 
 @query
 def shuffle_rows(spark, d):
-    return utilities.shuffle_rows(fx.table(spark, d, "nation").select("n_nationkey", "n_name"), 42)
+    return utilities.shuffle_rows(fx.table(spark, d, "customer").select("c_custkey", "c_name"), 42, "c_custkey")
 
 
 @query
@@ -440,9 +490,25 @@ _SENT = f"""sent AS (
   SELECT id + 1000000000, CASE id % 4 WHEN 0 THEN {_OTHER} || ' again and again' WHEN 1 THEN regexp_replace({_OTHER}, ' [^ ]*$', '') WHEN 3 THEN upper({_OTHER}) END, answer FROM q)"""
 
 
+def _shuffled(rows: str, columns: str, seed: int) -> str:
+    """The same network as `utilities.permuted`, a step of the walk for each level of the recursion."""
+    mix = lambda x, r: f"(SELECT xor(y, y >> 15) * 668265263 % {utilities.PRIME} FROM (SELECT ({x} + {r * 7919 + seed}) % {utilities.PRIME} * 1103515245 % {utilities.PRIME} AS y))"
+    step = "SELECT i, n, rows, cols, x // cols AS high, x % cols AS low FROM t"
+    for r in range(1, utilities.ROUNDS + 1):
+        step = f"SELECT i, n, rows, cols, high, (low + {mix('high', r)}) % cols AS low FROM ({step})"
+        step = f"SELECT i, n, rows, cols, (high + {mix('low', r + utilities.ROUNDS)}) % rows AS high, low FROM ({step})"
+    step = f"SELECT i, n, rows, cols, high * cols + low AS x FROM ({step})"
+    return f"""WITH RECURSIVE own AS ({rows}),
+        size AS (SELECT count(*) AS n, (floor(sqrt(count(*) - 1)) + 1)::BIGINT AS rows FROM own),
+        begin_ AS (SELECT i, n, rows, (n + rows - 1) // rows AS cols, i AS x FROM own, size),
+        walk AS ({step.replace("FROM t", "FROM begin_")} UNION ALL {step.replace("FROM t", "FROM (FROM walk WHERE x >= n)")})
+        SELECT {columns}, x AS place FROM own JOIN walk USING (i) WHERE x < n"""
+
+
 def oracle_sql() -> dict[str, str]:
     sql = _sql()
-    return sql | {"import_check_indexed": sql["import_check"]}
+    stored = {"store_reconcile": "reconcile_apply", "store_append": "bulk_append", "store_update": "question_update", "store_delete": "delete_many"}
+    return sql | {"import_check_indexed": sql["import_check"]} | {k: sql[v] for k, v in stored.items()}
 
 
 def _sql() -> dict[str, str]:
@@ -570,5 +636,18 @@ def _sql() -> dict[str, str]:
         "document_delete": w(_DOCS) + "SELECT id, title, description, file_type, file_path, created_at, is_embed FROM docs WHERE id <> 10",
         "document_embedded": w(_DOCS) + "SELECT id, is_embed OR id % 4 = 0 AS is_embed FROM docs",
         "chat_answered": w(_MSG) + f"SELECT conv_id, count(*) + 2 AS n, string_agg(role || ': ' || text, chr(10) ORDER BY turn) || chr(10) || 'user: hello' || chr(10) || 'assistant: ' || CASE conv_id % 3 WHEN 0 THEN {_literal(chat.PENDING)} WHEN 1 THEN 'yes' ELSE {_literal(chat.NO_ANSWER)} END AS turns FROM msg GROUP BY conv_id",
+        "chat_turns": w(
+            _MSG,
+            "c AS (SELECT DISTINCT conv_id FROM msg)",
+            "b AS (SELECT *, CASE WHEN conv_id % 7 = 0 THEN NULL WHEN conv_id % 4 = 1 THEN 'to the first' WHEN conv_id % 2 = 0 THEN 'better' ELSE '' END AS r1, CASE WHEN conv_id % 3 = 0 THEN '' ELSE 'to the second' END AS r2 FROM c)",
+            f"a AS (SELECT conv_id, coalesce(CASE WHEN r1 = '' THEN {_literal(chat.NO_ANSWER)} ELSE r1 END, {_literal(chat.PENDING)}) AS r1, CASE WHEN r2 = '' THEN {_literal(chat.NO_ANSWER)} ELSE r2 END AS r2 FROM b)",
+            "h AS (SELECT conv_id, count(*) AS n, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS turns FROM msg GROUP BY conv_id)",
+        )
+        + "SELECT conv_id, n + CASE WHEN conv_id % 5 = 0 THEN 2 ELSE 4 END AS n, turns || chr(10) || 'user: first' || chr(10) || 'assistant: ' || r1 || CASE WHEN conv_id % 5 = 0 THEN '' ELSE chr(10) || 'user: second' || chr(10) || 'assistant: ' || r2 END AS turns FROM h JOIN a USING (conv_id)",
+        "merge_nulls": """WITH x AS (SELECT *, CASE WHEN p_partkey % 5 = 0 THEN p_partkey % 2 = 0 ELSE p_partkey % 3 = 0 END AS none FROM part)
+               SELECT p_partkey, p_size, none, CASE WHEN NOT none AND p_partkey % 2 <> 0 THEN p_name END AS p_name,
+                      CASE WHEN none THEN NULL WHEN p_partkey % 5 = 0 THEN p_brand ELSE p_type END AS p_brand,
+                      CASE WHEN NOT none AND p_partkey % 5 <> 0 THEN p_retailprice END AS p_retailprice FROM x""",
+        "shuffle_rows": _shuffled("SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_custkey) - 1 AS i FROM customer", "c_custkey, c_name", 42),
         "xlsx_roundtrip": w(_Q) + "SELECT row_number() OVER (ORDER BY id) AS stt, coalesce(question, '') AS question, coalesce(answer, '') AS answer FROM q WHERE NOT has_answer",
     }

@@ -92,3 +92,19 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.lit("storage/documents/"), F.col("p_partkey").cast("string"), kind)
     created = F.lit("2024-06-01 00:00:00").cast("timestamp_ntz")
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("number"), path.alias("path"), F.col("p_name").alias("title"), F.col("p_type").alias("description"), created.alias("created_at"))
+
+
+def sends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two questions under way in each conversation, and a blank one in some."""
+    conversations = messages(spark, sf_dir).select("conv_id").distinct()
+    each = F.array(*(F.struct(F.lit(t).cast("bigint").alias("turn"), s.alias("sent")) for t, s in ((1001, F.lit(" first\n\n")), (1002, F.when(F.col("conv_id") % 5 == 0, F.lit(" \n")).otherwise(F.lit("second"))))))
+    return conversations.select("conv_id", F.inline(each))
+
+
+def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies to them: to the second first, to the first twice in some, empty or missing in some, one to a turn that was not sent."""
+    conversations = messages(spark, sf_dir).select("conv_id").distinct()
+    c = F.col("conv_id")
+    rows = ((1002, 1, F.when(c % 3 == 0, F.lit("")).otherwise(F.lit("to the second"))), (1001, 2, F.lit("to the first")), (1001, 3, F.when(c % 2 == 0, F.lit("better"))), (1003, 4, F.lit("to none")))
+    each = F.array(*(F.struct(F.lit(t).cast("bigint").alias("turn"), F.lit(at).alias("at"), r.alias("reply")) for t, at, r in rows))
+    return conversations.select("conv_id", F.inline(each)).filter("NOT (turn = 1001 AND conv_id % 7 = 0) AND NOT (at = 3 AND conv_id % 4 = 1)")

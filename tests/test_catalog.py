@@ -6,6 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 from lorebase.plans import catalog
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -30,9 +31,15 @@ def test_same_as_sql(spark, duck, name):
     assert rows(got, sorted(got.columns)) == rows(want, sorted(got.columns))
 
 
-def test_shuffled_rows_are_all_there(spark):
-    rows = [tuple(r) for r in catalog.queries()["shuffle_rows"](spark, SF).collect()]
-    assert rows != sorted(rows) and sorted(rows) == sorted(tuple(r) for r in spark.read.parquet(f"{SF}/nation.parquet").select("n_nationkey", "n_name").collect())
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 5, 10, 17, 300, 2000])
+def test_shuffle_is_a_permutation(spark, n):
+    from lorebase.operators import utilities
+
+    rows = spark.range(n).select((F.col("id") * 3 + 1).alias("k"))
+    orders = [{r.k: r.place for r in utilities.shuffle_rows(rows.repartition(p), seed, "k").collect()} for p, seed in ((1, 7), (4, 7), (2, 8))]
+    assert all(sorted(o.values()) == list(range(n)) for o in orders)
+    assert orders[0] == orders[1] and (n < 10 or orders[0] != orders[2])
+    assert n < 300 or sum(abs(o - (k - 1) // 3) for k, o in orders[0].items()) > n * n / 5
 
 
 def test_object_ids(spark):
