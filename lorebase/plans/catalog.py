@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import TRIMMED, clean_text, compact, initial, number, usd
 from ..operators import chat, documents, importer, navigation, questions, similar, utilities
+from ..operators.grams import GramIndex
 from ..sources import xlsx
 from ..sources.ranges import RangeTable
 from ..sources.shared import shared_folder
@@ -44,6 +43,12 @@ def question_search(spark, d):
     return questions.search(fx.questions(spark, d), NEEDLE)
 
 
+@query
+def question_search_indexed(spark, d):
+    table = RangeTable.create(fx.questions(spark, d), shared_folder(spark, "questions"), 5000)
+    return GramIndex.create(table, shared_folder(spark, "grams")).search(NEEDLE)
+
+
 @query
 def question_tab_answered(spark, d):
     return questions.tab(fx.questions(spark, d), "answered")
@@ -404,14 +409,9 @@ def object_ids(spark, d):
 
 
 def _exported(spark: SparkSession, d: str) -> str:
-    """A folder of exported workbooks, under the shared one; a temporary one only in local mode."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        shared = tempfile.mkdtemp(prefix="lorebase-")
-    folder = f"{shared}/xlsx-{uuid.uuid4().hex}"
-    xlsx.write_sheets(export_unanswered(spark, d), folder.removeprefix("file://").removeprefix("file:"))
+    """A folder of exported workbooks, under the shared one."""
+    folder = shared_folder(spark, "xlsx")
+    xlsx.write_sheets(export_unanswered(spark, d), folder)
     return folder
 
 
@@ -507,7 +507,7 @@ def _shuffled(rows: str, columns: str, seed: int) -> str:
 
 def oracle_sql() -> dict[str, str]:
     sql = _sql()
-    stored = {"store_reconcile": "reconcile_apply", "store_append": "bulk_append", "store_update": "question_update", "store_delete": "delete_many"}
+    stored = {"question_search_indexed": "question_search", "store_reconcile": "reconcile_apply", "store_append": "bulk_append", "store_update": "question_update", "store_delete": "delete_many"}
     return sql | {"import_check_indexed": sql["import_check"]} | {k: sql[v] for k, v in stored.items()}
 
 

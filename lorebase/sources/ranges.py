@@ -43,6 +43,10 @@ class RangeTable:
     def read(self) -> DataFrame:
         return self._rows().drop(RANGE)
 
+    def in_ranges(self, numbers: list[int]) -> DataFrame:
+        """The rows of some ranges; others are not read."""
+        return self._rows().filter(F.col(RANGE).isin(numbers)).drop(RANGE)
+
     def lookup(self, id_: int) -> DataFrame:
         """The row of an id; other ranges are not read."""
         return self._rows().filter((F.col(RANGE) == id_ // self.width) & (F.col("id") == id_)).drop(RANGE)

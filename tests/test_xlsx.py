@@ -32,3 +32,37 @@ def test_write_and_read(spark, tmp_path, parts):
     got = xlsx.read_sheets(spark, str(tmp_path / "out")).filter("row_idx > 0").collect()
     assert sorted(tuple(r.cells) for r in got) == [(str(i), f"t{i}") for i in range(10)]
     assert xlsx.file_sizes(spark, str(tmp_path / "out")).count() == parts
+
+
+def test_new_workbook_when_one_is_full(spark, tmp_path):
+    df = spark.range(1000).selectExpr("id", "if(id % 3 = 0, NULL, concat('ä\u2028', id)) AS t", "id / 7 AS x").repartition(2)
+    xlsx.write_sheets(df, str(tmp_path / "out"), most=101)
+    files = list((tmp_path / "out").glob("*.xlsx"))
+    assert len(files) == 10 and all(zipfile.ZipFile(f).testzip() is None for f in files)
+    rows = xlsx.read_sheets(spark, str(tmp_path / "out"))
+    assert rows.groupBy("file").count().selectExpr("max(count)").first()[0] == 101
+    got = sorted((int(r.cells[0]), r.cells[1], float(r.cells[2])) for r in rows.filter("row_idx > 0").collect())
+    assert got == [(i, f"ä\u2028{i}" if i % 3 else None, i / 7) for i in range(1000)]
+
+
+def test_failed_write_leaves_nothing(spark, tmp_path):
+    df = spark.range(100, numPartitions=4).selectExpr("if(id = 99, raise_error('broken'), id) AS id")
+    with pytest.raises(Exception, match="broken"):
+        xlsx.write_sheets(df, str(tmp_path / "out"))
+    assert not (tmp_path / "out").exists()
+
+
+def test_empty_table_is_a_header(spark, tmp_path):
+    xlsx.write_sheets(spark.createDataFrame([], "id int, t string").coalesce(1), str(tmp_path / "out"))
+    assert [(r.row_idx, r.cells) for r in xlsx.read_sheets(spark, str(tmp_path / "out")).collect()] == [(0, ["id", "t"])]
+
+
+def test_rows_are_read_as_a_stream():
+    """A sheet of many rows is parsed in memory that doesn't grow with them."""
+    import tracemalloc
+
+    content = xlsx.build_workbook([i, f"text number {i}"] for i in range(100_000))
+    tracemalloc.start()
+    assert sum(1 for _ in xlsx.parse_workbook(content)) == 100_000
+    assert tracemalloc.get_traced_memory()[1] < 20_000_000
+    tracemalloc.stop()
