@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import clean_text
-from ..sources.shared import scratch
+from ..sources.shared import drop, scratch
 
 SPACE = r"[\x20\x09-\x0D]+"
 #: Postings of a word beyond which they are split over several keys; an import's rows of that word go to all of them.
@@ -91,6 +91,7 @@ class PrefixIndex:
         out._put("words", counts.join(parts, "word", "left").select("word", "n", F.coalesce("parts", F.lit(1)).alias("parts")))
         split = out._prefixes(ranked).drop("parts").join(parts, "word", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
         out._append(texts, distinct, split, 0)
+        drop(texts, ranked)
         return out
 
     @classmethod
@@ -115,6 +116,7 @@ class PrefixIndex:
         known = self.table("texts").select("digest")
         new = scratch(texts.groupBy("digest").agg(F.first("words").alias("words")).join(known, "digest", "left_anti"), "new")
         self._append(texts, new, self._prefixes(self._ranked(new, self.table("words"))), batch)
+        drop(texts, new)
 
     def _append(self, texts: DataFrame, new: DataFrame, prefixes: DataFrame, batch: int) -> None:
         part = F.pmod(F.hash("digest"), F.col("parts"))
@@ -205,12 +207,13 @@ class PrefixIndex:
         ids = self.live().groupBy("digest").agg(F.min("existing_id").alias("existing_id"))
         found = [scratch(texts.select("digest").join(ids, "digest").withColumn("score", F.lit(100.0)), "exact")]
         left = texts.join(found[0].select("digest"), "digest", "left_anti")
-        left = scratch(self._ranked(left, self.table("words")), "asked")
+        left = asked = scratch(self._ranked(left, self.table("words")), "asked")
         for level in [x for x in LEVELS if x > threshold] + [threshold]:
             named = self.matches(left, level).join(ids, "digest")
             top = named.groupBy("own").agg(F.max(F.struct("score", (-F.col("existing_id")).alias("id"))).alias("best"))
             found.append(scratch(top.select(F.col("own").alias("digest"), (-F.col("best.id")).alias("existing_id"), F.col("best.score").alias("score")), "found"))
             left = left.join(found[-1].select("digest"), "digest", "left_anti")
+        drop(asked)
         return reduce(DataFrame.unionByName, found)
 
     def similar(self, texts: DataFrame) -> DataFrame:
