@@ -163,7 +163,7 @@ def keep_good(docs: DataFrame, model: QualityModel, threshold: float = 0.3) -> D
     matter, and null text counts as empty. An empty table gives an empty one.
     """
     ship(docs.sparkSession)
-    columns = docs.columns
+    columns = [F.col(f"`{c}`") for c in docs.columns]
     judge: list = []
 
     @F.pandas_udf("double")
