@@ -84,14 +84,13 @@ def test_labels_of_the_held_out_fold_do_not_matter(spark):
     assert quality.fit(docs, labels) == quality.fit(docs, turned)
 
 
-class Fixed:
-    """A model whose score is 1 for texts with an x."""
-
-    def scorer(self):
-        return lambda text: float("x" in (text or ""))
+def test_keep_good_takes_any_column_names(spark):
+    class Fixed:
+        """A model whose score is 1 for texts with an x."""
 
+        def scorer(self):
+            return lambda text: float("x" in (text or ""))
 
-def test_keep_good_takes_any_column_names(spark):
     docs = spark.createDataFrame([(1, "ax", 7), (2, None, 8), (None, "x", 9)], "doc_id bigint, text string, `a.b` int")
     kept = quality.keep_good(docs, Fixed())
     assert kept.columns == docs.columns and sorted(r["a.b"] for r in kept.collect()) == [7, 9]
