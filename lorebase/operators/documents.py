@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import fixed1, without_first
 
+# The labels of the flag.
+EMBEDDED, NOT_EMBEDDED = "Đã xử lý dữ liệu", "Chưa xử lý dữ liệu"
+
 
 def cards(documents: DataFrame) -> DataFrame:
     """What a card shows: type and time of upload, and whether the document has been embedded."""
     caption = F.concat(F.coalesce(F.upper("file_type"), F.lit("")), F.lit(" - "), F.date_format("created_at", "dd/MM/yyyy HH:mm:ss"))
-    status = F.when(F.coalesce("is_embed", F.lit(False)), "Đã xử lý dữ liệu").otherwise("Chưa xử lý dữ liệu")
+    status = F.when(F.coalesce("is_embed", F.lit(False)), EMBEDDED).otherwise(NOT_EMBEDDED)
     return documents.select("id", "title", "description", caption.alias("caption"), status.alias("status"))
 
 

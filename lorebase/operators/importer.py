@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.text import clean_text, fixed2, trim
 from ..sources.shared import scratch, shared_folder
 from .similar import SPACE, PrefixIndex, distinct_words, match_key, set_digest
+# Fixed value: the heading of a row without a question.
+NO_QUESTION = "[Chưa nhập câu hỏi]"
+
 
 def rows_of(sheet: DataFrame) -> DataFrame:
     """Questions of sheet rows (row_idx, cells): the header dropped, and rows without a question and an answer.
@@ -106,6 +109,11 @@ def inline_edit(rows: DataFrame, at: int, answer: str) -> DataFrame:
     return rows.withColumn("answer", F.when(here, F.lit(answer)).otherwise(F.col("answer"))).withColumn("has_answer", flag)
 
 
+def headings(rows: DataFrame) -> DataFrame:
+    """What the list of new rows shows for each: its question, or a placeholder where that is null or empty."""
+    return rows.select("row_idx", F.coalesce(F.nullif("question", F.lit("")), F.lit(NO_QUESTION)).alias("heading"))
+
+
 def remove_at(rows: DataFrame, at: int) -> DataFrame:
     return rows.filter(F.col("row_idx") != at)
 

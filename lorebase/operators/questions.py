@@ -7,6 +7,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.rows import with_ordinal
 from ..functions.text import clean_text, contains_ignoring_case, leading_int
 
+# The labels of the flag.
+ANSWERED, UNANSWERED = "Đã trả lời", "Chưa trả lời"
+
 
 def matches_search(needle: str) -> Column:
     return contains_ignoring_case(F.col("question"), needle) | contains_ignoring_case(F.col("answer"), needle)
@@ -53,7 +56,7 @@ def lookup(questions: DataFrame, id_: int) -> DataFrame:
 def display(questions: DataFrame) -> DataFrame:
     """The answer, or a dash for none, and the label of the flag."""
     shown = F.coalesce(F.nullif("answer", F.lit("")), F.lit("-"))
-    status = F.when(in_tab("answered"), "Đã trả lời").otherwise("Chưa trả lời")
+    status = F.when(in_tab("answered"), ANSWERED).otherwise(UNANSWERED)
     return questions.select("id", "question", shown.alias("answer"), status.alias("status"))
 
 
@@ -95,6 +98,11 @@ def delete_one(questions: DataFrame, id_: int) -> DataFrame:
     return questions.filter(F.col("id") != id_)
 
 
+def deselect(selection: DataFrame, id_: int) -> DataFrame:
+    """The selection after a row has been deleted."""
+    return selection.filter(F.col("id") != id_)
+
+
 def delete_many(questions: DataFrame, selection: DataFrame) -> DataFrame:
     """Without the selected rows; an empty selection deletes nothing."""
     return questions.join(selection, "id", "left_anti")

@@ -181,6 +181,16 @@ def inline_edit(spark, d):
     return importer.inline_edit(importer.rows_of(fx.sheet(spark, d)), ONE, "  ")
 
 
+@query
+def import_headings(spark, d):
+    return importer.headings(importer.rows_of(fx.sheet(spark, d)))
+
+
+@query
+def selection_after_delete(spark, d):
+    return questions.deselect(fx.selection(spark, d), 700)
+
+
 @query
 def remove_row(spark, d):
     return importer.remove_at(importer.rows_of(fx.sheet(spark, d)), ONE)
@@ -556,6 +566,8 @@ def _sql() -> dict[str, str]:
              CASE WHEN score >= 90 THEN 'success' WHEN score >= 70 THEN 'warning' ELSE 'default' END AS band FROM checked""",
         "import_save_new": w(_Q, _SHEET, _ROWS) + f"SELECT row_idx, {_clean('question')} AS question, {_clean('answer')} AS answer, has_answer FROM rows_",
         "inline_edit": w(_Q, _SHEET, _ROWS) + f"SELECT row_idx, question, CASE WHEN row_idx = {ONE} THEN '  ' ELSE answer END AS answer, CASE WHEN row_idx = {ONE} THEN false ELSE has_answer END AS has_answer FROM rows_",
+        "import_headings": w(_Q, _SHEET, _ROWS) + f"SELECT row_idx, CASE WHEN question = '' THEN {_literal(importer.NO_QUESTION)} ELSE question END AS heading FROM rows_",
+        "selection_after_delete": w(_Q, _SEL) + "SELECT id FROM sel WHERE id <> 700",
         "remove_row": w(_Q, _SHEET, _ROWS) + f"SELECT * FROM rows_ WHERE row_idx <> {ONE}",
         "reconcile_overwrite": w(_Q, _CHECKED) + f"SELECT existing_id AS id, {_PAYLOAD} FROM checked WHERE action = 'overwrite'",
         "reconcile_create": w(_Q, _CHECKED) + f"SELECT {_PAYLOAD} FROM checked WHERE action = 'create_new'",
