@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.text import clean_text, fixed2, trim
 from ..sources.shared import scratch, shared_folder
 from .similar import SPACE, PrefixIndex, distinct_words, match_key, set_digest
+
 # Fixed value: the heading of a row without a question.
 NO_QUESTION = "[Chưa nhập câu hỏi]"
 
