@@ -69,6 +69,12 @@ def question_list_page(spark, d):
     return questions.page(questions.filtered(fx.questions(spark, d), NEEDLE, "answered"), 1, 10)
 
 
+@query
+def question_deep_page(spark, d):
+    table = RangeTable.create(fx.questions(spark, d), shared_folder(spark, "questions"), 1000)
+    return table.pages(questions.matches_search(NEEDLE) & questions.in_tab("answered")).page(7, 25)
+
+
 @query
 def question_filtered_count(spark, d):
     return questions.filtered_count(questions.filtered(fx.questions(spark, d), NEEDLE, "answered"))
@@ -531,6 +537,7 @@ def _sql() -> dict[str, str]:
         "question_tab_unanswered": w(_Q) + "SELECT * FROM q WHERE NOT has_answer",
         "question_list_filtered": w(_Q) + f"SELECT * FROM q WHERE {_SEARCH} AND has_answer",
         "question_list_page": w(_Q) + f"SELECT *, row_number() OVER (ORDER BY id) + 10 AS stt FROM (SELECT * FROM q WHERE {_SEARCH} AND has_answer ORDER BY id LIMIT 10 OFFSET 10)",
+        "question_deep_page": w(_Q) + f"SELECT *, row_number() OVER (ORDER BY id) + 175 AS stt FROM (SELECT * FROM q WHERE {_SEARCH} AND has_answer ORDER BY id LIMIT 25 OFFSET 175)",
         "question_filtered_count": w(_Q) + f"SELECT count(*) AS n FROM q WHERE {_SEARCH} AND has_answer",
         "point_lookup": w(_Q) + f"SELECT id, question, coalesce(answer, '') AS answer, has_answer FROM q WHERE id = {ONE}",
         "question_display": w(_Q) + "SELECT id, question, coalesce(nullif(answer, ''), '-') AS answer, CASE WHEN has_answer THEN 'Đã trả lời' ELSE 'Chưa trả lời' END AS status FROM q",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
 RANGE = "id_range"
@@ -51,6 +51,12 @@ class RangeTable:
         """The row of an id; other ranges are not read."""
         return self._rows().filter((F.col(RANGE) == id_ // self.width) & (F.col("id") == id_)).drop(RANGE)
 
+    def pages(self, matching: Column | None = None) -> Pages:
+        """The list of the rows that match, in the order of id, for reading its pages."""
+        matching = F.lit(True) if matching is None else matching
+        counts = self._rows().filter(matching).groupBy(RANGE).agg(F.count(F.lit(1)).alias("n")).collect()
+        return Pages(self, matching, sorted((r[RANGE], r.n) for r in counts))
+
     def _write(self, rows: DataFrame, mode: str) -> None:
         writer = rows.repartition(RANGE).sortWithinPartitions(RANGE, "id").write.mode(mode).option("partitionOverwriteMode", "dynamic")
         writer.partitionBy(RANGE).parquet(self.folder)
@@ -77,3 +83,31 @@ class RangeTable:
         for number in emptied:  # a range without rows is not among what was written
             path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{RANGE}={number}")
             path.getFileSystem(conf).delete(path, True)
+
+
+@dataclass
+class Pages:
+    """How many rows of each range match, a number for each range of the table, counted once for all pages.
+
+    A page, however deep, reads the ranges that it lies in and no other, and gathers its own rows only behind the
+    places of those ranges. Counts hold for the table as it was when they were made.
+    """
+
+    table: RangeTable
+    matching: Column
+    counts: list[tuple[int, int]]
+
+    def total(self) -> int:
+        return sum(n for _, n in self.counts)
+
+    def page(self, number: int, size: int) -> DataFrame:
+        """Rows of a 0-based page with their place `stt`, from 1, in the whole list; empty past the end."""
+        first, before, picked, begin = number * size, 0, [], 0
+        for range_, n in self.counts:
+            if before < first + size and before + n > first:
+                begin = begin if picked else before
+                picked.append(range_)
+            before += n
+        rows = self.table.in_ranges(picked).filter(self.matching).orderBy("id").offset(first - begin if picked else 0).limit(size)
+        # the window is over the rows of one page only
+        return rows.withColumn("stt", (F.row_number().over(Window.orderBy("id")) + first).cast("bigint"))

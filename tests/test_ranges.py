@@ -54,3 +54,18 @@ def test_failed_write_changes_nothing(spark, table):
     assert files(table.folder) == before and rows(table) == want
     table.apply(bad.filter("id < 59"))
     assert rows(table) == sorted({i: f"text {i}" if not 20 <= i < 59 else "x" for i in range(100)}.items())
+
+
+@pytest.mark.parametrize("size", [1, 7, 25, 1000])
+def test_pages(table, size):
+    pages = table.pages(F.col("id") % 3 != 1)
+    want = [(i, k + 1) for k, i in enumerate(i for i in range(100) if i % 3 != 1)]
+    assert pages.total() == len(want)
+    for number in {0, 1, len(want) // size // 2, (len(want) - 1) // size, len(want) // size + 1}:
+        assert sorted((r.id, r.stt) for r in pages.page(number, size).collect()) == want[number * size : (number + 1) * size]
+
+
+def test_a_deep_page_reads_its_ranges_only(table):
+    plan = table.pages().page(8, 10)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(id_range" in plan and "= 8)" in plan
+    assert sorted(r.stt for r in table.pages().page(8, 10).collect()) == list(range(81, 91))
