@@ -1,8 +1,8 @@
 """Mixing domains to target weights with soft membership. DataFrame functions only.
 
-A naive Bayes classifier, trained on a labelled table, gives each document a posterior over domains. Newton's
-method on the dual then fits a nonnegative rate for each document, so that the expected tokens of each domain,
-counted at these rates, match the targets in the least-squares sense while rates stay near one.
+A naive Bayes classifier, trained on a labelled table, gives each document a posterior over domains. Projected
+gradient steps then fit a nonnegative rate for each document, so that the expected tokens of each domain, counted at
+these rates, match the targets in the least-squares sense while rates stay near one.
 """
 
 from __future__ import annotations
@@ -107,12 +107,20 @@ def memberships(docs: DataFrame, model: DomainModel) -> DataFrame:
 
 
 def rate(p: Column, steps: list[list[float]], pull: float, pace: float) -> Column:
-    """The rate of a document after the given gradient steps, each a number for each domain, from rate 1."""
+    """The rate of a document after the given gradient steps, from rate 1.
+
+    A step is a number for each domain and, last, the momentum with which it leaves from the two rates before it.
+    """
     if not steps:
         return F.lit(1.0)
     moved = F.array(*(F.array(*map(F.lit, s)) for s in steps))
-    dot = lambda s: in_expectation(F.zip_with(p, s, lambda a, b: a * b))
-    return F.aggregate(moved, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - F.lit(pace) * (dot(s) + F.lit(pull) * (r - 1.0))))
+
+    def step(at: Column, s: Column) -> Column:
+        dot = F.aggregate(F.zip_with(p, s, lambda a, b: F.coalesce(a, F.lit(0.0)) * b), F.lit(0.0), lambda a, x: a + x)  # p is a place shorter than s
+        begin = at["now"] + F.element_at(s, -1) * (at["now"] - at["before"])
+        return let(begin, lambda y: F.struct(F.greatest(F.lit(0.0), y - F.lit(pace) * (dot + F.lit(pull) * (y - 1.0))).alias("now"), at["now"].alias("before")))
+
+    return F.aggregate(moved, F.struct(F.lit(1.0).alias("now"), F.lit(1.0).alias("before")), step, lambda at: at["now"])
 
 
 @dataclass
@@ -134,59 +142,46 @@ class Mixture:
         return rate(p, self.steps, self.pull, self.pace)
 
 
-def fit_rates(members: DataFrame, domains: list[str], targets: Mapping[str, float], pull: float = 1e-3, rounds: int = 40, close: float = 1e-3) -> Mixture:
-    """Rates r >= 0 that minimise sum_d (sum_i r_i t_i p_id - T_d)^2 / (2 T_d) + pull / 2 sum_i t_i (r_i - 1)^2.
+def fit_rates(members: DataFrame, domains: list[str], targets: Mapping[str, float], pull: float = 1e-5, rounds: int = 40, close: float = 1e-3) -> Mixture:
+    """Rates r >= 0 that minimise sum_d w_d / 2 (sum_i r_i t_i p_id - T_d)^2 + pull / 2 sum_i t_i (r_i - 1)^2.
 
     t_i are tokens, p_id posteriors; targets are relative weights of the domains (a domain without one keeps its
-    natural share), T_d their share of all tokens. The rates are max(0, 1 - p_i . v) with a number v_d for each
-    domain, found by Newton's method on the concave dual. A round is one aggregation of the members to a few numbers
-    for each pair of domains; the driver keeps only v. Then the pull gives way by the method of multipliers, until
-    every domain is within `close` of its target or, where targets can't be reached, the misses no longer shrink.
+    natural share), T_d their share of all tokens. w_d scales a domain's step: 1 / sum_i t_i p_id^2, where that is not
+    below a fiftieth of T_d, so that rare domains rise as fast as frequent ones. Steps of the projected gradient, with
+    momentum that starts again when the fit gets worse, are taken until every domain is within `close` of its target,
+    the totals settle or `rounds` are over. A round is one aggregation of the members to a number for each domain; the
+    driver keeps only these, from which each row computes its own rate. Targets that are missed are warned of.
     """
     d = len(domains)
     t, p = F.col("n_tokens"), [F.col("p")[i] for i in range(d)]
     some = lambda x: F.coalesce(F.sum(x), F.lit(0.0))
-    total = np.array(members.agg(*(some(t * x) for x in p)).first(), dtype=float)
+    sums = np.array(members.agg(*(some(t * x) for x in p), *(some(t * x * y) for x in p for y in p)).first(), dtype=float)
+    total, gram = sums[:d], sums[d:].reshape(d, d)
     all_tokens = total.sum()
     if not all_tokens:
         return Mixture(domains, [], pull, 1.0, [0.0] * d, [0.0] * d)
     share = np.array([max(0.0, targets.get(name, total[i] / all_tokens)) for i, name in enumerate(domains)])
     wanted = (share / share.sum() if share.sum() else total / all_tokens) * all_tokens
     scale = np.maximum(wanted, 1e-9 * all_tokens)
-
-    def at(v: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """At v: half the sum of t r^2, the domains' tokens, and the sums of t p p' over rows of positive rates."""
-        rows = members.select("n_tokens", "p", rate(F.col("p"), [v.tolist()], pull, 1.0).alias("r"))
-        live = F.when(F.col("r") > 0, t)
-        found = np.array(rows.agg(some(t * F.col("r") * F.col("r") / 2), *(some(t * F.col("r") * x) for x in p), *(some(live * x * y) for x in p for y in p)).first(), dtype=float)
-        return found[0], found[1 : d + 1], found[d + 1 :].reshape(d, d)
-
-    weight, v, used = pull * scale, np.zeros(d), 0
-    half, now, gram = at(v)
-    missed = lambda x: np.abs(x - wanted).max(initial=0.0, where=np.abs(x - wanted) > close * scale) and (np.abs(x - wanted) / scale).max()
-    center, last = v, np.inf
-    while used < rounds and (miss := missed(now)) and miss < 0.9 * last:
-        last = miss
-        while used < rounds:
-            slope = now - wanted - weight * (v - center)
-            if (np.abs(slope) <= 0.1 * close * scale).all():
-                break
-            move = np.linalg.solve(gram + np.diag(weight), slope)
-            height = half + wanted @ v + weight @ (v - center) ** 2 / 2
-            pace = 1.0
-            while used < rounds:
-                tried = v + pace * move
-                half_, now_, gram_ = at(tried)
-                used += 1
-                if half_ + wanted @ tried + weight @ (tried - center) ** 2 / 2 <= height - 1e-4 * pace * (slope @ move) + 1e-12 * abs(height):
-                    v, half, now, gram = tried, half_, now_, gram_
-                    break
-                pace /= 2
-            else:
-                break
-        center = v
-    fit = Mixture(domains, [v.tolist()] if v.any() else [], pull, 1.0, now.tolist(), wanted.tolist())
-    if missed(now):
+    weight = 1 / np.maximum(np.diag(gram), scale / 50)
+    pace = float(1 / (np.linalg.eigvalsh(np.sqrt(np.outer(weight, weight)) * gram)[-1] + pull))
+    steps: list[list[float]] = []
+    before = now = total
+    age, momentum = 1.0, 0.0
+    while len(steps) < rounds and (np.abs(now - wanted) > close * scale).any():
+        start = now + momentum * (now - before)  # totals are linear in the rates
+        steps.append([*(weight * (start - wanted)).tolist(), momentum])
+        row = members.select("n_tokens", "p", rate(F.col("p"), steps, pull, pace).alias("r")).agg(*(some(t * F.col("r") * x) for x in p)).first()
+        before, now = now, np.array(row, dtype=float)
+        if np.abs(now - before).max() <= 1e-7 * all_tokens:
+            break
+        if weight @ (now - wanted) ** 2 > weight @ (before - wanted) ** 2:
+            age, momentum = 1.0, 0.0
+        else:
+            older, age = age, (1 + np.sqrt(1 + 4 * age * age)) / 2
+            momentum = float((older - 1) / age)
+    fit = Mixture(domains, steps, pull, pace, now.tolist(), wanted.tolist())
+    if (np.abs(now - wanted) > close * scale).any():
         warnings.warn(f"targets of the mixture not met; tokens beside the target, as a part of it: {fit.missed()}", stacklevel=2)
     return fit
 

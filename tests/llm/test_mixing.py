@@ -35,13 +35,15 @@ def test_rates_against_numpy(spark):
     fit = mixing.fit_rates(members, list("abc"), targets)
     wanted = np.array([0.6, 0.3, 0.1]) * tokens.sum()
     # projected gradient steps with numpy
-    rate = np.ones(400)
-    for s in fit.steps:
-        rate = np.maximum(0, rate - fit.pace * (p @ s + fit.pull * (rate - 1)))
+    rate = before = np.ones(400)
+    for *s, momentum in fit.steps:
+        start = rate + momentum * (rate - before)
+        rate, before = np.maximum(0, start - fit.pace * (p @ s + fit.pull * (start - 1))), rate
     got = np.array([x.r for x in members.orderBy("doc_id").select(fit.rate(F.col("p")).alias("r")).collect()])
     assert np.allclose(got, rate) and (got >= 0).all()
     assert np.allclose(fit.expected, (rate * tokens) @ p) and np.allclose(fit.targets, wanted)
     assert np.abs(np.array(fit.expected) - wanted).max() <= 0.02 * wanted.max()
+    assert (np.abs(np.array(fit.expected) - wanted) <= 1e-3 * wanted).all() and len(fit.steps) <= 20
 
 
 def test_query_meets_targets(spark):
@@ -94,6 +96,18 @@ def test_targets_out_of_reach_are_reported(spark):
     assert fit.missed()["a"] < -0.1 and fit.missed()["b"] > 0.1
 
 
+def test_steps_follow_the_gradient(spark):
+    """The first step is the least-squares gradient by its definition, and rates never leave the nonnegative ones."""
+    r = np.random.default_rng(3)
+    p, tokens = r.dirichlet([0.2] * 4, 300), r.integers(1, 500, 300)
+    members = spark.createDataFrame([(i, int(t), x.tolist()) for i, (t, x) in enumerate(zip(tokens, p, strict=True))], "doc_id bigint, n_tokens bigint, p array<double>")
+    fit = mixing.fit_rates(members, list("abcd"), {"a": 0.0, "b": 1.0, "c": 1.0, "d": 1.0})
+    wanted = np.array([0, 1, 1, 1]) / 3 * tokens.sum()
+    assert np.allclose(np.array(fit.steps[0][:4]) * (tokens @ p**2), tokens @ p - wanted) and fit.steps[0][4] == 0
+    got = np.array([x.r for x in members.select(fit.rate(F.col("p")).alias("r")).collect()])
+    assert (got >= 0).all() and (got == 0).any()
+
+
 def test_smallest_rate_of_zero_counts_as_a_tenth(spark):
     docs = spark.createDataFrame([(i, f"{'rot gelb' if i % 2 else 'red yellow'}", "de" if i % 2 else "en") for i in range(40)], "doc_id bigint, text string, domain string")
     _, members, fit, low = mixing.fit_mixture(docs, docs, {"de": 1.0, "en": 0.0}, 100)
