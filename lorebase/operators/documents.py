@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import fixed1, without_first
 
@@ -57,6 +57,23 @@ def accepted(files: DataFrame, kind: str = ".pdf") -> DataFrame:
     return files.filter(F.endswith("path", F.lit(kind)))
 
 
+def checked_files(spark: SparkSession, path: str, kind: str = ".pdf", signature: bytes = b"%PDF-", most: int = 64 << 20) -> DataFrame:
+    """The files below a path, with what decides on it: path, length, reason, sha256.
+
+    Names and lengths come from the listing; contents are read only of files of the kind, in lower case, that are not
+    longer than `most` bytes, one file at a time. `reason` says what speaks against a file: "kind", "length" (longer,
+    or shorter than the signature) or "content" (it begins otherwise); it is null for an accepted one. sha256, the
+    digest of the content, is null where no content was read. An empty file has no row, as Spark's readers pass over it.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    of_kind, fits = F.endswith("path", F.lit(kind)), F.col("length").between(len(signature), most)
+    unread = F.when(~of_kind, "kind").otherwise("length").alias("reason")
+    listed = files.load(path).filter(~of_kind | ~fits).select("path", "length", unread, F.lit(None).cast("string").alias("sha256"))
+    begin = F.substring("content", 1, len(signature)) == F.lit(signature)
+    read = files.option("pathGlobFilter", f"*{kind}").load(path).filter(fits)
+    return listed.unionByName(read.select("path", "length", F.when(~begin, "content").alias("reason"), F.sha2("content", 256).alias("sha256")))
+
+
 def upload(documents: DataFrame, files: DataFrame) -> DataFrame:
     """The table with a row for each accepted file (number, path, title, description, created_at), not yet embedded.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import TRIMMED, clean_text, compact, initial, number, usd
-from ..operators import chat, documents, importer, navigation, questions, similar, utilities
+from ..operators import chat, documents, importer, navigation, questions, selection, similar, utilities, variants
 from ..operators.grams import GramIndex
 from ..sources import xlsx
 from ..sources.ranges import RangeTable
@@ -443,6 +443,51 @@ def file_size_kb(spark, d):
     return documents.size_label(xlsx.file_sizes(spark, _exported(spark, d))).select("size_kb")
 
 
+@query
+def select_rows_bits(spark, d):
+    return selection.chosen(fx.questions(spark, d), selection.of(fx.selection(spark, d)))
+
+
+@query
+def delete_many_bits(spark, d):
+    return selection.others(fx.questions(spark, d), selection.of(fx.selection(spark, d)))
+
+
+@query
+def toggle_selection_bits(spark, d):
+    other = fx.questions(spark, d).filter("id % 5 = 0").select("id")
+    return selection.ids(selection.toggled(selection.of(fx.selection(spark, d)), selection.of(other)))
+
+
+@query
+def selection_state_bits(spark, d):
+    return selection.state(questions.tab(fx.questions(spark, d), "answered"), selection.of(fx.selection(spark, d)))
+
+
+@query
+def upload_check(spark, d):
+    folder = shared_folder(spark, "files")
+    fx.write_files(spark, d, folder)
+    number = F.regexp_extract("path", r"/number=(\d+)/", 1).cast("bigint").alias("number")
+    return documents.checked_files(spark, folder, most=1000).select(number, "length", F.coalesce("reason", F.lit("")).alias("reason"), F.coalesce("sha256", F.lit("")).alias("sha256"))
+
+
+@query
+def merge_variants(spark, d):
+    merged = variants.merge(F.col("target"), F.col("first"), F.col("second"))
+    return fx.patches(spark, d).select("event_id", F.to_json(merged).alias("merged"))
+
+
+@query
+def equal_variants(spark, d):
+    """Properties against the same with another number form, a key more, a text for the number, or themselves."""
+    k = F.get_json_object("props", "$.k")
+    kind = F.col("event_id") % 4
+    other = F.when(kind == 0, F.concat(F.lit('{"k": '), k, F.lit(".0}"))).when(kind == 1, F.concat(F.lit('{"z": null, "k": '), k, F.lit("}")))
+    other = other.when(kind == 2, F.concat(F.lit('{"k": "'), k, F.lit('"}'))).otherwise(F.col("props"))
+    return fx.patches(spark, d).select("event_id", variants.equal(F.col("target"), F.parse_json(other)).alias("same"))
+
+
 # --- SQL -----------------------------------------------------------------------------------------------------------
 
 _Q = """q AS (
@@ -524,6 +569,7 @@ def _shuffled(rows: str, columns: str, seed: int) -> str:
 def oracle_sql() -> dict[str, str]:
     sql = _sql()
     stored = {"question_search_indexed": "question_search", "store_reconcile": "reconcile_apply", "store_append": "bulk_append", "store_update": "question_update", "store_delete": "delete_many"}
+    stored |= {"select_rows_bits": "selected_rows", "delete_many_bits": "delete_many", "toggle_selection_bits": "toggle_selection", "selection_state_bits": "selection_state"}
     return sql | {"import_check_indexed": sql["import_check"]} | {k: sql[v] for k, v in stored.items()}
 
 
@@ -608,6 +654,15 @@ def _sql() -> dict[str, str]:
                '$' || CASE WHEN u < 9.95 THEN regexp_replace(format('{{:.1f}}', round(u, 1)), '\.0$', '') ELSE format('{{:d}}', round(u)::BIGINT) END
                || CASE WHEN o_totalprice < 1000 THEN '' WHEN o_totalprice < 1e6 THEN 'K' WHEN o_totalprice < 1e9 THEN 'M' ELSE 'B' END END AS price
                FROM (SELECT *, {_UNIT} AS u FROM orders)""",
+        "upload_check": """WITH f AS (SELECT s_suppkey AS number, s_suppkey % 4 AS kind, CASE s_suppkey % 4 WHEN 1 THEN '<html> ' ELSE '%PDF-1.7 ' END
+               || CASE s_suppkey % 4 WHEN 3 THEN repeat(s_name, 100) ELSE s_name END || chr(10) AS line FROM supplier)
+               SELECT number, strlen(line) AS length, CASE kind WHEN 0 THEN '' WHEN 1 THEN 'content' WHEN 2 THEN 'kind' ELSE 'length' END AS reason,
+               CASE WHEN kind < 2 THEN sha256(line) ELSE '' END AS sha256 FROM f""",
+        "merge_variants": """WITH e AS (SELECT event_id, event_type, event_id % 4 AS kind, event_id % 3 = 0 AS more, json_extract(props, '$.k')::VARCHAR AS k FROM events)
+               SELECT event_id, '{"k":' || CASE kind WHEN 0 THEN '{"deep":{"id":' || event_id || ',"n":1.5}}' WHEN 1 THEN 'null' ELSE k END
+               || CASE WHEN kind = 1 AND NOT more THEN ',"o":[1,{"a":2}]' WHEN kind = 3 THEN ',"o":{"kind":"' || event_type || '"' || CASE WHEN more THEN ',"more":{"x":true}' ELSE '' END || '}'
+                  WHEN more THEN ',"o":{"more":{"x":true}}' ELSE '' END || '}' AS merged FROM e""",
+        "equal_variants": "SELECT event_id, event_id % 4 IN (0, 3) AS same FROM events",
         "merge_props": "SELECT event_id, event_type AS kind, CASE WHEN json_exists(props, '$.kind') THEN 0 ELSE 1 END::BIGINT AS added FROM events",
         "equal_rows": w(_Q) + f"SELECT id, question IS NOT DISTINCT FROM {_clean('question')} AS same FROM q",
         "currency_ties": r"""WITH x AS (SELECT o_orderkey, (o_orderkey * 100 + 4) // 8 AS cents, (o_orderkey * 1000 + 8) // 16 AS mills FROM orders),

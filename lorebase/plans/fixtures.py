@@ -108,3 +108,22 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ((1002, 1, F.when(c % 3 == 0, F.lit("")).otherwise(F.lit("to the second"))), (1001, 2, F.lit("to the first")), (1001, 3, F.when(c % 2 == 0, F.lit("better"))), (1003, 4, F.lit("to none")))
     each = F.array(*(F.struct(F.lit(t).cast("bigint").alias("turn"), F.lit(at).alias("at"), r.alias("reply")) for t, at, r in rows))
     return conversations.select("conv_id", F.inline(each)).filter("NOT (turn = 1001 AND conv_id % 7 = 0) AND NOT (at = 3 AND conv_id % 4 = 1)")
+
+
+def write_files(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """A file for each supplier below the path: of the kind and content of a PDF, or of another content, name or length."""
+    kind = F.col("s_suppkey") % 4
+    lines = F.concat(F.when(kind == 1, "<html> ").otherwise("%PDF-1.7 "), F.when(kind == 3, F.repeat("s_name", F.lit(100))).otherwise(F.col("s_name")))
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("number"), lines.alias("line"))
+    rows.filter("number % 4 <> 2").write.option("extension", "pdf").partitionBy("number").csv(f"{path}/a")
+    rows.filter("number % 4 = 2").write.partitionBy("number").text(f"{path}/b")
+
+
+def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events' properties, and two values to merge into them, whose shapes differ by row."""
+    kind = F.col("event_id") % 4
+    deep = F.concat(F.lit('{"k": {"deep": {"n": 1.50, "id": '), F.col("event_id").cast("string"), F.lit("}}}"))
+    named = F.concat(F.lit('{"o": {"kind": "'), F.col("event_type"), F.lit('"}}'))
+    first = F.when(kind == 0, deep).when(kind == 1, '{"k": null, "o": [1, {"a": 2}]}').when(kind == 2, '"text"').otherwise(named)
+    second = F.when(F.col("event_id") % 3 == 0, '{"o": {"more": {"x": true}}}')
+    return table(spark, sf_dir, "events").select("event_id", "props", F.parse_json("props").alias("target"), F.parse_json(first).alias("first"), F.parse_json(second).alias("second"))
