@@ -4,37 +4,37 @@ One fingerprint of 64 bits seldom lies within two bits of that of a text that sh
 each text has several shorter fingerprints of its set of shingles. In each, all variants within one bit are emitted;
 texts that meet in a variant are compared by all their bits, and then exactly by their shingles.
 
-Texts that share long passages with many others meet too many in this way. Pairs of two such crowded texts are left to
-another way: at a similarity of t, two texts share one of the rarest of their shingles, of which each has a share
-of 1 - t and one more. What is common to many texts ranks last there, so it brings none together that differ elsewhere.
+The texts of a variant's bucket are compared as arrays of bits, and what passes is told as a forest, not as pairs. Its
+trees are groups of texts that may be linked. Their sets of shingles are compared exactly, a group at a time, by products of
+incidence matrices, large groups in pairs of parts. So a group of n copies gives links in proportion to n, and none is lost.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
 from itertools import repeat
-from math import acos, ceil, comb, log, log2, pi, sqrt
+from math import acos, ceil, comb, log, pi, sqrt
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh3_128_digest, xxh64_intdigest
 
-from .common import discard, map_rows, settle
+from .common import discard, map_rows, settle, ship
+from .components import components
 from .keeping import row_key
 
 SIZE, SIMILARITY, RECALL, SEED = 5, 0.8, 0.9, 42
 
-#: A node that meets others more often than this is crowded; its pairs with crowded nodes are found by rare shingles.
-CROWD = 256
+#: The most members of a bucket that are compared at once; larger buckets are compared in pairs of parts.
+BLOCK = 1024
 
-#: The most members of a bucket that the others are compared with in one round; rounds go on until all were.
-LEADERS = 64
+#: About how many sets, and how many shingles, one side of an exact comparison holds; larger groups are compared in pairs of parts.
+SETS, SHINGLES = 128, 2_000_000
 
-#: A member leaves its bucket once it has so many links there. One would do in a group of copies, but where only some
-#: pairs are similar, a member that leaves early may be the only link of another.
-ENOUGH = 32
-
-#: Counters of shingles by their lowest bits. Counts that several share make the order less apt, never wrong.
-SLOTS = 2**18
+#: Columns of the incidence matrices that sets are compared by, at a time.
+COLUMNS = 4096
 KEY = "key struct<last: boolean, doc_id: bigint, md5: string>"
 
 
@@ -97,30 +97,6 @@ def variants(fp: Column, bits: int) -> Column:
     return F.concat(F.array(fp), flipped)
 
 
-def led(members: DataFrame, most: int) -> DataFrame:
-    """Members (at, node, n, pos, inner, had) of buckets with lead and lows; each bucket is ordered by n, then node.
-
-    The first `most` inner members of a bucket lead it, as lead tells. lows are the leaders (n, pos, node) before a
-    member, itself included. Members that no inner one comes before are left out.
-    """
-    w = Window.partitionBy("at").orderBy("n", "node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    members = members.select("at", "node", "n", "pos", "inner", "had")
-    ranked = members.withColumn("rank", F.count(F.when(F.col("inner"), 1)).over(w)).filter("rank > 0")
-    marked = ranked.withColumn("lead", F.col("inner") & (F.col("rank") <= most)).drop("rank")
-    return marked.withColumn("lows", F.collect_list(F.when(F.col("lead"), F.struct("n", "pos", "node"))).over(w))
-
-
-def likely(pairs: DataFrame, nodes: DataFrame, tables: int, bits: int, similarity: float) -> DataFrame:
-    """The pairs (node, low) that can reach the similarity by their sizes, and by all bits but for four deviations."""
-    p, every = differing(similarity), tables * bits
-    most = every * p + 4 * sqrt(every * p * (1 - p))
-    mine, other = (nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("fps").alias(f"fps_{c}")) for c in ("node", "low"))
-    both = pairs.join(mine, "node").join(other, "low")
-    apart = F.aggregate(F.zip_with("fps_node", "fps_low", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, b: a + b)
-    alike = F.least("n_node", "n_low") >= similarity * F.greatest("n_node", "n_low")
-    return both.filter(alike & (apart <= most)).select("node", "low")
-
-
 def fetched(ids: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """A settled table (node, h) of the shingles of the nodes `ids`."""
     wanted = settle(nodes.join(ids, "node").select("node", F.col("low").alias("key")), "wanted")
@@ -137,113 +113,221 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(mine, "node").join(other, "low").filter(shared >= similarity * (F.size("h_node") + F.size("h_low") - shared)).select("node", "low")
 
 
-def met(members: DataFrame) -> DataFrame:
-    """A settled table (at, node, size) of the members of buckets of two or more."""
-    size = F.count(F.lit(1)).over(Window.partitionBy("at"))
-    return settle(members.select("at", "node", size.alias("size")).filter("size > 1"), "buckets")
-
-
-def beside(buckets: DataFrame, crowded: DataFrame) -> DataFrame:
-    """The pairs (node, low), low < node, that meet in a bucket (at, node, size) and are not both in `crowded` (node).
+def in_parts(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Rows (keys, i, j, part, columns) of a table with `parts`: each node lies in one of its key's parts, by its number.
 
-    A node that is not crowded meets at most CROWD others, so its buckets are small, and so is the number of its pairs.
+    It comes once for each pair of parts i <= j that holds its own, so all pairs of nodes meet, in no more than two parts at once.
     """
-    small = buckets.filter(F.col("size") <= CROWD + 1)
-    full = crowded.select("node", F.lit(True).alias("full"))
-    marked = small.join(full, "node", "left").select("at", F.col("node").alias("other"), F.coalesce("full", F.lit(False)).alias("full"))
-    each = small.join(crowded, "node", "left_anti").select("at", "node").join(marked, "at").filter("other < node OR (full AND other <> node)")
-    return each.select(F.greatest("node", "other").alias("node"), F.least("node", "other").alias("low")).distinct()
-
-
-def commonness(sets: DataFrame) -> np.ndarray:
-    """How common the shingles of sets (node, h) are: for each slot, eight times the binary logarithm of its count."""
-
-    def work(h: list) -> tuple[list, ...]:
-        found = np.concatenate([np.asarray(x, np.int64) for x in h]) & (SLOTS - 1) if h else np.empty(0, np.int64)
-        slots, counts = np.unique(found, return_counts=True)
-        return slots.tolist(), counts.tolist()
+    part, other = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    dealt = rows.select(*keys, part.alias("part"), other.alias("other"), *columns)
+    return dealt.select(*keys, F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", *columns)
 
-    counted = map_rows(sets.select("h"), "slot int, n bigint", lambda: work).groupBy("slot").agg(F.sum("n").alias("n"))
-    rank = np.zeros(SLOTS, np.uint16)
-    for slot, n in counted.collect():  # at most SLOTS rows of two numbers
-        rank[slot] = 8 * log2(1 + n)
-    return rank
 
+def met(nodes: DataFrame, bits: int) -> DataFrame:
+    """A settled table of the members (at, parts, node, n, fps) of buckets of two nodes or more; a bucket is a variant of a table.
 
-def rarest(h: np.ndarray, rank: np.ndarray, similarity: float) -> tuple[np.ndarray, int]:
-    """The rarest of a set's shingles, as many as it takes to share one with any set of the similarity.
-
-    The number that comes with them is how many of these it takes to share one with any set that is no smaller.
+    Equal fingerprints emit their variants once, so that a variant is shuffled for at most bits + 1 fingerprints, however
+    many nodes have them.
     """
-    shared = similarity * len(h), 2 * similarity / (1 + similarity) * len(h)
-    outer, inner = (len(h) - ceil(x - 1e-9) + 1 for x in shared)
-    return h[np.lexsort((h, rank[h & (SLOTS - 1)]))[:outer]], inner
-
-
-def rare_members(sets: DataFrame, similarity: float) -> DataFrame:
-    """(at, node, n, pos, inner) of the sets (node, h): a node is in a bucket for each of its rarest shingles.
-
-    n is the size of its set, and pos the number of its shingles that are rarer. Two sets of the similarity meet at the rarest shingle that they share, and the smaller
-    one is inner there.
+    members = nodes.filter("n > 0").select("node", "n", "fps", F.posexplode("fps").alias("t", "fp"))
+    cells = members.groupBy("t", "fp").agg(F.count(F.lit(1)).alias("many"))
+    at = F.call_function("shiftleft", F.col("t").cast("bigint"), F.lit(48)).bitwiseOR(F.col("variant"))
+    emitted = cells.select("t", "fp", "many", F.explode(variants(F.col("fp"), bits)).alias("variant")).select(at.alias("at"), "t", "fp", "many")
+    buckets = emitted.groupBy("at", "t").agg(F.sum("many").alias("size"), F.collect_list("fp").alias("cell")).filter("size > 1")
+    buckets = buckets.select("at", "t", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts"), F.explode("cell").alias("fp"))
+    return settle(buckets.join(members, ["t", "fp"]).select("at", "parts", "node", "n", "fps"), "buckets")
+
+
+@lru_cache(64)
+def upper(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of numbers under n, the smaller one first."""
+    return np.triu_indices(n, 1)
+
+
+class Forest:
+    """Trees of the links that are added; a link within a tree is counted with one of the tree's own."""
+
+    def __init__(self) -> None:
+        self.above: dict[int, int] = {}
+        self.last: dict[int, int] = {}
+        self.links: list[list[int]] = []
+
+    def top(self, x: int) -> int:
+        at = self.above.setdefault(x, x)
+        while at != self.above[at]:
+            self.above[at] = at = self.above[self.above[at]]
+        self.above[x] = at
+        return at
+
+    def add(self, a: int, b: int) -> None:
+        x, y = self.top(a), self.top(b)
+        if x == y:
+            self.links[self.last[x]][2] += 1
+            return
+        self.above[max(x, y)] = min(x, y)
+        self.last[min(x, y)] = len(self.links)
+        self.links.append([max(a, b), min(a, b), 1])
+
+    def taken(self) -> list[list[int]]:
+        """The links (node, low, number) so far; then it is empty."""
+        out = self.links
+        self.__init__()
+        return out
+
+
+def likely(at: np.ndarray, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, most: float, similarity: float) -> np.ndarray:
+    """Which pairs can reach the similarity, by their sizes and by all bits of the fingerprints a and b, and are told here.
+
+    A pair meets in several buckets. It is told in that of the first table where it lies within two bits, at the lowest
+    variant of those halfway between its fingerprints.
     """
-    rank = commonness(sets)
-
-    def work(nodes: list, h: list) -> tuple[list, ...]:
-        found = [rarest(np.asarray(x, np.int64), rank, similarity) for x in h]
-        many = [len(x) for x, _ in found]
-        at, pos = np.concatenate([x for x, _ in found]), np.concatenate([np.arange(k) for k in many])
-        inner = pos < np.repeat([k for _, k in found], many)
-        return at.tolist(), np.repeat(nodes, many).tolist(), np.repeat([len(x) for x in h], many).tolist(), pos.tolist(), inner.tolist()
-
-    return map_rows(sets.select("node", "h").filter(F.size("h") > 0), "at bigint, node bigint, n int, pos int, inner boolean", lambda: work)
+    apart = np.bitwise_count(a ^ b)
+    fits = (apart.sum(axis=1, dtype=np.int64) <= most) & (np.minimum(n_a, n_b) >= similarity * np.maximum(n_a, n_b))
+    t, variant = at >> 48, at & ((1 << 48) - 1)
+    x, y = a[np.arange(len(a)), t], b[np.arange(len(b)), t]
+    one = (x ^ y) & -(x ^ y)
+    halfway = np.where(np.bitwise_count(x ^ y) == 2, np.minimum(x ^ one, y ^ one), np.minimum(x, y))
+    return fits & ((apart <= 2).argmax(axis=1) == t) & (variant == halfway)
 
 
-def exhausted(members: DataFrame, nodes: DataFrame, sets: DataFrame, tables: int, bits: int, similarity: float) -> list[DataFrame]:
-    """Settled tables of links (node, low) between members (at, node, n, pos, inner) of a bucket that sets (node, h) link.
+def meeting(buckets: DataFrame, tables: int, bits: int, similarity: float, forest: bool) -> DataFrame:
+    """The likely pairs (node, low, number) of buckets, each once; with `forest` only as many as connect what they do.
 
-    In each bucket the members are compared with the inner ones that lead it: the smallest set, and in later rounds
-    four times as many, up to LEADERS. Members without ENOUGH links to leaders form a smaller bucket without the
-    leaders, until no inner members are left. So a group of copies is not expanded into its pairs. The link between a
-    member that has left and one that links none of its leaders may be lost.
+    number is then how many pairs the row stands for. A task holds one pair of parts of a bucket, and compares its fingerprints as arrays.
     """
-    share = similarity / (1 + similarity)  # of both sizes; so many shingles are left to share where two similar sets first meet
-    most, found, buckets = 1, [], settle(led(members.withColumn("had", F.lit(0).cast("bigint")), 1), "buckets")
-    while not buckets.isEmpty():
-        met = buckets.select("at", "node", "n", "pos", F.explode("lows").alias("by")).filter("by.node <> node")
-        met = met.filter(F.least(F.col("n") - F.col("pos"), F.col("by.n") - F.col("by.pos")) >= share * (F.col("n") + F.col("by.n")) - 1e-9)
-        met = met.select("at", F.col("node").alias("member"), F.greatest("node", "by.node").alias("node"), F.least("node", "by.node").alias("low"))
-        near = settle(likely(met.select("node", "low").distinct(), nodes, tables, bits, similarity), "near")
-        rest = buckets.filter("NOT lead")
-        if not near.isEmpty():
-            found.append(settle(verified(near, sets, similarity), "links"))
-            linked = met.join(found[-1], ["node", "low"], "left_semi").groupBy("at", F.col("member").alias("node")).agg(F.count(F.lit(1)).alias("more"))
-            rest = rest.join(linked, ["at", "node"], "left").withColumn("had", F.col("had") + F.coalesce("more", F.lit(0))).filter(F.col("had") < ENOUGH)
-        discard(near)
-        most = min(4 * most, LEADERS)
-        buckets, before = settle(led(rest, most), "buckets"), buckets
-        discard(before)
-    discard(buckets)
-    return found
+    p, every = differing(similarity), tables * bits
+    most = every * p + 4 * sqrt(every * p * (1 - p))
+    rows = in_parts(buckets, ["at"], ["node", "n", "fps"]).groupBy("at", "i", "j").agg(F.collect_list(F.struct("part", "node", "n", "fps")).alias("m"))
+    rows = rows.filter("size(m) > 1").select("at", F.expr("i < j").alias("between"), *(F.col(f"m.{c}").alias(c) for c in ("part", "node", "n")), F.flatten("m.fps").alias("fps"))
+    schema = "node bigint, low bigint, number bigint"
+    ship(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = Forest()
+
+        def out(links: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in range(3)], names=["node", "low", "number"])
+
+        for batch in batches:
+            at, between = batch.column("at").to_numpy(), batch.column("between").to_pylist()
+            begin = batch.column("node").offsets.to_numpy()
+            part, node, n, fps = (batch.column(c).values.to_numpy() for c in ("part", "node", "n", "fps"))
+            fps = fps[tables * begin[0] :].reshape(-1, tables)
+            pairs, held = [], 0
+            for k in range(len(at)):
+                lo, hi = begin[k], begin[k + 1]
+                first, second = upper(int(hi - lo))
+                if between[k]:  # of a bucket's parts, all pairs within one or all between two
+                    apart = part[lo + first] != part[lo + second]
+                    first, second = first[apart], second[apart]
+                pairs.append((np.full(len(first), at[k]), lo + first, lo + second))
+                held += len(first)
+                if held < 100_000 and k + 1 < len(at):
+                    continue
+                where, x, y = (np.concatenate(c) for c in zip(*pairs, strict=True))
+                pairs, held = [], 0
+                for s in range(0, len(x), 200_000):
+                    w, u, v = (c[s : s + 200_000] for c in (where, x, y))
+                    hit = likely(w, fps[u - begin[0]], fps[v - begin[0]], n[u], n[v], most, similarity)
+                    found = zip(node[u[hit]].tolist(), node[v[hit]].tolist(), strict=True)
+                    if forest:
+                        for a, b in found:
+                            trees.add(a, b)
+                    else:
+                        yield out([(max(e), min(e), 1) for e in found])
+            if len(trees.above) > 200_000:
+                yield out(trees.taken())
+        yield out(trees.taken())
+
+    return rows.mapInArrow(run, schema)
+
+
+def shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many values each of the sets `left` has in common with each of `right`; both are of distinct values."""
+    out = np.zeros((len(left), len(right)), np.float32)  # whole numbers, exact below 2 ** 24
+    flat = [np.concatenate(s) for s in (left, right)]
+    common = np.intersect1d(*flat)
+    held = []
+    for sets, values in zip((left, right), flat, strict=True):
+        row, column = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.searchsorted(common, values)
+        there = column < len(common)
+        there[there] = common[column[there]] == values[there]
+        row, column = row[there], column[there]
+        order = np.argsort(column, kind="stable")
+        held.append((row[order], column[order]))
+    for at in range(0, len(common), COLUMNS):
+        sides = []
+        for sets, (row, column) in zip((left, right), held, strict=True):
+            lo, hi = np.searchsorted(column, (at, at + COLUMNS))
+            m = np.zeros((len(sets), min(COLUMNS, len(common) - at)), np.float32)
+            m[row[lo:hi], column[lo:hi] - at] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out.astype(np.int64)
+
+
+def alike(groups: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (node, low) that connect all nodes of a group (node, root, parts) whose sets (node, h) have the similarity.
+
+    A task holds two parts of a group at most, and gives a forest of their links, so that copies are not expanded into pairs.
+    """
+    ship(sets.sparkSession)
+    rows = in_parts(groups.join(sets, "node"), ["root"], ["node", "h"])
+    none = pa.table({"node": pa.array([], pa.int64()), "low": pa.array([], pa.int64())})
+
+    def run(table: pa.Table) -> pa.Table:
+        part, node = table["part"].to_numpy(), table["node"].to_numpy()
+        h = [np.asarray(x, np.int64) for x in table["h"].to_numpy()]
+        here = table["i"][0].as_py(), table["j"][0].as_py()
+        left, right = (np.flatnonzero(part == k) for k in here)
+        if not len(left) or not len(right) or len(node) < 2:
+            return none
+        both = shared([h[k] for k in left], [h[k] for k in right])
+        sizes = [np.array([len(h[k]) for k in side]) for side in (left, right)]
+        linked = both >= similarity * (sizes[0][:, None] + sizes[1][None, :] - both)
+        if here[0] == here[1]:
+            linked = np.triu(linked, 1)
+        trees = Forest()
+        for a, b in zip(*np.nonzero(linked), strict=True):
+            trees.add(int(node[left[a]]), int(node[right[b]]))
+        found = trees.taken()
+        return pa.table({"node": pa.array([x[0] for x in found], pa.int64()), "low": pa.array([x[1] for x in found], pa.int64())})
+
+    return rows.groupBy("root", "i", "j").applyInArrow(run, "node bigint, low bigint")
+
+
+def grouped(near: DataFrame, nodes: DataFrame) -> DataFrame:
+    """A settled table (node, root, parts, dense) of the nodes that likely pairs (node, low, number) connect.
+
+    A group is dense if comparing its sets part by part sends no more of them than sending both sets of each likely pair.
+    """
+    named = settle(components(near.select(F.col("node").alias("a"), F.col("low").alias("b"))), "groups")
+    pairs = near.join(named, "node").groupBy("root").agg(F.sum("number").alias("pairs"))
+    sized = named.join(nodes.select("node", "n"), "node").groupBy("root").agg(F.count(F.lit(1)).alias("many"), F.sum("n").alias("held"))
+    parts = F.ceil(F.greatest(F.col("many") / SETS, F.col("held") / SHINGLES)).cast("int")
+    sized = sized.join(pairs, "root").select("root", parts.alias("parts"), (parts * F.col("many") <= 2 * F.col("pairs")).alias("dense"))
+    out = settle(named.join(sized, "root"), "grouped")
+    discard(named)
+    return out
 
 
 def resembling(nodes: DataFrame, docs: DataFrame, tables: int, bits: int, size: int = SIZE, similarity: float = SIMILARITY) -> list[DataFrame]:
     """Settled tables of links (node, low) between nodes (node, low: a row's key, n, fps) of different sets.
 
-    Nodes that share a variant meet. Each node's pairs are compared, but for those of two crowded nodes, which are
-    searched by rare shingles. So these pairs grow in number with the nodes, whatever passages they share.
+    Nodes that share a variant meet, and pairs that all their bits make likely form groups. Sets are compared exactly,
+    group by group; in groups of more parts than their likely pairs are worth, pair by pair. Links between nodes
+    that others connect are left out.
     """
-    members = nodes.filter("n > 0").select("node", F.posexplode("fps").alias("t", "fp"))
-    at = F.call_function("shiftleft", F.col("t").cast("bigint"), F.lit(48)).bitwiseOR(F.col("variant"))
-    buckets = met(members.select("node", "t", F.explode(variants(F.col("fp"), bits)).alias("variant")).select(at.alias("at"), "node"))
-    crowded = settle(buckets.groupBy("node").agg(F.sum(F.col("size") - 1).alias("others")).filter(F.col("others") > CROWD).select("node"), "crowded")
-    near = settle(likely(beside(buckets, crowded), nodes, tables, bits, similarity), "near")
-    discard(buckets)
-    ids = near.select("node").union(near.select(F.col("low").alias("node"))).union(crowded).distinct()
-    sets = fetched(ids, nodes, docs, size)
-    found = [settle(verified(near, sets, similarity), "links")]
-    if not crowded.isEmpty():
-        crowd = sets.join(crowded, "node", "left_semi")
-        found += exhausted(rare_members(crowd, similarity), nodes, sets, tables, bits, similarity)
-    for used in (near, crowded, sets):
+    buckets = met(nodes, bits)
+    near = settle(meeting(buckets, tables, bits, similarity, True), "near")
+    groups = grouped(near, nodes)
+    sets = fetched(groups.select("node"), nodes, docs, size)
+    found = [settle(alike(groups.filter("dense"), sets, similarity), "links")]
+    thin = groups.filter("NOT dense").select("node")
+    if not thin.isEmpty():
+        pairs = settle(meeting(buckets.join(thin, "node", "left_semi"), tables, bits, similarity, False).select("node", "low"), "thin")
+        found.append(settle(verified(pairs, sets, similarity), "links"))
+        discard(pairs)
+    for used in (buckets, near, groups, sets):
         discard(used)
     return found

@@ -94,8 +94,8 @@ def keep_one(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY)
 
     Texts are linked if the sets of their word shingles of `size` words (one shingle if there are fewer) have a
     Jaccard similarity of `similarity` or more; a group is what links reach. No other texts are linked. A pair at the
-    threshold itself is found with the probability `resemblance.RECALL`, closer ones more surely, equal sets always. Of
-    two crowded texts, which meet very many others, some links may be lost (see `resemblance.exhausted`).
+    threshold itself is found with the probability `resemblance.RECALL`, closer ones more surely, equal sets always. No
+    bucket or group is capped; very long texts are compared whole, by all their shingles.
 
     Of a group the row of smallest doc_id stays, a null one last; of several rows of that doc_id the one whose text's
     MD5 comes first, and of repeated rows one. Rows are judged by themselves, so a doc_id with rows in several

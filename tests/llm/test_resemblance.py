@@ -70,42 +70,55 @@ def test_group_of_many_near_copies(spark):
     assert set(want) <= set(got) and len(got) - len(want) <= 0.1 * (len(rows) - len(want))
 
 
-def test_leaders(spark):
-    """The first inner members by size lead; those before any inner member are left out."""
-    rows = [(1, n, 10 + n // 2, n, n % 3 == 1, 0) for n in range(8)] + [(2, 4, 9, 0, False, 0)]
-    members = spark.createDataFrame(rows, "at bigint, node bigint, n int, pos int, inner boolean, had bigint")
-    got = {r.node: (r.at, r.lead, [x.node for x in r.lows]) for r in resemblance.led(members, 2).collect()}
-    assert got == {1: (1, True, [1]), 2: (1, False, [1]), 3: (1, False, [1])} | {4: (1, True, [1, 4])} | {n: (1, False, [1, 4]) for n in (5, 6, 7)}
-    assert resemblance.led(members.filter("at = 2"), 2).isEmpty()
-
-
-def test_rarest_shingles_meet(spark):
-    """Sets of the similarity meet at the rarest shingle they share, where the smaller one is inner; any order will do."""
-    rng, rank = np.random.default_rng(9), np.random.default_rng(10).integers(0, 9, resemblance.SLOTS)
-    found = 0
-    for _ in range(2_000):
-        n = int(rng.integers(1, 60))
-        a = np.unique(rng.integers(-(2**62), 2**62, n))
-        b = np.unique(np.concatenate([a[: int(rng.integers(0.6 * n, n + 1))], rng.integers(-(2**62), 2**62, int(rng.integers(0, 12)))]))
-        if len(np.intersect1d(a, b)) < 0.8 * len(np.union1d(a, b)):
-            continue
-        small, large = sorted((a, b), key=len)
-        (x, inner), (y, _) = (resemblance.rarest(s, rank, 0.8) for s in (small, large))
-        i, first = next((i, v) for i, v in enumerate(x) if v in large)
-        j = y.tolist().index(first)
-        assert i < inner and min(len(small) - i, len(large) - j) >= 0.8 / 1.8 * (len(a) + len(b)) - 1e-9
-        found += 1
-    assert found > 300
-
-
-def test_crowded_texts(spark, monkeypatch):
-    """With every text that meets another crowded, rare shingles alone find nine tenths of what brute force does."""
-    monkeypatch.setattr(resemblance, "CROWD", 0)
-    rng = random.Random(7)
+def clustered(rng):
+    """A base text's edited copies, of which some are near copies, and texts that share a passage with it."""
     base = [f"b{i}" for i in range(150)]
-    rows = [(i, " ".join(edited(base, 1 + i % 3, rng))) for i in range(40)]
-    rows += [(100 + i, " ".join(base[: 100 + i % 30] + [f"o{rng.randrange(10**9)}" for _ in range(40)])) for i in range(60)]
-    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
-    got = sorted((r.doc_id, r.text) for r in simhash.keep_one(frame).collect())
+    rows = [(i, " ".join(edited(base, 1 + i % 5, rng))) for i in range(60)]
+    return rows + [(100 + i, " ".join(base[: 100 + i % 30] + [f"o{rng.randrange(10**9)}" for _ in range(40)])) for i in range(60)]
+
+
+@pytest.mark.parametrize("small", [{}, {"BLOCK": 8, "SETS": 16, "COLUMNS": 64}, {"BLOCK": 8, "SETS": 1}])
+def test_parts(spark, monkeypatch, small):
+    """Whatever the parts that buckets and groups are compared in, and group by group or pair by pair, no more is missed."""
+    for name, value in small.items():
+        monkeypatch.setattr(resemblance, name, value)
+    rows = clustered(random.Random(7))
+    got = sorted((r.doc_id, r.text) for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect())
     want = sorted(survivors(rows))
     assert set(want) <= set(got) and len(got) - len(want) <= 0.1 * (len(rows) - len(want))
+
+
+@pytest.mark.parametrize("block", [1024, 8])
+def test_likely_pairs_are_told_once(spark, monkeypatch, block):
+    """All pairs within two bits in a table that sizes and bits allow, each once; the forest connects the same and counts them."""
+    monkeypatch.setattr(resemblance, "BLOCK", block)
+    tables, bits = 3, 20
+    sets = [resemblance.shingles(t) for _, t in clustered(random.Random(11))]
+    rows = [(k, len(h), resemblance.sketch(h, tables, bits)) for k, h in enumerate(sets)]
+    nodes = spark.createDataFrame(rows, "node bigint, n int, fps array<bigint>").repartition(4)
+    p = resemblance.differing(0.8)
+    most = tables * bits * p + 4 * (tables * bits * p * (1 - p)) ** 0.5
+    want = set()
+    for b, n, f in rows:
+        for a, m, g in rows[:b]:
+            apart = [(x ^ y).bit_count() for x, y in zip(f, g, strict=True)]
+            if min(apart) <= 2 and sum(apart) <= most and min(n, m) >= 0.8 * max(n, m):
+                want.add((b, a))
+    buckets = resemblance.met(nodes, bits)
+    got = [(r.node, r.low) for r in resemblance.meeting(buckets, tables, bits, 0.8, False).collect()]
+    assert len(want) > 500 and len(got) == len(want) and set(got) == want
+    links = resemblance.meeting(buckets, tables, bits, 0.8, True).collect()
+    assert sum(r.number for r in links) == len(want) and {(r.node, r.low) for r in links} <= want
+    both = [resemblance.Forest(), resemblance.Forest()]
+    for trees, pairs in zip(both, (want, [(r.node, r.low) for r in links]), strict=True):
+        for b, a in pairs:
+            trees.add(b, a)
+    assert [both[0].top(k) for k in range(len(rows))] == [both[1].top(k) for k in range(len(rows))]
+
+
+def test_shared_counts():
+    rng = np.random.default_rng(3)
+    left, right = ([np.unique(rng.integers(-(2**62), 2**62, 30) if k % 7 == 0 else rng.integers(0, 9_000, k * 9)) for k in range(m)] for m in (12, 17))
+    want = [[len(np.intersect1d(a, b)) for b in right] for a in left]
+    assert resemblance.shared(left, right).tolist() == want
+    assert resemblance.shared(left[:1], right).tolist() == want[:1]
