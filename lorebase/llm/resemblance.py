@@ -145,14 +145,14 @@ def upper(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Forest:
-    """Trees of the links that are added; a link within a tree is counted with one of the tree's own."""
+    """Trees of the links that are added, and how many were added to each."""
 
     def __init__(self) -> None:
         self.above: dict[int, int] = {}
-        self.last: dict[int, int] = {}
-        self.links: list[list[int]] = []
+        self.number: dict[int, int] = {}
 
     def top(self, x: int) -> int:
+        """The smallest node of x's tree."""
         at = self.above.setdefault(x, x)
         while at != self.above[at]:
             self.above[at] = at = self.above[self.above[at]]
@@ -160,17 +160,23 @@ class Forest:
         return at
 
     def add(self, a: int, b: int) -> None:
-        x, y = self.top(a), self.top(b)
-        if x == y:
-            self.links[self.last[x]][2] += 1
-            return
-        self.above[max(x, y)] = min(x, y)
-        self.last[min(x, y)] = len(self.links)
-        self.links.append([max(a, b), min(a, b), 1])
-
-    def taken(self) -> list[list[int]]:
-        """The links (node, low, number) so far; then it is empty."""
-        out = self.links
+        ends = {self.top(a), self.top(b)}
+        low = min(ends)
+        self.number[low] = 1 + sum(self.number.pop(x, 0) for x in ends)
+        self.above[max(ends)] = low
+
+    def taken(self) -> list[tuple[int, int, int]]:
+        """(node, the smallest node of its tree, number) of all other nodes; then the forest is empty.
+
+        The numbers of a tree add up to the links that were added. Tasks that see parts of one large group name the same
+        few smallest nodes, so that their rows are mostly equal.
+        """
+        out = []
+        for x in self.above:
+            low = self.top(x)
+            if x != low:
+                out.append((x, low, self.number[low]))
+                self.number[low] = 0
         self.__init__()
         return out
 
@@ -191,9 +197,9 @@ def likely(at: np.ndarray, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: n
 
 
 def meeting(buckets: DataFrame, tables: int, bits: int, similarity: float, forest: bool) -> DataFrame:
-    """The likely pairs (node, low, number) of buckets, each once; with `forest` only as many as connect what they do.
+    """The likely pairs (node, low, number) of buckets, each once; with `forest`, as few rows as connect what the pairs do.
 
-    number is then how many pairs the row stands for. A task holds one pair of parts of a bucket, and compares its fingerprints as arrays.
+    They are stars then, and number is how many pairs the row stands for. A task holds one pair of parts of a bucket, and compares its fingerprints as arrays.
     """
     p, every = differing(similarity), tables * bits
     most = every * p + 4 * sqrt(every * p * (1 - p))
@@ -239,7 +245,8 @@ def meeting(buckets: DataFrame, tables: int, bits: int, similarity: float, fores
                 yield out(trees.taken())
         yield out(trees.taken())
 
-    return rows.mapInArrow(run, schema)
+    out = rows.mapInArrow(run, schema)
+    return out.groupBy("node", "low").agg(F.sum("number").alias("number")) if forest else out
 
 
 def shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -267,9 +274,10 @@ def shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 
 def alike(groups: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (node, low) that connect all nodes of a group (node, root, parts) whose sets (node, h) have the similarity.
+    """Rows (node, low) that connect all nodes of a group (node, root, parts) whose sets (node, h) have the similarity.
 
-    A task holds two parts of a group at most, and gives a forest of their links, so that copies are not expanded into pairs.
+    A task holds two parts of a group at most, and gives each node with the smallest that it reaches there, so that copies
+    are not expanded into pairs.
     """
     ship(sets.sparkSession)
     rows = in_parts(groups.join(sets, "node"), ["root"], ["node", "h"])
@@ -312,11 +320,11 @@ def grouped(near: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def resembling(nodes: DataFrame, docs: DataFrame, tables: int, bits: int, size: int = SIZE, similarity: float = SIMILARITY) -> list[DataFrame]:
-    """Settled tables of links (node, low) between nodes (node, low: a row's key, n, fps) of different sets.
+    """Settled tables (node, low) that connect those nodes (node, low: a row's key, n, fps) that links of sets connect.
 
     Nodes that share a variant meet, and pairs that all their bits make likely form groups. Sets are compared exactly,
-    group by group; in groups of more parts than their likely pairs are worth, pair by pair. Links between nodes
-    that others connect are left out.
+    group by group; in groups of more parts than their likely pairs are worth, pair by pair. Rows are in proportion to
+    the nodes, not to the links among them.
     """
     buckets = met(nodes, bits)
     near = settle(meeting(buckets, tables, bits, similarity, True), "near")

@@ -108,7 +108,7 @@ def test_likely_pairs_are_told_once(spark, monkeypatch, block):
     got = [(r.node, r.low) for r in resemblance.meeting(buckets, tables, bits, 0.8, False).collect()]
     assert len(want) > 500 and len(got) == len(want) and set(got) == want
     links = resemblance.meeting(buckets, tables, bits, 0.8, True).collect()
-    assert sum(r.number for r in links) == len(want) and {(r.node, r.low) for r in links} <= want
+    assert sum(r.number for r in links) == len(want) and len(links) < len(rows) * 4
     both = [resemblance.Forest(), resemblance.Forest()]
     for trees, pairs in zip(both, (want, [(r.node, r.low) for r in links]), strict=True):
         for b, a in pairs:
