@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import clean_text, fixed2, trim
+from ..functions.text import clean_text, fixed2, lower_each, trim
 from ..sources.shared import scratch, shared_folder
 from .similar import SPACE, PrefixIndex, distinct_words, match_key, set_digest
 
@@ -186,7 +186,7 @@ def add_questions(questions: DataFrame, sent: DataFrame, threshold: float = 70.0
     """
     spark = sent.sparkSession
     form = sent.filter(F.col("question").isNotNull() & (F.col("question") != "")).select("input_pos", clean_text(F.col("question")).alias("question"), clean_text(F.col("answer")).alias("answer"))
-    form = form.withColumn("words", distinct_words(F.lower("question")))
+    form = form.withColumn("words", distinct_words(lower_each(F.col("question"))))
     form = scratch(form.withColumn("digest", set_digest(F.col("words"))), "form")
     texts = scratch(form.groupBy("digest").agg(F.min("input_pos").alias("first"), F.first("words").alias("words")), "sent")
     table = PrefixIndex.create(questions.select(F.col("id").alias("existing_id"), F.col("question").alias("text")), shared_folder(spark, "index"), threshold)

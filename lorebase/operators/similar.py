@@ -16,7 +16,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.text import clean_text
+from ..functions.text import clean_text, lower_each
 from ..sources.shared import drop, scratch
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -38,7 +38,7 @@ TABLES = {
 
 
 def match_key(text: Column) -> Column:
-    return F.lower(clean_text(text))
+    return lower_each(clean_text(text))
 
 
 def distinct_words(key: Column) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..functions.text import upper_each
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -81,7 +83,7 @@ def sent(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = questions(spark, sf_dir)
     other = F.concat(F.lit("zz"), F.replace("question", F.lit(" "), F.lit(" zz")))
     text = F.when(F.col("id") % 3 == 0, F.concat(F.lit(" "), "question", F.lit("\n"))).when(F.col("id") % 3 == 1, other).otherwise(F.concat("question", F.lit(" more")))
-    again = F.when(F.col("id") % 4 == 0, F.concat(other, F.lit(" again and again"))).when(F.col("id") % 4 == 1, F.regexp_replace(other, " [^ ]*$", "")).when(F.col("id") % 4 == 2, F.lit(None)).otherwise(F.upper(other))
+    again = F.when(F.col("id") % 4 == 0, F.concat(other, F.lit(" again and again"))).when(F.col("id") % 4 == 1, F.regexp_replace(other, " [^ ]*$", "")).when(F.col("id") % 4 == 2, F.lit(None)).otherwise(upper_each(other))
     first = q.select(F.col("id").alias("input_pos"), text.alias("question"), "answer")
     return first.unionByName(q.select((F.col("id") + 1_000_000_000).alias("input_pos"), again.alias("question"), "answer"))
 

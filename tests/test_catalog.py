@@ -31,6 +31,20 @@ def test_same_as_sql(spark, duck, name):
     assert rows(got, sorted(got.columns)) == rows(want, sorted(got.columns))
 
 
+def test_letters_of_many_capitals_as_in_sql(spark, tmp_path):
+    """Letters whose full capitals are several, and a sigma at the end of a word, in questions that are sent and imported."""
+    texts = ["der große fluß fließt süß", "der große fluß fließt süß", "ﬁne ŉ ǰ ᾳ ᾲ ΐ og", "ΟΔΟΣ ΣΑΣ και İki", "οδοσ σασ και iki", "ΟΔΟΣ ΣΑΣ και İki"]
+    turns = [(c, t, "user", x) for c, x in enumerate(texts) for t in range(8)]
+    spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    small = duckdb.connect()
+    for t in ("conversations", "documents"):
+        small.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    for name in ("question_insert", "import_check", "import_check_indexed"):
+        got, want = catalog.queries()[name](spark, str(tmp_path)).toPandas(), small.sql(catalog.oracle_sql()[name]).df()
+        assert rows(got, sorted(got.columns)) == rows(want, sorted(got.columns))
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 5, 10, 17, 300, 2000])
 def test_shuffle_is_a_permutation(spark, n):
     from lorebase.operators import utilities
