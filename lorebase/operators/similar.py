@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import clean_text, lower_each
-from ..sources.shared import drop, scratch
+from ..sources.shared import drop, scratch, shuffles_removed
 
 SPACE = r"[\x20\x09-\x0D]+"
 #: Postings of a word beyond which they are split over several keys; an import's rows of that word go to all of them.
@@ -28,10 +28,16 @@ LEVELS = (85.0,)
 #: in d words at least, so most texts that share a rare word by chance are told apart by the signatures alone.
 SIGNATURE = [f"s{k}" for k in range(4)]
 _SIGNATURE = ", ".join(f"{c} BIGINT" for c in SIGNATURE)
+#: The same in 2,048 bits, kept with the text: what is left of the pairs of long texts, whose 256 bits are all used up.
+SKETCH = [f"b{k}" for k in range(32)]
+_SKETCH = ", ".join(f"{c} BIGINT" for c in SKETCH)
+#: Texts are ranked in so many runs, and matched so many at a time. Shuffles and pairs of a run are removed before the next, so
+#: that pairs, which grow faster than the texts, take no more disk than a run's.
+RUNS, AT_ONCE = 4, 16_384
 TABLES = {
     "words": ("word STRING, n BIGINT, parts INT", "word"),
     "postings": (f"cell BIGINT, digest BINARY, n INT, place INT, {_SIGNATURE}", "cell"),
-    "texts": ("digest BINARY, words ARRAY<STRING>", "digest"),
+    "texts": (f"digest BINARY, words ARRAY<STRING>, {_SKETCH}", "digest"),
     "entries": ("existing_id BIGINT, digest BINARY, batch BIGINT", "digest"),
     "removed": ("existing_id BIGINT, batch BIGINT", "existing_id"),
 }
@@ -56,6 +62,16 @@ def _keyed(texts: DataFrame) -> DataFrame:
     return words.withColumn("digest", set_digest(F.col("words")))
 
 
+def _runs(texts: DataFrame, most: int) -> list[DataFrame]:
+    """A scratch table of texts in parts by digest, of about `most` texts each."""
+    n = -(-texts.count() // most)
+    return [texts.filter(F.pmod(F.xxhash64("digest"), F.lit(n)) == k) for k in range(n)] if n > 1 else [texts]
+
+
+def _apart(left: list[str], right: list[str]) -> Column:
+    return reduce(Column.__add__, [F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in zip(left, right, strict=True)])
+
+
 def _prefix(n: Column, share: float) -> Column:
     """How many of n words a match at the share must share one of."""
     return (n - F.ceil(n * share - 1e-9) + 1).cast("int")
@@ -82,16 +98,18 @@ class PrefixIndex:
         out = cls(spark, folder, threshold, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
         spark.createDataFrame([(float(threshold), out.buckets)], "threshold double, buckets int").coalesce(1).write.parquet(f"{folder}/meta")
         out._register()
-        texts = scratch(existing.select("existing_id", "digest", "words"), "existing")
-        distinct = texts.groupBy("digest").agg(F.first("words").alias("words"))
-        counts = distinct.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-        ranked = scratch(out._ranked(distinct, counts.withColumn("parts", F.lit(1))), "ranked")
+        keyed = scratch(existing.select("existing_id", "digest", "words"), "existing")
+        distinct = scratch(keyed.groupBy("digest").agg(F.first("words").alias("words")), "distinct")
+        texts = scratch(keyed.select("existing_id", "digest"), "ids")
+        drop(keyed)
+        counts = scratch(distinct.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "counts")
+        ranked = out._ranked_in_runs(distinct, counts.withColumn("parts", F.lit(1)))
         often = out._prefixes(ranked).groupBy("word").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > HOT)
-        parts = often.select("word", F.ceil(F.col("m") / HOT).cast("int").alias("parts"))
-        out._put("words", counts.join(parts, "word", "left").select("word", "n", F.coalesce("parts", F.lit(1)).alias("parts")))
-        split = out._prefixes(ranked).drop("parts").join(parts, "word", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-        out._append(texts, distinct, split, 0)
-        drop(texts, ranked)
+        parts = scratch(often.select("word", F.ceil(F.col("m") / HOT).cast("int").alias("parts")), "parts")  # at most a word for each HOT postings
+        out._put("words", counts.join(F.broadcast(parts), "word", "left").select("word", "n", F.coalesce("parts", F.lit(1)).alias("parts")))
+        split = out._prefixes(ranked).drop("parts").join(F.broadcast(parts), "word", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        out._append(texts, distinct, ranked, split, 0)
+        drop(texts, distinct, counts, ranked, parts)
         return out
 
     @classmethod
@@ -115,13 +133,15 @@ class PrefixIndex:
         self._put("removed", ids.distinct().withColumn("batch", F.lit(batch - 1)))
         known = self.table("texts").select("digest")
         new = scratch(texts.groupBy("digest").agg(F.first("words").alias("words")).join(known, "digest", "left_anti"), "new")
-        self._append(texts, new, self._prefixes(self._ranked(new, self.table("words"))), batch)
-        drop(texts, new)
+        ranked = self._ranked_in_runs(new, self.table("words"))
+        self._append(texts, new, ranked, self._prefixes(ranked), batch)
+        drop(texts, new, ranked)
 
-    def _append(self, texts: DataFrame, new: DataFrame, prefixes: DataFrame, batch: int) -> None:
+    def _append(self, texts: DataFrame, new: DataFrame, ranked: DataFrame, prefixes: DataFrame, batch: int) -> None:
         part = F.pmod(F.hash("digest"), F.col("parts"))
         self._put("postings", prefixes.select(self._cell("word", self._size_class(F.col("n")), part).alias("cell"), "digest", "n", "place", *SIGNATURE))
-        self._put("texts", new.select("digest", "words"))
+        empty = new.filter("size(words) = 0").select("digest", "words", *(F.lit(0).cast("bigint").alias(c) for c in SKETCH))
+        self._put("texts", ranked.select("digest", F.transform("ordered", lambda w: w["word"]).alias("words"), *SKETCH).unionByName(empty))
         self._put("entries", texts.select("existing_id", "digest").distinct().withColumn("batch", F.lit(batch)))
 
     def _name(self, table: str) -> str:
@@ -137,7 +157,8 @@ class PrefixIndex:
 
     def _put(self, table: str, rows: DataFrame) -> None:
         columns, key = TABLES[table]
-        rows.select(*(c.split()[0] for c in columns.split(", "))).repartition(self.buckets, key).write.insertInto(self._name(table))
+        with shuffles_removed(self.spark):
+            rows.select(*(c.split()[0] for c in columns.split(", "))).repartition(self.buckets, key).write.insertInto(self._name(table))
         self.spark.catalog.refreshTable(self._name(table))
 
     @staticmethod
@@ -145,9 +166,15 @@ class PrefixIndex:
         """(digest, n, ordered): words with their parts, rarest first, unknown ones before all."""
         each = texts.select("digest", F.explode("words").alias("word")).join(words, "word", "left")
         order = F.struct(F.coalesce(F.col("n"), F.lit(0)).alias("often"), "word", F.coalesce("parts", F.lit(1)).alias("parts"))
-        bits = [F.expr(f"bit_xor(if(pmod(xxhash64(word, 7), 4) = {k}, shiftleft(1L, cast(pmod(xxhash64(word, 8), 64) AS INT)), 0L))").alias(c) for k, c in enumerate(SIGNATURE)]
+        each = each.withColumns({"h": F.xxhash64("word", F.lit(7)), "bit": F.expr("shiftleft(1L, cast(pmod(xxhash64(word, 8), 64) AS INT))")})
+        bits = [F.expr(f"bit_xor(if(pmod(h, {len(own)}) = {k}, bit, 0L))").alias(c) for own in (SIGNATURE, SKETCH) for k, c in enumerate(own)]
         return each.groupBy("digest").agg(F.array_sort(F.collect_list(order)).alias("ordered"), *bits).withColumn("n", F.size("ordered"))
 
+    def _ranked_in_runs(self, texts: DataFrame, words: DataFrame) -> DataFrame:
+        """The same of a scratch table of texts, in scratch tables; each run shuffles the words of its own texts only."""
+        runs = _runs(texts, max(AT_ONCE, -(-texts.count() // RUNS)))
+        return reduce(DataFrame.unionByName, [scratch(self._ranked(part, words), "ranked") for part in runs])
+
     def _prefixes(self, ranked: DataFrame, level: float | None = None) -> DataFrame:
         n = F.col("n")
         first = F.slice("ordered", F.lit(1), _prefix(n, (level or self.threshold) / 100))
@@ -182,17 +209,30 @@ class PrefixIndex:
         together = F.col("own_n") + F.col("n")
         room = F.least(F.col("own_n") - F.col("own_place"), F.col("n") - F.col("place"))
         enough = (F.least("own_n", "n") >= F.greatest("own_n", "n") * share - 1e-6) & (room >= together * (share / (1 + share)) - 1e-6)
-        apart = reduce(Column.__add__, [F.bit_count(F.col(c).bitwiseXOR(F.col(f"own_{c}"))) for c in SIGNATURE])
-        enough &= apart <= together * ((1 - share) / (1 + share)) + 1e-6
+        enough &= _apart(SIGNATURE, [f"own_{c}" for c in SIGNATURE]) <= together * ((1 - share) / (1 + share)) + 1e-6
         return own.join(known, "cell").filter(enough).select("own", "digest", "own_n", "n")
 
     def matches(self, ranked: DataFrame, level: float) -> DataFrame:
-        """(own, digest, score) of all texts of the index with a score of at least the level, exactly."""
-        pairs = self.candidates(ranked, level).select("own", "digest", "own_n", "n").distinct()
-        full = pairs.join(self.table("texts"), "digest").join(ranked.select(F.col("digest").alias("own"), F.transform("ordered", lambda w: w["word"]).alias("own_words")), "own")
-        shared = F.size(F.array_intersect("own_words", "words"))
-        scored = full.select("own", "digest", (shared * 100.0 / (F.col("own_n") + F.col("n") - shared)).alias("score"))
-        return scored.filter(F.col("score") >= level)
+        """(own, digest, score) of all texts of the index with a score of at least the level, exactly, in scratch tables.
+
+        Of `ranked`, a scratch table, a bounded number of texts is matched at a time. Pairs are compared by their
+        sketches first, which are short, so that words are sent for those that are likely.
+        """
+        share, found = level / 100, []
+        for part in _runs(ranked, AT_ONCE):
+            pairs = scratch(self.candidates(part, level).distinct(), "pairs")
+            mine = part.select(F.col("digest").alias("own"), *(F.col(c).alias(f"own_{c}") for c in SKETCH))
+            both = pairs.join(self.table("texts").select("digest", *SKETCH), "digest").join(mine, "own")
+            close = _apart(SKETCH, [f"own_{c}" for c in SKETCH]) <= (F.col("own_n") + F.col("n")) * ((1 - share) / (1 + share)) + 1e-6
+            near = scratch(both.filter(close).select("own", "digest", "own_n", "n"), "near")
+            drop(pairs)
+            words = part.select(F.col("digest").alias("own"), F.transform("ordered", lambda w: w["word"]).alias("own_words"))
+            full = near.join(self.table("texts").select("digest", "words"), "digest").join(words, "own")
+            shared = F.size(F.array_intersect("own_words", "words"))
+            scored = full.select("own", "digest", (shared * 100.0 / (F.col("own_n") + F.col("n") - shared)).alias("score"))
+            found.append(scratch(scored.filter(F.col("score") >= level), "matches"))
+            drop(near)
+        return reduce(DataFrame.unionByName, found)
 
     def best(self, texts: DataFrame, threshold: float | None = None) -> DataFrame:
         """(digest, existing_id, score) of the best match of each text (digest, words) that has one at the threshold.
@@ -206,24 +246,35 @@ class PrefixIndex:
             raise ValueError("the index holds no postings for so low a threshold")
         ids = self.live().groupBy("digest").agg(F.min("existing_id").alias("existing_id"))
         found = [scratch(texts.select("digest").join(ids, "digest").withColumn("score", F.lit(100.0)), "exact")]
-        left = texts.join(found[0].select("digest"), "digest", "left_anti")
-        left = asked = scratch(self._ranked(left, self.table("words")), "asked")
+        own = scratch(texts.join(found[0].select("digest"), "digest", "left_anti"), "own")
+        left = self._ranked_in_runs(own, self.table("words"))
+        drop(own)
         for level in [x for x in LEVELS if x > threshold] + [threshold]:
-            named = self.matches(left, level).join(ids, "digest")
+            matched = self.matches(left, level)
+            named = matched.join(ids, "digest")
             top = named.groupBy("own").agg(F.max(F.struct("score", (-F.col("existing_id")).alias("id"))).alias("best"))
             found.append(scratch(top.select(F.col("own").alias("digest"), (-F.col("best.id")).alias("existing_id"), F.col("best.score").alias("score")), "found"))
-            left = left.join(found[-1].select("digest"), "digest", "left_anti")
-        drop(asked)
+            drop(matched)
+            if level > threshold:
+                left, before = scratch(left.join(found[-1].select("digest"), "digest", "left_anti"), "left"), left
+                drop(before)
+        drop(left)
         return reduce(DataFrame.unionByName, found)
 
     def similar(self, texts: DataFrame) -> DataFrame:
-        """(own, digest, score) of every two different texts, one of `texts` (digest, words), the other of the index."""
-        ranked = scratch(self._ranked(texts, self.table("words")), "asked")
-        return self.matches(ranked, self.threshold).filter("own <> digest")
+        """(own, digest, score) of every two different texts, one of `texts` (digest, words), a scratch table, the other of the index."""
+        ranked = self._ranked_in_runs(texts, self.table("words"))
+        matched = self.matches(ranked, self.threshold)
+        drop(ranked)
+        return matched.filter("own <> digest")
 
     def check(self, candidates: DataFrame, threshold: float | None = None) -> DataFrame:
         """Each candidate (input_pos, question) with its best match and score, as `importer.check` gives them."""
-        own = scratch(_keyed(candidates.select("input_pos", "question")), "candidates")
-        best = self.best(own.groupBy("digest").agg(F.first("words").alias("words")), threshold)
+        keyed = scratch(_keyed(candidates.select("input_pos", "question")), "candidates")
+        texts = scratch(keyed.groupBy("digest").agg(F.first("words").alias("words")), "asked")
+        own = scratch(keyed.drop("words"), "candidates")
+        drop(keyed)
+        best = self.best(texts, threshold)
+        drop(texts)
         rows = own.join(best, "digest", "left")
         return rows.select("input_pos", "question", F.col("score").isNotNull().alias("is_duplicate"), "existing_id", F.round("score", 6).alias("score"))
