@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import clean_text, fixed2, lower_each, trim
 from ..sources.shared import scratch, shared_folder
-from .similar import SPACE, PrefixIndex, distinct_words, match_key, set_digest
+from .similar import PrefixIndex, distinct_words, set_digest
 
 # Fixed value: the heading of a row without a question.
 NO_QUESTION = "[Chưa nhập câu hỏi]"
@@ -32,44 +30,10 @@ def check(candidates: DataFrame, existing: DataFrame, threshold: float = 70.0) -
     word sets, in percent. Of the best matches the smallest existing_id counts. Matches below the threshold are not
     reported: their id and score are null. Equal texts are collapsed on both sides first.
 
-    Words are put in the order of how many existing texts have them, rare ones first. Two texts of n and m words at
-    the threshold share one of the first 1 + n - threshold n words of either, so only these are joined, by word and
-    by a class of the number of words, and only where what follows the shared word leaves room for enough others.
+    An index of the existing texts is built for this check (`similar.PrefixIndex`); its module says how texts meet.
     """
-    own = candidates.select("input_pos", "question", match_key(F.col("question")).alias("key"))
-    known = existing.select("existing_id", match_key(F.col("text")).alias("key")).groupBy("key").agg(F.min("existing_id").alias("existing_id"))
-    keys = own.groupBy("key").agg(F.min("input_pos").alias("own_id"))
-    exact = keys.join(known, "key").select("own_id", "existing_id", F.lit(100.0).alias("score"))
-    share = threshold / 100 - 1e-9
-    words = F.array_distinct(F.filter(F.split("key", SPACE), lambda w: w != ""))
-    left = keys.join(known, "key", "left_anti").select("own_id", words.alias("words"))
-    right = known.select("existing_id", words.alias("words"))
-    often = right.select(F.explode("words").alias("word")).groupBy("word").count()
-
-    def ranked(side: DataFrame, id_: str, name: str) -> DataFrame:
-        each = side.select(id_, F.explode("words").alias("word")).join(often, "word", "left")
-        order = F.array_sort(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "word")))
-        return each.groupBy(id_).agg(F.transform(order, lambda w: w["word"]).alias(f"{name}_words")).withColumn(f"{name}_n", F.size(f"{name}_words"))
-
-    def prefixes(side: DataFrame, id_: str, name: str) -> DataFrame:
-        n = F.col(f"{name}_n")
-        size_class = F.floor(F.log(n) / -math.log(min(share, 0.95))).alias("size_class")
-        first = F.slice(f"{name}_words", F.lit(1), (n - F.ceil(n * share) + 1).cast("int"))
-        return side.select(id_, n, size_class, F.posexplode(first).alias(f"{name}_at", "word"))
-
-    left, right = ranked(left, "own_id", "own"), ranked(right, "existing_id", "known")
-    near = F.explode(F.sequence(F.col("size_class") - 1, F.col("size_class") + 1)).alias("size_class")
-    few = prefixes(left, "own_id", "own").select("own_id", "own_n", "own_at", "word", near)
-    together = F.col("own_n") + F.col("known_n")
-    room = F.least(F.col("own_n") - F.col("own_at"), F.col("known_n") - F.col("known_at"))  # the shared word and all after it
-    enough = (F.least("own_n", "known_n") >= F.greatest("own_n", "known_n") * share) & (room >= together * (share / (1 + share)) - 1e-6)
-    pairs = few.join(prefixes(right, "existing_id", "known"), ["word", "size_class"]).filter(enough).select("own_id", "existing_id").distinct()
-    full = pairs.join(left, "own_id").join(right, "existing_id").withColumn("shared", F.size(F.array_intersect("own_words", "known_words")))
-    scored = full.withColumn("score", F.col("shared") * 100.0 / (together - F.col("shared"))).filter(F.col("score") >= threshold)
-    best = scored.groupBy("own_id").agg(F.max(F.struct("score", (-F.col("existing_id")).alias("id"))).alias("best"))
-    found = exact.unionByName(best.select("own_id", (-F.col("best.id")).alias("existing_id"), F.col("best.score").alias("score")))
-    named = keys.join(found, "own_id").select("key", "existing_id", "score")
-    return own.join(named, "key", "left").select("input_pos", "question", F.col("score").isNotNull().alias("is_duplicate"), "existing_id", F.round("score", 6).alias("score"))
+    spark = candidates.sparkSession
+    return PrefixIndex.create(existing, shared_folder(spark, "index"), threshold).check(candidates)
 
 
 def new_rows(checked: DataFrame) -> DataFrame:

@@ -112,3 +112,12 @@ def test_inserts_are_those_of_one_by_one(spark):
     for threshold in (70.0, 50.0):
         got = importer.add_questions(spark.createDataFrame([(i, t, "a", True) for i, t in table], "id bigint, question string, answer string, has_answer boolean"), spark.createDataFrame([(p, t, " x ") for p, t in sent], "input_pos bigint, question string, answer string").repartition(3), threshold)
         assert sorted(((r.input_pos, r.status, r.id, r.existing_id, r.score) for r in got.collect()), key=str) == one_by_one(table, sent, threshold)
+
+
+def test_matches_found_in_several_runs(spark, monkeypatch):
+    """Texts matched a few at a time, long ones too, give the same; of texts of the same words the smallest id counts, in whatever order they are."""
+    monkeypatch.setattr(similar, "AT_ONCE", 40)
+    wide = [(k + 500, " ".join(f"v{(k // 4 * 7 + j) % 3000}" for j in range(k, 900 + k))) for k in range(8)]
+    existing, asked = texts(8, 90) + wide + [(3, "q r s"), (2, "s r q")], texts(8, 60) + wide[::3] + [(901, "q r s")]
+    got = importer.check(spark.createDataFrame(asked, "input_pos bigint, question string"), spark.createDataFrame(existing, "existing_id bigint, text string"))
+    assert found(got) == brute(asked, existing, 70.0)
