@@ -68,9 +68,17 @@ def checked_files(spark: SparkSession, path: str, kind: str = ".pdf", signature:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     of_kind, fits = F.endswith("path", F.lit(kind)), F.col("length").between(len(signature), most)
     unread = F.when(~of_kind, "kind").otherwise("length").alias("reason")
-    listed = files.load(path).filter(~of_kind | ~fits).select("path", "length", unread, F.lit(None).cast("string").alias("sha256"))
+    # a folder of few files each is listed in no time, so a task lists many
+    listing = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(listing)
+    spark.conf.set(listing, str(4 * spark.sparkContext.defaultParallelism))
+    try:
+        everything, of_name = files.load(path), files.option("pathGlobFilter", f"*{kind}").load(path)
+    finally:
+        spark.conf.set(listing, before)
+    listed = everything.filter(~of_kind | ~fits).select("path", "length", unread, F.lit(None).cast("string").alias("sha256"))
     begin = F.substring("content", 1, len(signature)) == F.lit(signature)
-    read = files.option("pathGlobFilter", f"*{kind}").load(path).filter(fits)
+    read = of_name.filter(fits)
     return listed.unionByName(read.select("path", "length", F.when(~begin, "content").alias("reason"), F.sha2("content", 256).alias("sha256")))
 
 

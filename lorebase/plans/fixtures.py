@@ -117,8 +117,11 @@ def write_files(spark: SparkSession, sf_dir: str, path: str) -> None:
     kind = F.col("s_suppkey") % 4
     lines = F.concat(F.when(kind == 1, "<html> ").otherwise("%PDF-1.7 "), F.when(kind == 3, F.repeat("s_name", F.lit(100))).otherwise(F.col("s_name")))
     rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("number"), lines.alias("line"))
-    rows.filter("number % 4 <> 2").write.option("extension", "pdf").partitionBy("number").csv(f"{path}/a")
-    rows.filter("number % 4 = 2").write.partitionBy("number").text(f"{path}/b")
+    # files take their time one by one, so they are dealt to all tasks, which put them in place themselves
+    rows = rows.repartition(max(spark.sparkContext.defaultParallelism, rows.count() // 500), "number")
+    committed = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
+    rows.filter("number % 4 <> 2").write.options(extension="pdf", **committed).partitionBy("number").csv(f"{path}/a")
+    rows.filter("number % 4 = 2").write.options(**committed).partitionBy("number").text(f"{path}/b")
 
 
 def patches(spark: SparkSession, sf_dir: str) -> DataFrame:

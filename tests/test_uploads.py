@@ -1,6 +1,7 @@
 import hashlib
 
 from lorebase.operators import documents
+from lorebase.plans import fixtures
 
 
 def test_checked_files(spark, tmp_path):
@@ -21,3 +22,12 @@ def test_contents_are_read_of_candidates_only(spark, tmp_path):
     plan = documents.checked_files(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     scans = [line for line in plan.splitlines() if "FileScan binaryFile" in line]
     assert len(scans) == 2 and sum("content#" in s for s in scans) == 1 and all("PushedFilters: []" not in s for s in scans if "content#" in s)
+
+
+def test_files_are_dealt_to_all_tasks(spark, tmp_path):
+    """A table of one partition is written by several tasks, which all file names tell."""
+    suppliers = spark.range(1200).selectExpr("id AS s_suppkey", "concat('s', id) AS s_name").coalesce(1)
+    suppliers.write.parquet(f"{tmp_path}/supplier.parquet")
+    fixtures.write_files(spark, str(tmp_path), f"{tmp_path}/files")
+    names = [f.name for f in tmp_path.glob("files/*/number=*/part-*")]
+    assert len(names) == 1200 and len({n.split("-")[1] for n in names}) >= 4
