@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..sources.shared import shuffles_removed
+
 #: Bytes that separate words in the operators' contracts, as a Java and DuckDB pattern.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -39,10 +41,11 @@ def shared_dir(spark: SparkSession) -> str:
 def settle(df: DataFrame, label: str) -> DataFrame:
     """df, written as Parquet to the shared folder and read again.
 
-    This cuts lineage: what follows can be recomputed from the files when an executor is lost.
+    This cuts lineage: what follows can be recomputed from the files when an executor is lost. Shuffles go as soon as it is written.
     """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_removed(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -12,7 +12,7 @@ incidence matrices, large groups in pairs of parts. So a group of n copies gives
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import repeat
 from math import acos, ceil, comb, log, pi, sqrt
 
@@ -30,6 +30,9 @@ SIZE, SIMILARITY, RECALL, SEED = 5, 0.8, 0.9, 42
 #: The most members of a bucket that are compared at once; larger buckets are compared in pairs of parts.
 BLOCK = 1024
 
+#: How many fingerprints of a text emit their variants at once; what they shuffle is removed before the next ones do.
+TABLES = 4
+
 #: About how many sets, and how many shingles, one side of an exact comparison holds; larger groups are compared in pairs of parts.
 SETS, SHINGLES = 128, 2_000_000
 
@@ -123,13 +126,15 @@ def in_parts(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     return dealt.select(*keys, F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", *columns)
 
 
-def met(nodes: DataFrame, bits: int) -> DataFrame:
+def met(nodes: DataFrame, bits: int, tables: range | None = None) -> DataFrame:
     """A settled table of the members (at, parts, node, n, fps) of buckets of two nodes or more; a bucket is a variant of a table.
 
     Equal fingerprints emit their variants once, so that a variant is shuffled for at most bits + 1 fingerprints, however
-    many nodes have them.
+    many nodes have them. With `tables`, only buckets of these are made.
     """
     members = nodes.filter("n > 0").select("node", "n", "fps", F.posexplode("fps").alias("t", "fp"))
+    if tables is not None:
+        members = members.filter(F.col("t").between(tables[0], tables[-1]))
     cells = members.groupBy("t", "fp").agg(F.count(F.lit(1)).alias("many"))
     at = F.call_function("shiftleft", F.col("t").cast("bigint"), F.lit(48)).bitwiseOR(F.col("variant"))
     emitted = cells.select("t", "fp", "many", F.explode(variants(F.col("fp"), bits)).alias("variant")).select(at.alias("at"), "t", "fp", "many")
@@ -304,12 +309,37 @@ def alike(groups: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return rows.groupBy("root", "i", "j").applyInArrow(run, "node bigint, low bigint")
 
 
+def spanning(edges: DataFrame) -> DataFrame:
+    """As few edges (a, b) as connect what the edges (a, b) do within the partition of their a.
+
+    Many tasks name a smallest node of their own for each node of a large group. A partition that has all edges of its nodes
+    keeps no more of them than it has nodes and smallest nodes.
+    """
+    ship(edges.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = Forest()
+
+        def out() -> pa.RecordBatch:
+            found = trees.taken()
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                trees.add(a, b)
+            if len(trees.above) > 1_000_000:
+                yield out()
+        yield out()
+
+    return edges.select("a", "b").repartition("a").mapInArrow(run, "a bigint, b bigint")
+
+
 def grouped(near: DataFrame, nodes: DataFrame) -> DataFrame:
     """A settled table (node, root, parts, dense) of the nodes that likely pairs (node, low, number) connect.
 
     A group is dense if comparing its sets part by part sends no more of them than sending both sets of each likely pair.
     """
-    named = settle(components(near.select(F.col("node").alias("a"), F.col("low").alias("b"))), "groups")
+    named = settle(components(spanning(near.select(F.col("node").alias("a"), F.col("low").alias("b")))), "groups")
     pairs = near.join(named, "node").groupBy("root").agg(F.sum("number").alias("pairs"))
     sized = named.join(nodes.select("node", "n"), "node").groupBy("root").agg(F.count(F.lit(1)).alias("many"), F.sum("n").alias("held"))
     parts = F.ceil(F.greatest(F.col("many") / SETS, F.col("held") / SHINGLES)).cast("int")
@@ -326,7 +356,8 @@ def resembling(nodes: DataFrame, docs: DataFrame, tables: int, bits: int, size:
     group by group; in groups of more parts than their likely pairs are worth, pair by pair. Rows are in proportion to
     the nodes, not to the links among them.
     """
-    buckets = met(nodes, bits)
+    runs = [range(t, min(t + TABLES, tables)) for t in range(0, tables, TABLES)]
+    buckets = reduce(DataFrame.unionByName, [met(nodes, bits, run) for run in runs])
     near = settle(meeting(buckets, tables, bits, similarity, True), "near")
     groups = grouped(near, nodes)
     sets = fetched(groups.select("node"), nodes, docs, size)

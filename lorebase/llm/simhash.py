@@ -16,7 +16,7 @@ from xxhash import xxh64_intdigest
 from .common import discard, map_rows, settle
 from .components import components
 from .keeping import keep
-from .resemblance import SIMILARITY, SIZE, plan, resembling, sketches
+from .resemblance import SIMILARITY, SIZE, plan, resembling, sketches, spanning
 
 SEED, RADIUS = 42, 2
 
@@ -108,7 +108,7 @@ def keep_one(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY)
     nodes = settle(sets.withColumn("node", F.monotonically_increasing_id()), "distinct")  # numbers are fixed by writing them
     links = resembling(nodes, docs, tables, bits, size, similarity)
     edges = reduce(DataFrame.unionByName, links, nodes.select("node", F.col("node").alias("low")).limit(0)).select(F.col("node").alias("a"), F.col("low").alias("b"))
-    least = _grouped(nodes.select("node", "low"), edges)
+    least = _grouped(nodes.select("node", "low"), spanning(edges))
     named = settle(nodes.select("node", "sig").join(least, "node").select("sig", "least"), "named")
     rows = settle(found.select("key", "sig").join(named, "sig").groupBy("key", "least").agg(F.count(F.lit(1)).alias("n")), "decided")
     out = keep(docs, rows.filter("key <> least"), rows.filter("key = least AND n > 1"))

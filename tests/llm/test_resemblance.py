@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from lorebase.llm.components import components
 from lorebase.llm import resemblance, simhash
 from xxhash import xxh64_intdigest
 
@@ -122,3 +123,13 @@ def test_shared_counts():
     want = [[len(np.intersect1d(a, b)) for b in right] for a in left]
     assert resemblance.shared(left, right).tolist() == want
     assert resemblance.shared(left[:1], right).tolist() == want[:1]
+
+
+def test_few_edges_connect_a_group_that_many_tasks_name(spark):
+    """Each of 300 nodes named by 40 tasks: the edges kept grow with nodes and names, not with their product, and connect the same."""
+    pairs = [(1000 + x, low) for x in range(300) for low in range(40)] + [(5000, 4000)]
+    edges = spark.createDataFrame(pairs, "a bigint, b bigint").repartition(7)
+    kept = resemblance.spanning(edges)
+    assert kept.count() <= 301 + 40 * 4
+    roots = {r.node: r.root for r in components(kept).collect()}
+    assert roots == {x: 0 for x in [*range(40), *range(1000, 1300)]} | {5000: 4000, 4000: 4000}
