@@ -89,7 +89,9 @@ class Remembered(dict):
             self.old = dict(self)
             self.clear()
             self.size = 0
-        value = self.old[key] if key in self.old else self.find(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.find(key)
         self[key] = value
         self.size += len(key)
         return value

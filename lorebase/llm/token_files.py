@@ -104,7 +104,9 @@ class ChunkTokenizer:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
         # how the library writes each Latin-1 letter for its model
         self.written = {c: self.tokenizer.pre_tokenizer.pre_tokenize_str(chr(c))[0][0] for c in range(256) if chr(c).isalpha()}
-        self.known = Remembered(self._ask, entries=300_000)
+        width = array(self.kind).itemsize
+        self.coded = [i.to_bytes(width, "little") for i in range(1 + max(self.tokenizer.get_vocab(with_added_tokens=True).values()))]
+        self.known = Remembered(self._ask, entries=400_000)
         probe = "a b\n\nc  It's x.y\tHÉÇ, \xb5\xaa\xdf42.!? \x1cdon't... re'l\x85(no) \u0130. \u0130x\n"
         probe += "".join(f" {c} x{c}, ({c}) {c}{c}. {c.upper()}x {c.upper()}" for c in self.added)
         want = self.tokenizer.encode(probe, add_special_tokens=False).ids
@@ -122,11 +124,13 @@ class ChunkTokenizer:
         return text.split() if not _SEPARATORS.search(text) else _RUNS.findall(text)
 
     def _ask(self, run: str) -> bytes:
+        if run.isascii() and run.isalpha():
+            ids = self.model.tokenize(run.lower())
+            return self.coded[ids[0].id] if len(ids) == 1 else b"".join([self.coded[t.id] for t in ids])
         if run.isascii() or max(run) <= "\xff":
             if run.isalpha():
                 run = run.lower()
-                ids = [t.id for t in self.model.tokenize(run if run.isascii() else run.translate(self.written))]
-                return array(self.kind, ids).tobytes()
+                return b"".join([self.coded[t.id] for t in self.model.tokenize(run.translate(self.written))])
             core = run.rstrip(SIGNS)
             if core and len(core) < len(run) and core[-1].isalnum():
                 return self.known[core] + self.known[run[len(core) :]]
