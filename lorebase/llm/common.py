@@ -18,6 +18,9 @@ from ..sources.shared import shuffles_removed
 #: Bytes that separate words in the operators' contracts, as a Java and DuckDB pattern.
 SPACE = r"[\x20\x09-\x0D]+"
 
+#: How many rows a Python worker turns into objects at once.
+ROWS = 1000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -104,14 +107,15 @@ def ddl(schema: str) -> StructType:
 def map_rows(df: DataFrame, schema: str, start: Callable[[], Callable[..., Sequence[Sequence]]]) -> DataFrame:
     """Each Arrow batch of df through a function of its columns as lists, which returns the new columns.
 
-    start() runs once in each task, so that models and caches are built there.
+    start() runs once in each task, so that models and caches are built there. It gets ROWS rows at a time, so that a
+    worker doesn't hold a whole batch of texts, and what is made of them, as Python objects.
     """
     ship(df.sparkSession)
     arrow = to_arrow_schema(ddl(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
-        for batch in batches:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             out = work(*(c.to_pylist() for c in batch.columns))
             yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(out, arrow, strict=True)], schema=arrow)
 

@@ -1,7 +1,9 @@
 import hashlib
 import re
 
-from lorebase.llm import exact, queries
+import pytest
+
+from lorebase.llm import exact, keeping, queries
 
 from .conftest import ROWS, SF
 
@@ -65,3 +67,18 @@ def test_plan_has_no_python(spark, capsys):
 def test_query(spark, documents):
     got = queries.op7_exact_dedup(spark, SF).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()
     assert sorted(str(tuple(r)) for r in got) == brute(list(zip(documents.doc_id.tolist(), documents.text, strict=True)))
+
+
+@pytest.mark.parametrize("most_bytes", [keeping.MARKS, 0])
+def test_keep_leaves_rows_of_other_ids_where_they_lie(spark, monkeypatch, most_bytes):
+    """Rows of doc_ids that nothing goes of are not joined by their key, which is not even made for them; all rows are right either way."""
+    rows = [(k, f"text {k % 90}") for k in range(-30, 100)] + [(None, "text 3"), (None, "own"), (5, "text 50"), (200, "twice"), (200, "twice")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    named = docs.select("doc_id", "text", keeping.row_key().alias("key"))
+    losers, repeated = named.filter("text IN ('text 3', 'text 7') OR doc_id % 9 = 0").select("key"), named.filter("text = 'twice'").select("key")
+    kept = keeping.keep(docs, losers, repeated, most_bytes)
+    want = [r for r in rows if r[1] not in ("text 3", "text 7") and (r[0] is None or r[0] % 9)]
+    want.remove((200, "twice"))
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(want, key=str)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert ("marked_word" in plan) == (most_bytes > 0)

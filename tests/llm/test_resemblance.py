@@ -133,3 +133,33 @@ def test_few_edges_connect_a_group_that_many_tasks_name(spark):
     assert kept.count() <= 301 + 40 * 4
     roots = {r.node: r.root for r in components(kept).collect()}
     assert roots == {x: 0 for x in [*range(40), *range(1000, 1300)]} | {5000: 4000, 4000: 4000}
+
+
+def test_only_pairs_told_at_a_variant_are_needed():
+    """Every pair within two bits is left at one variant; equal fingerprints at their own; no other fingerprint goes on."""
+    bits, rng = 20, random.Random(13)
+    base = [rng.getrandbits(bits) for _ in range(30)]
+    cells = {f: 1 for f in base} | {f ^ (1 << rng.randrange(bits)) ^ (1 << rng.randrange(bits)): rng.choice([1, 2, 5]) for f in base for _ in range(4)}
+    codes = np.sort(np.array([((f ^ (1 << i) if i < bits else f) << 12) | i << 6 | (n - 1).bit_length() for f, n in cells.items() for i in range(bits + 1)]))
+    need, size = resemblance.needed(codes, bits)
+    left = {}
+    for code, n in zip(codes[need].tolist(), size[need].tolist(), strict=True):
+        flip = code >> 6 & 63
+        left.setdefault(code >> 12, []).append((code >> 12 ^ (1 << flip if flip < bits else 0), n))
+    want = {}
+    for x in cells:
+        for y in cells:
+            if x < y and (x ^ y).bit_count() <= 2:
+                one = (x ^ y) & -(x ^ y)
+                want.setdefault(x if x ^ y == one else min(x ^ one, y ^ one), set()).update((x, y))
+        if cells[x] > 1:
+            want.setdefault(x, set()).add(x)
+    assert {v: {f for f, _ in rows} for v, rows in left.items()} == want
+    for rows in left.values():
+        held = sum(cells[f] for f, _ in rows)
+        assert {n for _, n in rows} == {rows[0][1]} and held <= rows[0][1] <= 2 * held
+
+
+def test_what_is_shuffled_grows_with_the_rows_alone():
+    """Tables of 0.1 and 0.5 GB have one plan: no more variants for each text of the larger one."""
+    assert resemblance.plan(40_000) == resemblance.plan(200_000) == resemblance.plan(2_000_000)
