@@ -11,6 +11,7 @@ and doc_id (u1, i8) and the number of ids (u4) of each document, the control byt
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from array import array
@@ -23,15 +24,19 @@ import pyarrow as pa
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import Remembered, discard, map_rows, settle, shared_dir, ship
+from .common import ROWS, Remembered, ddl, discard, settle, shared_dir, ship
 
 MAGIC, HEAD = b"LTF1", struct.Struct("<4sIQQQ")
 BLOCK_SCHEMA = "part int, start bigint, n_docs bigint, n_ids bigint, block binary"
+TOKENS = "doc_id bigint, small boolean, ids binary, counts binary"
 OUT_SCHEMA = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 #: ASCII signs, and what str.split() takes for white space although regular expressions don't.
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _SEPARATORS, _RUNS = regex.compile("[\x1c-\x1f]"), regex.compile(r"[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]++")
+#: A comma or stop that alone ends a run, after an ASCII letter or digit.
+_ENDING = re.compile(rb"([,.])(?<=[a-z0-9][,.])(?=[ \n])")
 LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], dtype=np.uint8)
 
 
@@ -115,9 +120,13 @@ class ChunkTokenizer:
             raise ValueError("this tokenizer joins across white space or keeps capitals")
 
     def _runs(self, text: str) -> list[str]:
-        """Runs between white space, A-Z lowered in texts within Latin-1, where that changes no normal form."""
+        """Runs between white space, A-Z lowered in texts within Latin-1, where that changes no normal form.
+
+        There a comma or stop at a run's end is a run of its own, as `_ask` would ask for it, so that a word with it is not
+        remembered once more.
+        """
         try:
-            text = text.encode("latin-1").lower().decode("latin-1")
+            text = _ENDING.sub(rb" \1", text.encode("latin-1").lower()).decode("latin-1")
         except UnicodeEncodeError:
             pass
         # str.split() also cuts at four control characters that are not white space
@@ -136,16 +145,17 @@ class ChunkTokenizer:
                 return self.known[core] + self.known[run[len(core) :]]
         return array(self.kind, self.tokenizer.encode(run, add_special_tokens=False).ids).tobytes()
 
+    def coded_ids(self, text: str) -> bytes:
+        """The ids of a text, as 16-bit integers if the whole vocabulary fits, else as 32-bit ones."""
+        find = self.known.__getitem__
+        parts = self.cut.split(text) if self.cut else [text]  # ordinary text and added tokens in turn
+        coded = [b"".join(map(find, self._runs(parts[0])))]
+        for token, plain in zip(parts[1::2], parts[2::2], strict=True):
+            coded += [self.added[token], *map(find, self._runs(plain))]
+        return b"".join(coded)
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text, as 16-bit integers if the whole vocabulary fits, else as 32-bit ones."""
-        out, find = [], self.known.__getitem__
-        for t in texts:
-            parts = self.cut.split(t) if self.cut else [t]  # ordinary text and added tokens in turn
-            coded = [b"".join(map(find, self._runs(parts[0])))]
-            for token, plain in zip(parts[1::2], parts[2::2], strict=True):
-                coded += [self.added[token], *map(find, self._runs(plain))]
-            out.append(np.frombuffer(b"".join(coded), dtype=self.kind))
-        return out
+        return [np.frombuffer(self.coded_ids(t), dtype=self.kind) for t in texts]
 
 
 @lru_cache(maxsize=2)
@@ -158,21 +168,35 @@ def chunk_tokenizer(path: str) -> ChunkTokenizer:
 
 
 def tokenize(docs: DataFrame, path: str, end: int | None) -> DataFrame:
-    """(doc_id, small, ids) of every document's whole text; null counts as empty. `end` is appended to each.
+    """(doc_id, small, ids, counts) of every document's whole text; null counts as empty. `end` is appended to each.
 
-    ids are bytes of 16-bit integers (small) if the whole vocabulary and `end` fit, else of 32-bit ones.
+    ids are bytes of 16-bit integers (small) if the whole vocabulary and `end` fit, else of 32-bit ones; counts is null.
+    The last row of a task that saw ids has counts alone: how often each id occurs in its texts, as 64-bit integers.
     """
+    ship(docs.sparkSession)
+    arrow = to_arrow_schema(ddl(TOKENS))
 
-    def start():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = chunk_tokenizer(path)
-        close = np.array([] if end is None else [end], dtype=tokenizer.kind)
+        close, held = np.array([] if end is None else [end], dtype=tokenizer.kind).tobytes(), np.zeros(0, dtype=np.int64)
+
+        def out(*columns: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
+            ids = [tokenizer.coded_ids(t or "") + close for t in batch.column("text").to_pylist()]
+            held = _added(held, np.bincount(np.frombuffer(b"".join(ids), dtype=tokenizer.kind)))
+            yield out(batch.column("doc_id").to_pylist(), [tokenizer.kind == "H"] * len(ids), ids, [None] * len(ids))
+        if len(held):
+            yield out([None], [None], [None], [held.tobytes()])
 
-        def work(ids, texts):
-            return ids, [tokenizer.kind == "H"] * len(ids), [np.append(x, close).tobytes() for x in tokenizer.encode([t or "" for t in texts])]
+    return docs.select("doc_id", "text").mapInArrow(run, TOKENS)
 
-        return work
 
-    return map_rows(docs.select("doc_id", "text"), "doc_id bigint, small boolean, ids binary", start)
+def _added(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of counts, the shorter ones filled up by zeros."""
+    n = max(len(a), len(b))
+    return np.pad(a, (0, n - len(a))) + np.pad(b, (0, n - len(b)))
 
 
 def _arrays(batch: pa.RecordBatch) -> list[np.ndarray]:
@@ -181,19 +205,17 @@ def _arrays(batch: pa.RecordBatch) -> list[np.ndarray]:
 
 
 def frequencies(tokens: DataFrame) -> list[tuple[int, int]]:
-    """(id, how often it occurs), most frequent first, then by id. Each task sends a row for each id at most."""
+    """(id, how often it occurs), most frequent first, then by id, from the counts alone. Each task sends a row for each id at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            arrays = _arrays(batch)
-            own = np.bincount(np.concatenate(arrays)) if arrays else held[:0]
-            held = np.pad(held, (0, max(0, len(own) - len(held))))
-            held[: len(own)] += own
+            for counts in batch.column("counts").to_pylist():
+                held = _added(held, np.frombuffer(counts, dtype=np.int64))
         at = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(held[at], pa.int64())], names=["id", "n"])
 
-    counts = tokens.select("small", "ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = tokens.filter("counts IS NOT NULL").select("counts").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
     return sorted(((r.id, r.n) for r in counts.collect()), key=lambda x: (-x[1], x[0]))  # as long as the vocabulary
 
 
@@ -235,7 +257,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int | None = None,
             yield out()
 
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(n for _, n in counted) // part_ids + 1)
-    parts = tokens.repartitionByRange(width, "doc_id", "row").sortWithinPartitions("doc_id", "row")
+    parts = tokens.filter("counts IS NULL").select("doc_id", "small", "ids", "row").repartitionByRange(width, "doc_id", "row").sortWithinPartitions("doc_id", "row")
     parts.select("doc_id", "small", "ids").mapInArrow(blocks, BLOCK_SCHEMA).write.parquet(f"{folder}/blocks")
     discard(tokens)
 

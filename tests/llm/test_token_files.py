@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -118,3 +119,21 @@ def test_added_tokens(library):
     for _ in range(2):  # the second time from memory
         assert [x.tolist() for x in tokenizer.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
     assert tokenizer.encode(["end <|endoftext|> next"])[0].tolist() == [806, 49407, 1131]
+
+
+def test_words_before_commas_and_stops_are_remembered_once(library):
+    """A word is asked for once, however it ends, and ids stay the library's."""
+    texts = ["Zorbing, zorbing. zorbing\nzorbing.\nZORBING, (zorbing, zorbing), zorbing.. zorbing., 4.5, 4, x-, \xe9, \xe9a. \x1ca, b.\x1c c.", "don't, it's. u.s.a. a,b, ,, . a,\tb.\u3000c, "]
+    tokenizer = token_files.ChunkTokenizer(PATH)
+    for _ in range(2):
+        assert [x.tolist() for x in tokenizer.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    asked = [x for x in (*tokenizer.known, *tokenizer.known.old) if x.startswith("zorbing")]
+    assert "zorbing" in asked and "zorbing," not in asked and "zorbing." not in asked
+
+
+def test_ids_are_counted_as_they_are_made(spark, odd, empty, library):
+    """Counts come from the tasks that tokenize; ids are not read again for them."""
+    tokens = token_files.tokenize(odd, PATH, 1)
+    want = Counter(i for _, t in ROWS for i in [*library.encode(t or "", add_special_tokens=False).ids, 1])
+    assert token_files.frequencies(tokens.drop("ids")) == sorted(want.items(), key=lambda x: (-x[1], x[0]))
+    assert token_files.frequencies(token_files.tokenize(empty, PATH, 1)) == []
