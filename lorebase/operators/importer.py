@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import clean_text, fixed2, lower_each, trim
 from ..sources.shared import scratch, shared_folder
-from .similar import PrefixIndex, distinct_words, set_digest
+from . import sets
+from .similar import PrefixIndex, checked, distinct_texts, distinct_words, keyed, set_digest
 
 # Fixed value: the heading of a row without a question.
 NO_QUESTION = "[Chưa nhập câu hỏi]"
@@ -30,10 +31,11 @@ def check(candidates: DataFrame, existing: DataFrame, threshold: float = 70.0) -
     word sets, in percent. Of the best matches the smallest existing_id counts. Matches below the threshold are not
     reported: their id and score are null. Equal texts are collapsed on both sides first.
 
-    An index of the existing texts is built for this check (`similar.PrefixIndex`); its module says how texts meet.
+    All are compared with all (`sets`), as an index for one check costs more than it saves. For a table that is checked
+    against again and again, `similar.PrefixIndex` keeps one.
     """
-    spark = candidates.sparkSession
-    return PrefixIndex.create(existing, shared_folder(spark, "index"), threshold).check(candidates)
+    known = distinct_texts(keyed(existing.select("existing_id", F.col("text").alias("question"))), F.min("existing_id").alias("existing_id"))
+    return checked(candidates, lambda texts: sets.best(texts, known, known.select("digest", "existing_id"), threshold))
 
 
 def new_rows(checked: DataFrame) -> DataFrame:

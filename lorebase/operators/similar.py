@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -56,12 +57,32 @@ def set_digest(words: Column) -> Column:
     return F.unhex(F.md5(F.array_join(F.sort_array(words), " ").cast("binary")))
 
 
-def _keyed(texts: DataFrame) -> DataFrame:
+def keyed(texts: DataFrame) -> DataFrame:
     """texts with the digest and the words of their question."""
     words = texts.withColumn("words", distinct_words(match_key(F.col("question"))))
     return words.withColumn("digest", set_digest(F.col("words")))
 
 
+_keyed = keyed
+
+
+def distinct_texts(texts: DataFrame, *aggregates: Column) -> DataFrame:
+    """(digest, words) of texts that have both, with aggregates of each digest, in a scratch table."""
+    return scratch(texts.groupBy("digest").agg(F.first("words").alias("words"), *aggregates), "texts")
+
+
+def checked(candidates: DataFrame, best: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Each candidate (input_pos, question) with its best match and score; best() gives those of texts (digest, words)."""
+    all_ = scratch(keyed(candidates.select("input_pos", "question")), "candidates")
+    texts = distinct_texts(all_)
+    own = scratch(all_.drop("words"), "candidates")
+    drop(all_)
+    found = best(texts)
+    drop(texts)
+    rows = own.join(found, "digest", "left")
+    return rows.select("input_pos", "question", F.col("score").isNotNull().alias("is_duplicate"), "existing_id", F.round("score", 6).alias("score"))
+
+
 def _runs(texts: DataFrame, most: int) -> list[DataFrame]:
     """A scratch table of texts in parts by digest, of about `most` texts each."""
     n = -(-texts.count() // most)
@@ -270,11 +291,4 @@ class PrefixIndex:
 
     def check(self, candidates: DataFrame, threshold: float | None = None) -> DataFrame:
         """Each candidate (input_pos, question) with its best match and score, as `importer.check` gives them."""
-        keyed = scratch(_keyed(candidates.select("input_pos", "question")), "candidates")
-        texts = scratch(keyed.groupBy("digest").agg(F.first("words").alias("words")), "asked")
-        own = scratch(keyed.drop("words"), "candidates")
-        drop(keyed)
-        best = self.best(texts, threshold)
-        drop(texts)
-        rows = own.join(best, "digest", "left")
-        return rows.select("input_pos", "question", F.col("score").isNotNull().alias("is_duplicate"), "existing_id", F.round("score", 6).alias("score"))
+        return checked(candidates, lambda texts: self.best(texts, threshold))
