@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import clean_text, fixed2, lower_each, trim
-from ..sources.shared import scratch, shared_folder
+from ..sources.shared import drop, scratch
 from . import sets
-from .similar import PrefixIndex, checked, distinct_texts, distinct_words, keyed, set_digest
+from .similar import checked, distinct_texts, distinct_words, keyed, set_digest
 
 # Fixed value: the heading of a row without a question.
 NO_QUESTION = "[Chưa nhập câu hỏi]"
@@ -150,16 +150,15 @@ def add_questions(questions: DataFrame, sent: DataFrame, threshold: float = 70.0
     in at once, and those similar to one of them are refused. Rounds are as many as the longest chain of questions
     that wait for one another; each reads the pairs that are still open.
     """
-    spark = sent.sparkSession
     form = sent.filter(F.col("question").isNotNull() & (F.col("question") != "")).select("input_pos", clean_text(F.col("question")).alias("question"), clean_text(F.col("answer")).alias("answer"))
     form = form.withColumn("words", distinct_words(lower_each(F.col("question"))))
     form = scratch(form.withColumn("digest", set_digest(F.col("words"))), "form")
-    texts = scratch(form.groupBy("digest").agg(F.min("input_pos").alias("first"), F.first("words").alias("words")), "sent")
-    table = PrefixIndex.create(questions.select(F.col("id").alias("existing_id"), F.col("question").alias("text")), shared_folder(spark, "index"), threshold)
-    known = scratch(table.best(texts.select("digest", "words")), "known")
+    texts = distinct_texts(form, F.min("input_pos").alias("first"))
+    table = distinct_texts(keyed(questions.select("id", "question")), F.min("id").alias("existing_id"))
+    known = scratch(sets.best(texts, table, table.select("digest", "existing_id"), threshold), "known")
+    drop(table)
     new = scratch(texts.join(known, "digest", "left_anti"), "new")
-    batch = PrefixIndex.create_from(new.select(F.col("first").alias("existing_id"), "digest", "words"), shared_folder(spark, "index"), threshold)
-    pairs = scratch(batch.similar(texts.select("digest", "words")), "pairs")
+    pairs = sets.matches(texts, new, threshold)
 
     order = new.select("digest", "first")
     waits = pairs.join(order.withColumnsRenamed({"digest": "own", "first": "own_first"}), "own").join(order, "digest").filter("own_first > first")

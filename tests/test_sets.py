@@ -6,7 +6,7 @@ import pytest
 from lorebase.operators import importer, sets, similar
 from pyspark.sql import functions as F
 
-from test_similar import brute, found, texts
+from test_similar import brute, found, one_by_one, texts
 
 
 def worded(spark, rows, name="existing_id"):
@@ -66,3 +66,13 @@ def test_no_index_for_one_check(spark):
     assert {t.name for t in spark.catalog.listTables()} == before
     likely = sets.near(*(worded(spark, t) for t in (own, known)), 70.0).count()
     assert 1 <= likely <= 20
+
+
+def test_inserts_compare_by_bits(spark, monkeypatch):
+    """Sent questions that share words by chance cost no rows of a join, and no index is built; in tiny blocks they fare as one by one."""
+    tiny(monkeypatch)
+    before = {t.name for t in spark.catalog.listTables()}
+    sent, table = texts(5, 60, 100, 6) + [(p + 300, t) for p, t in texts(5, 30, 100, 6)] + [(600, None), (602, " ")], texts(6, 40, 1, 6)
+    got = importer.add_questions(spark.createDataFrame([(i, t, "a", True) for i, t in table], "id bigint, question string, answer string, has_answer boolean"), spark.createDataFrame([(p, t, " x ") for p, t in sent], "input_pos bigint, question string, answer string"))
+    assert sorted(((r.input_pos, r.status, r.id, r.existing_id, r.score) for r in got.collect()), key=str) == one_by_one(table, sent, 70.0)
+    assert {t.name for t in spark.catalog.listTables()} == before
