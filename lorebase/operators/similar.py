@@ -11,14 +11,21 @@ from __future__ import annotations
 
 import hashlib
 import math
+import sys
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import clean_text, lower_each
 from ..sources.shared import drop, scratch, shuffles_removed
+from . import sets
+
+register_pickle_by_value(sys.modules[__name__])  # executors may not have this package
 
 SPACE = r"[\x20\x09-\x0D]+"
 #: Postings of a word beyond which they are split over several keys; an import's rows of that word go to all of them.
@@ -35,6 +42,9 @@ _SKETCH = ", ".join(f"{c} BIGINT" for c in SKETCH)
 #: Texts are ranked in so many runs, and matched so many at a time. Shuffles and pairs of a run are removed before the next, so
 #: that pairs, which grow faster than the texts, take no more disk than a run's.
 RUNS, AT_ONCE = 4, 16_384
+#: Texts that are looked up by their rare words at most. Postings of an indexed text take as long to read as the bits of
+#: some thousand pairs take to compare, so more texts are compared with all of the index by bits (`sets`).
+FEW = 1000
 TABLES = {
     "words": ("word STRING, n BIGINT, parts INT", "word"),
     "postings": (f"cell BIGINT, digest BINARY, n INT, place INT, {_SIGNATURE}", "cell"),
@@ -93,6 +103,17 @@ def _apart(left: list[str], right: list[str]) -> Column:
     return reduce(Column.__add__, [F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in zip(left, right, strict=True)])
 
 
+def _sketches(turned: pa.Array) -> pa.Array:
+    """The signature and the sketch of each text, as a struct of numbers."""
+    at, row = turned.flatten().to_numpy(), np.repeat(np.arange(len(turned)), np.diff(turned.offsets.to_numpy()))
+    bit, columns = np.int64(1) << (at // len(SKETCH)), []
+    for own in (SIGNATURE, SKETCH):
+        numbers = np.zeros((len(turned), len(own)), np.int64)
+        np.bitwise_xor.at(numbers, (row, at % len(own)), bit)
+        columns += [pa.array(c) for c in numbers.T]
+    return pa.StructArray.from_arrays(columns, SIGNATURE + SKETCH)
+
+
 def _prefix(n: Column, share: float) -> Column:
     """How many of n words a match at the share must share one of."""
     return (n - F.ceil(n * share - 1e-9) + 1).cast("int")
@@ -187,9 +208,10 @@ class PrefixIndex:
         """(digest, n, ordered): words with their parts, rarest first, unknown ones before all."""
         each = texts.select("digest", F.explode("words").alias("word")).join(words, "word", "left")
         order = F.struct(F.coalesce(F.col("n"), F.lit(0)).alias("often"), "word", F.coalesce("parts", F.lit(1)).alias("parts"))
-        each = each.withColumns({"h": F.xxhash64("word", F.lit(7)), "bit": F.expr("shiftleft(1L, cast(pmod(xxhash64(word, 8), 64) AS INT))")})
-        bits = [F.expr(f"bit_xor(if(pmod(h, {len(own)}) = {k}, bit, 0L))").alias(c) for own in (SIGNATURE, SKETCH) for k, c in enumerate(own)]
-        return each.groupBy("digest").agg(F.array_sort(F.collect_list(order)).alias("ordered"), *bits).withColumn("n", F.size("ordered"))
+        ranked = each.groupBy("digest").agg(F.array_sort(F.collect_list(order)).alias("ordered")).withColumn("n", F.size("ordered"))
+        # of each word the number and the bit in it that it turns over
+        turned = F.transform("ordered", lambda w: F.pmod(F.xxhash64(w["word"], F.lit(7)), F.lit(len(SKETCH))) + len(SKETCH) * F.pmod(F.xxhash64(w["word"], F.lit(8)), F.lit(64)))
+        return ranked.withColumn("bits", F.arrow_udf(_sketches, ", ".join(f"{c} BIGINT" for c in SIGNATURE + SKETCH))(turned)).select("digest", "ordered", *(F.col("bits")[c].alias(c) for c in SIGNATURE + SKETCH), "n")
 
     def _ranked_in_runs(self, texts: DataFrame, words: DataFrame) -> DataFrame:
         """The same of a scratch table of texts, in scratch tables; each run shuffles the words of its own texts only."""
@@ -266,6 +288,8 @@ class PrefixIndex:
         if threshold < self.threshold:
             raise ValueError("the index holds no postings for so low a threshold")
         ids = self.live().groupBy("digest").agg(F.min("existing_id").alias("existing_id"))
+        if texts.count() > FEW:
+            return sets.best(texts, self.table("texts").select("digest", "words"), scratch(ids, "ids"), threshold)
         found = [scratch(texts.select("digest").join(ids, "digest").withColumn("score", F.lit(100.0)), "exact")]
         own = scratch(texts.join(found[0].select("digest"), "digest", "left_anti"), "own")
         left = self._ranked_in_runs(own, self.table("words"))
@@ -284,6 +308,8 @@ class PrefixIndex:
 
     def similar(self, texts: DataFrame) -> DataFrame:
         """(own, digest, score) of every two different texts, one of `texts` (digest, words), a scratch table, the other of the index."""
+        if texts.count() > FEW:
+            return sets.matches(texts, self.table("texts").select("digest", "words"), self.threshold)
         ranked = self._ranked_in_runs(texts, self.table("words"))
         matched = self.matches(ranked, self.threshold)
         drop(ranked)

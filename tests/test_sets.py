@@ -76,3 +76,20 @@ def test_inserts_compare_by_bits(spark, monkeypatch):
     got = importer.add_questions(spark.createDataFrame([(i, t, "a", True) for i, t in table], "id bigint, question string, answer string, has_answer boolean"), spark.createDataFrame([(p, t, " x ") for p, t in sent], "input_pos bigint, question string, answer string"))
     assert sorted(((r.input_pos, r.status, r.id, r.existing_id, r.score) for r in got.collect()), key=str) == one_by_one(table, sent, 70.0)
     assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_many_texts_against_an_index(spark, tmp_path, monkeypatch):
+    """With many texts, all of the index is compared by bits: taken-out texts don't count, and the result is that of the postings."""
+    existing, asked = texts(1, 300), texts(1, 120) + texts(2, 60, 1000)
+    frame = lambda rows, names: spark.createDataFrame(rows, names).repartition(3)
+    index = similar.PrefixIndex.create(frame(existing, "existing_id bigint, text string"), str(tmp_path / "i"), 60.0, 5)
+    index.update(frame(texts(2, 40, 100), "existing_id bigint, text string"), frame([(i,) for i in range(40)], "existing_id bigint"))
+    now = {i: t for i, t in existing if i >= 40} | dict(texts(2, 40, 100))
+    rows = frame(asked, "input_pos bigint, question string")
+    own = similar.keyed(rows).select("digest", "words").dropDuplicates(["digest"]).localCheckpoint()
+    pairs = lambda df: sorted((bytes(r.own), bytes(r.digest), r.score) for r in df.collect())
+    by_postings = pairs(index.similar(own))
+    monkeypatch.setattr(similar, "FEW", 0)
+    assert found(index.check(rows)) == brute(asked, list(now.items()), 60.0)
+    assert found(index.check(rows, 90.0)) == brute(asked, list(now.items()), 90.0)
+    assert pairs(index.similar(own)) == by_postings != []
